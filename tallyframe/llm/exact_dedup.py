@@ -229,11 +229,10 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     Keys alone are shuffled by digest; the texts move once, by (id, digest).
     """
     groups = digest_groups(digests(df, id_col, text_col))
-    keys = groups.select(F.col("best_id").alias("__keep"), F.col("digest").alias("__digest"))
-    marked = df.withColumn("__digest", F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))).withColumn("__keep", F.col(id_col).cast("long"))
-    same = F.col("l.__digest") == F.col("r.__digest")
-    stay = marked.alias("l").join(keys.alias("r"), same & F.col("l.__keep").eqNullSafe(F.col("r.__keep")), "left_semi")
-    return stay.dropDuplicates(["__keep", "__digest"]).select(*df.columns)
+    own = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(int(NO_ID))).alias("__keep")
+    keys = groups.select(own("best_id"), F.col("digest").alias("__digest"))
+    marked = df.select(own(id_col), F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)).alias("__digest"), *[F.col(f"`{c}`") for c in df.columns])
+    return marked.join(keys, ["__keep", "__digest"], "left_semi").dropDuplicates(["__keep", "__digest"]).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op5_exact_dedup(spark, sf_dir):

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import scratch_dir
 
 REVISIT_BYTES = 1000
+NO_PAGE = -(1 << 63)
 DATE = "2020-01-01T00:00:00Z"
 CRLF = "\r\n"
 
@@ -62,10 +63,11 @@ def write_archive(pages: DataFrame, path: str) -> str:
     refers = F.when((F.col("payload_bytes") >= REVISIT_BYTES) & (F.col("page_id") < F.col("first_id")) | (F.col("payload_bytes") >= REVISIT_BYTES) & F.col("page_id").isNull(), F.col("first_id"))
     records = keys.join(first, "sha256").withColumn("refers_to", refers)
     records.select("page_id", F.col("sha256").alias("digest"), F.encode(_header(), "UTF-8").alias("header")).write.parquet(f"{path}/records")
-    owner = first.select(F.col("first_id").alias("page_id"), F.col("sha256").alias("digest"))
-    # Only the rows that can own a payload move, by page_id: copies of a payload stay where they are.
-    own = base.select("page_id", "payload", F.sha2("payload", 256).alias("digest")).alias("b").join(owner.alias("o"), F.col("b.page_id").eqNullSafe(F.col("o.page_id")) & (F.col("b.digest") == F.col("o.digest")), "left_semi")
-    own.dropDuplicates(["page_id", "digest"]).select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    # Payloads move once, by plain (page, digest) keys: a null-safe join would make dropDuplicates shuffle them again.
+    page = lambda c: F.coalesce(F.col(c), F.lit(NO_PAGE)).alias("page")
+    owner = first.select(page("first_id"), F.col("sha256").alias("digest"))
+    own = base.select(page("page_id"), F.sha2("payload", 256).alias("digest"), "payload").join(owner, ["page", "digest"], "left_semi")
+    own.dropDuplicates(["page", "digest"]).select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
     return path
 
 
