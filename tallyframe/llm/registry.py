@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import exact_dedup, lang_id, quality, warc
+from tallyframe.llm import exact_dedup, lang_id, quality, secrets, warc
 
-MODULES = (exact_dedup, lang_id, quality, warc)
+MODULES = (exact_dedup, lang_id, quality, secrets, warc)
 
 
 def queries() -> dict:
