@@ -67,7 +67,7 @@ def write_archive(pages: DataFrame, path: str) -> str:
     page = lambda c: F.coalesce(F.col(c), F.lit(NO_PAGE)).alias("page")
     owner = first.select(page("first_id"), F.col("sha256").alias("digest"))
     own = base.select(page("page_id"), F.sha2("payload", 256).alias("digest"), "payload").join(owner, ["page", "digest"], "left_semi")
-    own.dropDuplicates(["page", "digest"]).select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    own.dropDuplicates(["page", "digest"]).select("digest", "payload").write.parquet(f"{path}/payloads")
     return path
 
 
