@@ -101,9 +101,13 @@ class RangeHash:
     def _grow(self, n: int) -> None:
         if len(self.power) < n:
             n = max(n, 2 * len(self.power), 1 << 16)
-            inv = pow(self.BASE, -1, 1 << 64)
-            self.power = np.cumprod(np.concatenate(([1], np.full(n, self.BASE, np.uint64))).astype(np.uint64), dtype=np.uint64)
-            self.inverse = np.cumprod(np.concatenate(([1], np.full(n, inv, np.uint64))).astype(np.uint64), dtype=np.uint64)
+            self.power, self.inverse = (self._powers(x, n) for x in (self.BASE, pow(self.BASE, -1, 1 << 64)))
+
+    @staticmethod
+    def _powers(x: int, n: int) -> np.ndarray:
+        steps = np.full(n + 1, x, np.uint64)
+        steps[0] = 1
+        return np.cumprod(steps, dtype=np.uint64)
 
     def __call__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         self._grow(len(raw) + 1)
