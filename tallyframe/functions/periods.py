@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 # The spellings of periods and the letters and words of their basis.
@@ -60,14 +61,14 @@ def period_of(text: str | None) -> str | None:
     return "-".join(names) if names[0] in WINDOW_NAMES else f"{names[0]}..{names[-1]}"
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def parse_period(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         known: dict = {t: period_of(t) for t in texts.unique()}
         yield texts.map(known).astype(object).where(lambda s: s.notna(), None)
 
 
-@pandas_udf("struct<label:string,period:string>")
+@pandas_udf(T.StructType([T.StructField("label", T.StringType()), T.StructField("period", T.StringType())]))
 def split_period(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """What a label measures, with its periods taken out, and when."""
     for texts in batches:
