@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyframe.queries import statistics, typography
+from tallyframe.queries import figures, statistics, typography
 
-MODULES = (statistics, typography)
+MODULES = (statistics, typography, figures)
 
 
 def queries() -> dict:
