@@ -530,7 +530,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if asked.isEmpty():
             break
         wanted = asked.groupBy("doc_id", "cls", "known").agg(F.collect_set("place").alias("places")).withColumnRenamed("doc_id", "__id")
-        body = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id"))).select(F.explode("places").alias("place"), "cls", "known", "text")
+        # The same plan at every size: what is wanted grows with the data, so it is never broadcast.
+        body = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id"))).select(F.explode("places").alias("place"), "cls", "known", "text")
         found = materialise(body.repartition("place").sortWithinPartitions("place", "cls").mapInArrow(_verified, "a long, b long"), "links")
         edges = found if edges is None else edges.unionByName(found)
         true = components(edges)
