@@ -37,7 +37,7 @@ WIDTH = 5
 HEAVY = 65_536  # frequent shingles kept, so what is sent to tasks is bounded
 FLUSH = 1 << 22
 LONG_LIST = 2_000
-BLOCK = 4_000_000
+BLOCK = 1 << 17
 ROUNDS = 2
 FANOUT = 8
 FRONTIER = 1 << 17
