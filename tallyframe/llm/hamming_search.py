@@ -60,14 +60,15 @@ def _distance(a: Column, b: Column) -> Column:
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
-    """The nearest codes of each query that hold its k + 1 nearest ids, with the distance of the last as `bound`."""
+    """The k + 1 nearest codes of each query, and as `bound` the distance within which they hold k + 1 ids.
+
+    A nearer code may hold many ids, but one of the k + 1 nearest ids never belongs to a code beyond the first k + 1.
+    """
     order = Window.partitionBy("query").orderBy("distance", "first_id")
     nearest = pairs.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= k + 1)
-    counted = nearest.withColumn("__before", F.sum("members").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    kept = counted.where(F.coalesce("__before", F.lit(0)) <= k)
-    whole = Window.partitionBy("query")
-    bound = F.when(F.sum("members").over(whole) > k, F.max("distance").over(whole)).otherwise(BITS)
-    return kept.select("query", "code", "first_id", "members", "distance", bound.alias("bound"))
+    counted = nearest.withColumn("__held", F.sum("members").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    bound = F.coalesce(F.min(F.when(F.col("__held") > k, F.col("distance"))).over(Window.partitionBy("query")), F.lit(BITS))
+    return counted.select("query", "code", "first_id", "members", "distance", bound.alias("bound"))
 
 
 def top_k(base: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:

@@ -186,7 +186,7 @@ class Model:
         order = _inside(doc)
         for at in range(0, len(code), 1 << 16):
             to = min(at + (1 << 16), len(code))
-            lead = max(at, ORDER - 1)
+            lead = min(max(at, ORDER - 1), to)
             h = gram_hash([code[lead - k : max(to - k, lead - k)] for k in range(ORDER - 1, -1, -1)])
             place = self.begin[h >> self.shift]
             hit = self.padded[place] == h

@@ -58,7 +58,7 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, ranges: RangeHash) -> tuple[n
     n = np.bincount(of, minlength=docs)
     first = np.cumsum(n) - n
     run = np.zeros(len(h), np.uint64)
-    for k in range(WIDTH):
+    for k in range(min(WIDTH, len(h))):
         run[: len(h) - k] = run[: len(h) - k] * np.uint64(0x9E3779B97F4A7C15) + h[k:]
     place = np.arange(len(h)) - first[of]
     whole = place + WIDTH <= n[of]
