@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyframe.queries import figures, statistics, typography
+from tallyframe.queries import audit, figures, statistics, typography
 
-MODULES = (statistics, typography, figures)
+MODULES = (statistics, typography, figures, audit)
 
 
 def queries() -> dict:
