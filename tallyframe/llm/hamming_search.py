@@ -98,7 +98,8 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                 rows = rows.select("query", "bound", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
                 probes = rows if probes is None else probes.unionByName(rows)
         distance = _distance(F.col("p.query"), F.col("i.code"))
-        met = probes.alias("p").join(index.alias("i"), (F.col("p.segment") == F.col("i.segment")) & (F.col("p.value") == F.col("i.value")) & (distance <= F.col("p.bound")))
+        # Probes are far larger than the table they are exploded from, so no estimate may broadcast them.
+        met = probes.hint("merge").alias("p").join(index.hint("merge").alias("i"), (F.col("p.segment") == F.col("i.segment")) & (F.col("p.value") == F.col("i.value")) & (distance <= F.col("p.bound")))
         pairs = met.select("p.query", "i.code", "i.first_id", "i.members", distance.alias("distance"))
         if found is not None:
             pairs = pairs.unionByName(found.select(*pairs.columns))
@@ -110,7 +111,7 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         radius += 1
         if radius > max(w for _, w in segments) or open_.isEmpty():
             break
-    answers = found.join(codes.select("code", "ids"), "code").select("query", "distance", F.explode("ids").alias("neighbor_id"))
+    answers = found.join(codes.select("code", "ids").hint("merge"), "code").select("query", "distance", F.explode("ids").alias("neighbor_id"))
     paired = asked.join(answers, "query").where("query_id <> neighbor_id").groupBy("query_id", "neighbor_id").agg(F.min("distance").cast("int").alias("distance"))
     order = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
     return paired.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
