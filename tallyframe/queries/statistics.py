@@ -22,11 +22,11 @@ members AS (SELECT p_brand, v, w, n, len(list_filter(opens, lambda o: o <= v)) A
 
 
 @query(f"""WITH {FOLD}
-SELECT p_brand, CAST(cluster AS INTEGER) AS cluster, round(sum(v * w) / sum(w), 4) AS centre, min_by(v, (-w, v)) AS mode, round(max(v) - min(v), 4) AS spread, CAST(sum(w) AS BIGINT) AS weight, CAST(sum(n) AS BIGINT) AS support
+SELECT p_brand, CAST(cluster AS INTEGER) AS cluster, round(sum(v * w) / sum(w) + 1e-9, 4) AS centre, min_by(v, (-w, v)) AS mode, round(max(v) - min(v), 4) AS spread, CAST(sum(w) AS BIGINT) AS weight, CAST(sum(n) AS BIGINT) AS support
 FROM members GROUP BY 1, 2""")
 def cluster_1d(t):
     clusters = stats.cluster_stats(stats.cluster_1d(t.part, ["p_brand"], "p_retailprice", "p_size", 2.0), ["p_brand"])
-    return clusters.select("p_brand", F.col("cluster").cast("int").alias("cluster"), F.round("centre", 4).alias("centre"), "mode", F.round("spread", 4).alias("spread"), F.col("weight").cast("long").alias("weight"), F.col("support").cast("long").alias("support"))
+    return clusters.select("p_brand", F.col("cluster").cast("int").alias("cluster"), F.round(F.col("centre") + 1e-9, 4).alias("centre"), "mode", F.round("spread", 4).alias("spread"), F.col("weight").cast("long").alias("weight"), F.col("support").cast("long").alias("support"))
 
 
 DOM = "WITH c AS (SELECT c_nationkey, c_mktsegment AS value, count(*) AS weight FROM customer GROUP BY 1, 2)"
@@ -78,12 +78,12 @@ def percentile_margin(t):
     return t.part.groupBy("p_brand").agg(F.round(p5, 4).alias("p5"), (F.floor(p5 / 2) * 2).cast("double").alias("margin"))
 
 
-@query("""WITH s AS (SELECT c_nationkey, CAST(max(CAST(c_acctbal AS DECIMAL(12,2))) - min(CAST(c_acctbal AS DECIMAL(12,2))) AS DECIMAL(14,2)) AS spread FROM customer GROUP BY 1)
+@query("""WITH s AS (SELECT c_nationkey, CAST(max(CAST(c_acctbal AS DECIMAL(12,2))) - min(CAST(c_acctbal AS DECIMAL(12,2))) AS DECIMAL(14,1)) AS spread FROM customer GROUP BY 1)
 SELECT c_nationkey, CAST(round_even(CAST(least(greatest(spread * 1.5, 2.0), 16000.0) AS DOUBLE), 2) AS DOUBLE) AS tolerance FROM s""")
 def derive_tol(t):
     spread = (F.max("c_acctbal") - F.min("c_acctbal")).alias("spread")
     rows = t.customer.groupBy("c_nationkey").agg(spread)
-    return rows.select("c_nationkey", stats.tolerance(F.col("spread").cast("decimal(14,2)").cast("double"), 2.0, ceiling=16000.0).alias("tolerance"))
+    return rows.select("c_nationkey", stats.tolerance(F.col("spread").cast("decimal(14,2)").cast("decimal(14,1)").cast("double"), 2.0, ceiling=16000.0).alias("tolerance"))
 
 
 COVER = """WITH b AS (SELECT p_brand, greatest(0.0, p_retailprice - 4.0) AS lo, least(2100.0, p_retailprice + 4.0) AS hi FROM part),
