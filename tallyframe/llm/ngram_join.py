@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import LOWER, RangeHash, buffers, materialise, mix64, text_slices, words
@@ -37,7 +37,7 @@ WIDTH = 5
 HEAVY = 65_536  # frequent shingles kept, so what is sent to tasks is bounded
 FLUSH = 1 << 22
 LONG_LIST = 2_000
-BLOCK = 1 << 17
+BLOCK = 1 << 19
 ROUNDS = 2
 FANOUT = 8
 FRONTIER = 1 << 17
@@ -484,20 +484,24 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- the join
 
 
-def _dealt(groups: DataFrame, round_: int, true: DataFrame | None) -> DataFrame:
-    """(doc_id, cls, known, place) of the classes to compare in this round."""
-    block = F.pmod(F.xxhash64("cls", F.lit(round_)), F.col("blocks"))
-    place = lambda b: F.xxhash64("grp", b, F.lit(round_)).alias("place")
-    if true is None:
-        return groups.select("doc_id", "cls", F.col("cls").alias("known"), place(block))
-    known = groups.where("blocks > 1").join(true, groups.cls == true.node, "left").select("grp", "doc_id", "cls", "blocks", F.coalesce("label", "cls").alias("known"))
+def _place(block: Column, round_: int) -> Column:
+    return F.xxhash64("grp", block, F.lit(round_)).alias("place")
+
+
+def _block(round_: int) -> Column:
+    return F.pmod(F.xxhash64("cls", F.lit(round_)), F.col("blocks"))
+
+
+def _again(groups: DataFrame, round_: int, true: DataFrame) -> DataFrame:
+    """(cls, known, place) of classes whose group has several blocks and is not one component yet."""
+    known = groups.where("blocks > 1").join(true, groups.cls == true.node, "left").select("grp", "cls", "blocks", F.coalesce("label", "cls").alias("known"))
     sizes = known.groupBy("grp", "known").agg(F.count(F.lit(1)).alias("m"))
     main = sizes.groupBy("grp").agg(F.max_by("known", F.struct("m", "known")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     split = known.join(main, "grp")
     if round_ < ROUNDS:
-        return split.select("doc_id", "cls", "known", place(block))
-    here = F.when(F.col("known") == F.col("main"), F.array(block)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    return split.withColumn("__block", F.explode(here)).select("doc_id", "cls", "known", place(F.col("__block")))
+        return split.select("cls", "known", _place(_block(round_), round_))
+    here = F.when(F.col("known") == F.col("main"), F.array(_block(round_))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    return split.withColumn("__block", F.explode(here)).select("cls", "known", _place(F.col("__block"), round_))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -523,21 +527,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = groups.join(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.ceil(F.sum("n") / BLOCK).cast("long").alias("blocks")).where("m > 1"), "grp")
     groups = materialise(groups.select("grp", "cls", "doc_id", "blocks"), "groups")
     edges = true = None
+    # The candidates' texts move once, by merge join at every size, and are kept for the later rounds.
+    ids = groups.select(F.col("doc_id").alias("__id"), "grp", "cls", "blocks").hint("merge")
+    bodies = materialise(texts.join(ids, F.col("doc_id").eqNullSafe(F.col("__id"))).select("grp", "cls", "blocks", "text"), "bodies")
     for round_ in range(ROUNDS + 1):
-        if round_ and groups.where("blocks > 1").isEmpty():
-            break
-        asked = materialise(_dealt(groups, round_, true), "asked")
-        if asked.isEmpty():
-            break
-        wanted = asked.groupBy("doc_id", "cls", "known").agg(F.collect_set("place").alias("places")).withColumnRenamed("doc_id", "__id")
-        # The same plan at every size: what is wanted grows with the data, so it is never broadcast.
-        body = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id"))).select(F.explode("places").alias("place"), "cls", "known", "text")
+        if not round_:
+            body = bodies.select(_place(_block(0), 0), "cls", F.col("cls").alias("known"), "text")
+        else:
+            if groups.where("blocks > 1").isEmpty():
+                break
+            asked = materialise(_again(groups, round_, true), "asked")
+            if asked.isEmpty():
+                break
+            body = bodies.where("blocks > 1").join(asked.hint("merge"), "cls").select("place", "cls", "known", "text")
         found = materialise(body.repartition("place").sortWithinPartitions("place", "cls").mapInArrow(_verified, "a long, b long"), "links")
         edges = found if edges is None else edges.unionByName(found)
         true = components(edges)
     whole = signed.select("doc_id", "n", "cls")
-    if true is None:
-        return whole.withColumn("component_id", F.when(F.col("n") > 0, F.min("doc_id").over(Window.partitionBy("cls"))).otherwise(F.col("doc_id"))).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     least = named.join(true, named.cls == true.node, "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("part"))
     smallest = least.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     named_parts = least.join(smallest, "part").select("cls", "component_id")
