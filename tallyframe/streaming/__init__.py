@@ -1 +1,24 @@
+"""Re-audit of decks as they arrive."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tallyframe.rules import catalogue, engine  # noqa: F401  the catalogue registers its rules
+from tallyframe.sources.pptx import tables_of
+
+
+def watch(spark: SparkSession, folder: str, profile: dict, sink: Callable[[DataFrame, int], None], checkpoint: str, include: list[str] | None = None) -> StreamingQuery:
+    """Check every new .pptx below a folder; sink gets the outcome rows of a batch, once they are complete."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.pptx").load(folder)
+
+    def batch(df: DataFrame, number: int) -> None:
+        result, _ = engine.check(tables_of(df.select(F.col("path").alias("deck_id"), "content")), profile, include)
+        sink(result, number)
+
+    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -86,3 +86,29 @@ def test_selection_and_skips(spark):
 
 def test_no_blocker_below_high_confidence():
     assert not [r.id for r in catalogue.RULES.values() if r.severity == "blocker" and r.confidence != "high"]
+
+
+def test_learn_then_check_is_silent_and_merge(spark):
+    from tallyframe import learn
+
+    slides = [text(2, "T", f"Revenue growth has slowed {k}", None, TITLE) + text(4, "Body", "A “quoted” text.", (60, 200, 300, 60)) for k in ("again", "here", "now")]
+    tables = read(spark, deck(slides))
+    profile, _ = learn.learn(tables, "d0")
+    assert profile["typography"]["title_case"] == "sentence" and profile["typography"]["quotes"] == "curly" and profile["fonts"]["allowed"] == ["Calibri"]
+    result, _ = engine.check(tables, profile, ["TY-001", "TY-004", "BR-005", "BR-009", "LO-002"])
+    assert result.where("outcome = 'finding'").count() == 0
+    other = {"typography": {"quotes": "straight"}, "fonts": {"allowed": ["Arial"]}, "layout": {"safe_margin_pt": 2.0}, "footer": {}}
+    merged, changes = learn.merge(profile, other, locked=("layout",))
+    assert "quotes" not in merged["typography"] and merged["fonts"]["allowed"] == ["Calibri", "Arial"]
+    assert ("layout.safe_margin_pt", "locked") in changes and ("typography.quotes", "retired") in changes
+
+
+def test_fix_plan_and_stream(spark, tmp_path):
+    from tallyframe import fix, streaming
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pptx").write_bytes(deck(CLEAN, core="<dc:creator>Jane</dc:creator>"))
+    plans = []
+    query = streaming.watch(spark, str(tmp_path / "in"), {}, lambda r, n: plans.extend(fix.plan_fixes(r).collect()), str(tmp_path / "ck"), ["HY-004", "HY-002"])
+    query.awaitTermination(120)
+    assert [(p.operation, p.payload, p.slides) for p in plans] == [("drop property", "Jane", [0])]
