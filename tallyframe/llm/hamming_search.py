@@ -2,10 +2,11 @@
 
 A vector's code has one bit for each dimension (set where the value is above zero), 64 in all; dimensions beyond 64 are
 added up by their index modulo 64 first. Codes are cut into about 64 / log2(n) segments; the index has a row for each
-(segment, value, code). A search grows one radius for all segments: at radius r it probes the values that differ from
-the query's segment in exactly r bits, and verifies what it meets by its whole Hamming distance. Every code within
-segments * (r + 1) - 1 bits has then been met (pigeonhole), so a query is finished once the k-th verified distance is
-no larger; the others go on. Radii end at the segment's width, when all codes have been met.
+(segment, value, code), with at most four segments. A search grows the segments' radii one after the other: at radius
+r it probes the values that differ from the query's segment in exactly r bits, and verifies what it meets by its whole
+Hamming distance. With j of m segments at radius r and the others at r - 1, every code within m * r + j - 1 bits has
+been met (pigeonhole), so only as many segments grow as the bound on the k-th distance asks for, and a query is
+finished once that bound is covered. Radii end at the segment's width, when all codes have been met.
 
 Equal codes are one row of the index with their k + 1 smallest ids, and equal queries are one search, so a vector that
 holds a third of all rows costs no more than others. A bound from a fixed sample of codes, and later the k-th verified
@@ -41,7 +42,7 @@ def binary_code(vector: Column) -> Column:
 
 def _segments(n: int) -> list[tuple[int, int]]:
     """(shift, width) of each segment for n codes."""
-    m = max(4, min(16, round(BITS / max(1.0, log2(max(n, 2))))))
+    m = max(2, min(4, round(BITS / max(1.0, log2(max(n, 2))))))
     widths = [BITS // m + (k < BITS % m) for k in range(m)]
     return [(sum(widths[:k]), w) for k, w in enumerate(widths)]
 
@@ -94,7 +95,8 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             own = [(k_, s) for k_, s in enumerate(segments) if s[1] == width and radius <= width]
             if own:
                 values = F.explode(F.array(*[F.struct(F.lit(k_).alias("segment"), _value(F.col("query"), *s).alias("value")) for k_, s in own]))
-                rows = open_.select("query", "bound", values.alias("v")).select("query", "bound", "v.segment", "v.value", F.explode(_flips(width, radius)).alias("flip"))
+                needed = F.col("v.segment") <= F.col("bound") - len(segments) * radius
+                rows = open_.select("query", "bound", values.alias("v")).where(needed).select("query", "bound", "v.segment", "v.value", F.explode(_flips(width, radius)).alias("flip"))
                 rows = rows.select("query", "bound", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
                 probes = rows if probes is None else probes.unionByName(rows)
         distance = _distance(F.col("p.query"), F.col("i.code"))
