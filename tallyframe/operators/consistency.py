@@ -64,7 +64,8 @@ def disagreements(figures: DataFrame, scale: bool) -> DataFrame:
     One row for each differing value of a baseline. Which figure is a baseline depends on the ones before it, so a
     group (one fact of one deck) is folded in order.
     """
-    schema = "deck string, metric string, scope string, kind string, base_ord long, ord long"
+    id_type = figures.schema["ord"].dataType.simpleString()
+    schema = f"deck string, metric string, scope string, kind string, base_ord {id_type}, ord {id_type}"
     steps, tol = SCALE_STEPS, SCALE_TOLERANCE
 
     def factor(x: float, y: float) -> bool:
@@ -100,7 +101,7 @@ def disagreements(figures: DataFrame, scale: bool) -> DataFrame:
                 out.append((base["deck"], base["metric"], base["scope"], base["kind"], base["ord"], other["ord"]))
         return pd.DataFrame(out, columns=["deck", "metric", "scope", "kind", "base_ord", "ord"])
 
-    ready = figures.where("kind IS NOT NULL").withColumn("full", canonical(F.col("value"), F.col("scale"))).withColumn("ord", F.col("ord").cast("long"))
+    ready = figures.where("kind IS NOT NULL").withColumn("full", canonical(F.col("value"), F.col("scale")))
     return ready.groupBy(*KEYS).applyInPandas(fold, schema)
 
 
@@ -110,13 +111,13 @@ def ratio_bound(num: Column, num_decimals: Column, den: Column, den_decimals: Co
     return spread * (100.0 if percentage else 1.0) + half_unit(stated_decimals)
 
 
-def margins(figures: DataFrame, result: str, numerator: list[str], denominator: list[str], percentage: bool = True) -> DataFrame:
+def margins(figures: DataFrame, result: str | list[str], numerator: list[str], denominator: list[str], percentage: bool = True) -> DataFrame:
     """ord, outcome (tied, finding, unchecked), reason, computed for every stated ratio.
 
     Inputs are levels of the same deck, scope and period in the deck's usual currency; the nearest tier (shape,
     slide, deck) must hold one value.
     """
-    stated = figures.where(F.col("metric") == result).select("deck", "scope", "period", "place", "slide", "ord", F.col("value").alias("stated"), F.col("decimals").alias("stated_decimals"))
+    stated = figures.where(F.col("metric").isin(result)).select("deck", "scope", "period", "place", "slide", "ord", F.col("value").alias("stated"), F.col("decimals").alias("stated_decimals"))
     levels = figures.where("kind = 'level' AND quantity IS NULL")
     out = stated
     for side, names in (("num", numerator), ("den", denominator)):

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions import geometry, labels, numbers, text
+from tallyframe import figures
+from tallyframe.functions import geometry, labels, numbers, periods, text
 from tallyframe.operators import consistency, stats
 from tallyframe.rules.engine import KEYS, RULES, lookup, outcomes, rule
 
@@ -407,4 +408,91 @@ def totals(t, p):
     return outcomes(checked, "total does not sum its column", F.concat_ws(",", F.col("row").cast("string"), F.col("col").cast("string"))).unionByName(outcomes(refused, "column cannot be added up", F.col("col"), None, "unchecked"))
 
 
+# Labels of results and of what they are computed from.
+REVENUE, EBITDA, EV = ["revenue", "sales", "turnover", "net sales", "total revenue"], ["ebitda", "adjusted ebitda", "adj. ebitda"], ["enterprise value", "ev", "tev", "implied enterprise value"]
+MARGINS = (
+    (["margin", "ebitda margin", "ebitda margin %"], EBITDA, REVENUE),
+    (["gross margin"], ["gross profit"], REVENUE),
+    (["operating margin", "ebit margin"], ["ebit", "operating profit", "operating income"], REVENUE),
+    (["net margin", "net income margin"], ["net income", "net profit", "profit after tax"], REVENUE),
+)
+MULTIPLES = (
+    (["multiple", "ev/ebitda", "ev / ebitda", "ev ebitda", "ev/ebitda multiple"], EV, EBITDA),
+    (["ev/revenue", "ev / revenue", "ev/sales", "ev sales", "ev revenue"], EV, REVENUE[:4]),
+    (["p/e", "pe", "p / e", "price earnings", "p/e multiple", "p e"], ["market capitalisation", "market capitalization", "market cap", "equity value"], ["net income", "net profit", "earnings", "profit after tax"]),
+)
+
+
+def _at(figures_: DataFrame, found: DataFrame) -> DataFrame:
+    """found (ord, ...) with where its figure stands."""
+    return found.join(figures_.select("ord", F.col("deck").alias("deck_id"), F.col("slide").alias("slide_index"), "uid", "raw", "metric", "period"), "ord")
+
+
+def _said(t, scale):
+    f = figures.index_of(t)
+    pairs = consistency.disagreements(f, scale).select("base_ord", "ord").join(f.select(F.col("ord").alias("base_ord"), F.col("raw").alias("base")), "base_ord")
+    return _at(f, pairs)
+
+
+@rule("CO-001", "major", "medium")
+def contradiction(t, p):
+    return outcomes(_said(t, False), F.concat_ws(" ", F.lit("stated two ways:"), "metric", "period"), F.col("raw"), F.col("base"))
+
+
+@rule("CO-002", "major", "medium")
+def scale_mismatch(t, p):
+    return outcomes(_said(t, True), F.concat_ws(" ", F.lit("off by a factor:"), "metric", "period"), F.col("raw"), F.col("base"))
+
+
+def _ratios(t, derivations, quantity, percentage):
+    f = figures.index_of(t)
+    right = f.where((F.coalesce("quantity", F.lit("")) == quantity) | (F.col("kind") == "level"))
+    out = None
+    for result, numerator, denominator in derivations:
+        found = consistency.margins(right, result, numerator, denominator, percentage).where("outcome <> 'tied'")
+        out = found if out is None else out.unionByName(found)
+    rows = _at(f, out).where(~F.col("metric").isin(*labels.STATISTICS))
+    return outcomes(rows, F.concat_ws(" ", F.lit("does not follow from its inputs:"), "metric", "period", "reason"), F.col("raw"), F.round("computed", 3), F.col("outcome"))
+
+
+@rule("CO-004", "major")
+def margin(t, p):
+    return _ratios(t, MARGINS, "%", True)
+
+
+@rule("CO-005", "major")
+def multiple(t, p):
+    return _ratios(t, MULTIPLES, "x", False)
+
+
+@rule("CO-006", "major", "medium")
+def growth(t, p):
+    """A rate over a range of periods against its series; a single period is not checked."""
+    f = figures.index_of(t)
+    ends = periods.endpoints(F.col("period"))
+    said = f.where("quantity = '%'").withColumn("base", labels.base_metric(F.col("metric"))).where("base IS NOT NULL").withColumn("e", ends).where("e IS NOT NULL")
+    level = f.where("kind = 'level' AND quantity IS NULL AND period IS NOT NULL").groupBy("deck", "metric", "scope", "period").agg(F.count_distinct(F.round("value", 6)).alias("n"), F.min("value").alias("value")).where("n = 1")
+    key = lambda d, m, s: F.concat_ws("|", d, m, s)
+    stated = said.select(F.col("ord").alias("id"), key("deck", "base", "scope").alias("scope"), F.col("e.first").alias("p1"), F.col("e.last").alias("p2"), "value")
+    series = level.select(key("deck", "metric", "scope").alias("scope"), "period", "value")
+    a, b = series.alias("a"), series.alias("b")
+    both = stated.alias("s").join(a, (F.col("s.scope") == F.col("a.scope")) & (F.col("s.p1") == F.col("a.period")), "left").join(b, (F.col("s.scope") == F.col("b.scope")) & (F.col("s.p2") == F.col("b.period")), "left")
+    years = periods.year_of(F.col("s.p2")) - periods.year_of(F.col("s.p1"))
+    defined = F.coalesce((F.col("a.value") > 0) & (F.col("b.value") > 0) & (years > 0), F.lit(False))
+    computed = F.when(defined, (F.pow(F.col("b.value") / F.col("a.value"), F.lit(1.0) / years) - 1) * 100)
+    out = F.when(~defined, "unchecked").when(F.abs(computed - F.col("s.value")) <= consistency.GROWTH_TOLERANCE, "tied").otherwise("finding")
+    rows = _at(f, both.select(F.col("s.id").alias("ord"), out.alias("o"), computed.alias("computed")).where("o <> 'tied'"))
+    return outcomes(rows, F.concat_ws(" ", F.lit("growth does not match its series:"), "metric", "period"), F.col("raw"), F.round("computed", 1), F.col("o"))
+
+
+@rule("CO-008", "minor", "medium")
+def unit_drift(t, p):
+    """One fact under two stated units."""
+    f = figures.index_of(t).where("scale IS NOT NULL OR currency IS NOT NULL").withColumn("stated", F.concat_ws(" ", "currency", "scale"))
+    keys = ["deck", "metric", "scope", "kind", "period"]
+    w = Window.partitionBy(*keys).orderBy("ord")
+    rows = f.where("period IS NOT NULL").withColumn("first", F.first("stated").over(w)).where("stated <> first")
+    return outcomes(_at(figures.index_of(t), rows.select("ord", "stated", "first")), F.concat_ws(" ", F.lit("unit drifts:"), "metric", "period"), F.col("stated"), F.col("first"))
+
+
 __all__ = ["RULES"]

@@ -112,3 +112,34 @@ def test_fix_plan_and_stream(spark, tmp_path):
     query = streaming.watch(spark, str(tmp_path / "in"), {}, lambda r, n: plans.extend(fix.plan_fixes(r).collect()), str(tmp_path / "ck"), ["HY-004", "HY-002"])
     query.awaitTermination(120)
     assert [(p.operation, p.payload, p.slides) for p in plans] == [("drop property", "Jane", [0])]
+
+
+PNL = [["$ in millions", "FY23A", "FY24A", "FY25A"], ["Revenue", "1,352", "1,624", "1,935"], ["Gross profit", "744", "901", "1,084"], ["EBITDA", "312", "389", "480*"], ["EBITDA margin", "23.1%", "24.0%", "24.8%"]]
+CAGR = [["Metric", "Value"], ["Revenue CAGR FY23A-FY25A", "19.6%"]]
+
+
+def tie_out(spark, rules, pnl=PNL, second=None, cagr=CAGR, outcome="finding"):
+    # A rate and its series stand in tables of their own; the second table states facts again.
+    slides = [table(3, pnl) + table(4, cagr, (500, 120, 300, 60)), table(3, second or pnl[:3])]
+    return found(spark, deck(slides), outcome, {}, include=rules)
+
+
+def put(row, col, value, base=PNL):
+    return [[value if (r, c) == (row, col) else x for c, x in enumerate(line)] for r, line in enumerate(base)]
+
+
+def test_figures_that_tie_are_silent(spark):
+    assert tie_out(spark, ["CO-00[12468]"]) == set()
+
+
+@pytest.mark.parametrize(
+    ("rule", "options"),
+    [
+        ("CO-004", {"pnl": put(4, 3, "26.8%")}),
+        ("CO-001", {"second": put(1, 3, "1,936", PNL[:3])}),
+        ("CO-002", {"second": put(1, 3, "1,935,000", PNL[:3])}),
+        ("CO-008", {"second": put(0, 0, "US$ billions", PNL[:2])}),
+    ],
+)
+def test_seeded_figure(spark, rule, options):
+    assert rule in {r for r, _ in tie_out(spark, [rule], **options)}
