@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, plus names and identity numbers from a linear-chain conditional random field.
 
-The field labels white-space words of a line (cut after SEGMENT words) with O, B/I-name and B/I-id. Its features are
+The field labels white-space words of a line with O, B/I-name and B/I-id. Its features are
 the shape of a word (runs of upper, lower, digit and sign characters collapsed), the shapes beside it, and whether it or
 a neighbour is a cue word of the training table. It is trained by gradient ascent on LABELLED and decoded by Viterbi
-over all lines of a slice at once. Spans it adds never touch a base span.
+over all lines of a slice at once. Lines of any length are decoded whole: pieces of SEGMENT words run side by side, a
+later one from each label the word before it can have, and are then chained. Spans it adds never touch a base span.
 
 Offsets are code points, ends exclusive. Cases: null text counts as empty; documents without spans have empty lists and
 the digest of the empty text; digit runs and words of any length take linear time; repeated rows are scanned alike;
@@ -147,9 +148,6 @@ class Words:
             breaks = np.concatenate(([0], np.cumsum(raw == 10)))
             self.begins[0] = True
             self.begins[1:] = (self.doc[1:] != self.doc[:-1]) | (breaks[self.starts[1:]] != breaks[self.starts[:-1]])
-            first = np.flatnonzero(self.begins)
-            place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
-            self.begins |= place % SEGMENT == 0
 
 
 def _ids(known: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -221,36 +219,64 @@ class ChainField:
                 x += rate * moments[0][k] / (1 - 0.9**step) / (np.sqrt(moments[1][k] / (1 - 0.99**step)) + 1e-8)
 
     def decode(self, w: Words) -> np.ndarray:
-        """The best labels of all lines: Viterbi, one step for the t-th words of all lines that have one."""
+        """The best labels of all lines: Viterbi over their pieces, then over the scores of whole pieces."""
         n = len(w.starts)
+        labels = np.zeros(n, np.int64)
         if not n:
-            return np.zeros(0, np.int64)
+            return labels
         score = self.unary(self.features(w))
-        first = np.flatnonzero(w.begins)
+        lines = np.flatnonzero(w.begins)
+        pieces = -(-np.diff(np.append(lines, n)) // SEGMENT)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = np.repeat(lines, pieces) + nth * SEGMENT
         size = np.diff(np.append(first, n))
-        order = np.argsort(-size, kind="stable")
-        first, size = first[order], size[order]
+        head, tail = np.flatnonzero(nth == 0), np.flatnonzero(nth)
+        head, tail = head[np.argsort(-size[head], kind="stable")], tail[np.argsort(-size[tail], kind="stable")]
+        final, back = self._forward(score, first[head], size[head], (score[first[head]] + self.first)[:, None])
+        total, leave = np.zeros((len(first), K)), np.zeros(len(first), np.int64)
+        total[head] = final[:, 0]
+        if len(tail):
+            through, back_tail = self._forward(score, first[tail], size[tail], self.pairs + score[first[tail]][:, None])
+            enter = np.zeros((len(first), K), np.int64)
+            row = np.zeros(len(first), np.int64)
+            row[tail] = np.arange(len(tail))
+            by_nth = np.argsort(nth, kind="stable")
+            levels = np.split(by_nth, np.flatnonzero(np.diff(nth[by_nth])) + 1)[1:]
+            for at in levels:
+                step = total[at - 1][:, :, None] + through[row[at]]
+                enter[at], total[at] = step.argmax(axis=1), step.max(axis=1)
+        leave[:] = total.argmax(axis=1)
+        if len(tail):
+            for at in reversed(levels):
+                leave[at - 1] = enter[at, leave[at]]
+            self._backward(labels, first[tail], size[tail], back_tail, leave[tail - 1], leave[tail])
+        self._backward(labels, first[head], size[head], back, np.zeros(len(head), np.int64), leave[head])
+        return labels
+
+    def _forward(self, score: np.ndarray, first: np.ndarray, size: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """One step for the t-th words of all pieces that have one, longest piece first. best: by piece, label before it, label."""
         alive = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
-        best = score[first] + self.first
-        back = np.zeros((n, K), np.int8)
-        final = np.zeros((len(first), K))
+        back = []
+        final = np.zeros_like(best)
         for t in range(1, size[0] + 1):
             m = alive[t] if t < size[0] else 0
-            final[m : len(best)] = best[m:]
+            final[m:len(best)] = best[m:]
             if not m:
                 break
-            step = best[:m, :, None] + self.pairs
-            at = first[:m] + t
-            back[at] = step.argmax(axis=1)
-            best = step.max(axis=1) + score[at]
-        labels = np.zeros(n, np.int64)
-        now = final.argmax(axis=1)
+            step = best[:m, :, :, None] + self.pairs
+            back.append(step.argmax(axis=2).astype(np.int8))
+            best = step.max(axis=2) + score[first[:m] + t][:, None]
+        return final, back
+
+    @staticmethod
+    def _backward(labels: np.ndarray, first: np.ndarray, size: np.ndarray, back: list[np.ndarray], enter: np.ndarray, leave: np.ndarray) -> None:
+        now = leave.copy()
+        alive = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
         for t in range(size[0] - 1, -1, -1):
             m = alive[t]
-            at = first[:m] + t
-            labels[at] = now[:m]
-            now[:m] = back[at, now[:m]]
-        return labels
+            labels[first[:m] + t] = now[:m]
+            if t:
+                now[:m] = back[t - 1][np.arange(m), enter[:m], now[:m]]
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:

@@ -404,6 +404,32 @@ def test_viterbi_equals_enumeration():
             assert labels[at:to].tolist() == list(best)
 
 
+def test_lines_longer_than_a_piece_are_decoded_whole(spark):
+    field = pii.train()
+    size = pii.SEGMENT
+    for lead in range(size - 4, size + 2):
+        text = "onth " * lead + "Dear Mr John Smith, thank you. " + "reou " * size + "SSN: 123-45-6789"
+        at, to = text.index("Mr John"), text.index("123-45")
+        assert pii.scan(docs(spark, [(1, text)]), field).head().spans == f"name:{at}:{at + 13},id:{to}:{to + 11}"
+    rnd = random.Random(4)
+    tokens = [x for row in pii.LABELLED for x in re.sub(r"\[(name|id) |\]", "", row).split()]
+    raw = np.frombuffer("\n".join(" ".join(rnd.choices(tokens, k=k)) for k in (1, 199, 200, 201, 400, 401, 1234)).encode(), np.uint8)
+    w = pii.Words(raw, np.array([0, len(raw)]), RangeHash())
+    labels, score = field.decode(w), field.unary(field.features(w))
+    first = np.flatnonzero(w.begins)
+    assert len(first) == 7
+    for at, to in zip(first, [*first[1:], len(labels)], strict=True):
+        best, back = score[at] + field.first, []
+        for t in range(at + 1, to):
+            step = best[:, None] + field.pairs
+            back.append(step.argmax(axis=0))
+            best = step.max(axis=0) + score[t]
+        want = [int(best.argmax())]
+        for b in reversed(back):
+            want.append(int(b[want[-1]]))
+        assert labels[at:to].tolist() == want[::-1]
+
+
 # ---------------------------------------------------------------- search
 
 
