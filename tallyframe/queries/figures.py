@@ -98,9 +98,9 @@ tot AS (SELECT k, max(r) + 1 AS r, sum(v) + CASE WHEN k % 12 = 0 THEN 5 ELSE 0 E
 
 @query(f"WITH {LINES} SELECT k, CAST(r AS INTEGER) AS \"row\", CASE WHEN n >= 2 AND abs(CAST(v AS DOUBLE) - CAST(exact AS DOUBLE)) <= 0.005 * (n + 1) THEN 'tied' WHEN n >= 3 THEN 'finding' ELSE 'nothing' END AS outcome, CAST(CASE WHEN n >= 3 THEN n ELSE 0 END AS INTEGER) AS addends FROM tot")
 def co003_total(t):
-    """The lines of an order and a total below them, every third total 5 too high."""
+    """The lines of every order and a total below them, the total 5 too high where 12 divides the key."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    lines = t.lineitem.where("l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("k"), F.row_number().over(order).alias("row"), F.col("l_extendedprice").cast("decimal(18,2)").alias("v"))
+    lines = t.lineitem.select(F.col("l_orderkey").alias("k"), F.row_number().over(order).alias("row"), F.col("l_extendedprice").cast("decimal(18,2)").alias("v"))
     tot = lines.groupBy("k").agg((F.max("row") + 1).alias("row"), (F.sum("v") + F.when(F.col("k") % 12 == 0, 5).otherwise(0)).alias("v"))
     cells = lines.withColumn("is_total", F.lit(False)).unionByName(tot.withColumn("is_total", F.lit(True)))
     return consistency.totals(cells.select("k", "row", "is_total", F.col("v").cast("double").alias("value"), F.lit(2).alias("decimals")), ["k"], "row")

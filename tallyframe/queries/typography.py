@@ -43,7 +43,7 @@ def footnote_strip(t):
 @query(f"WITH r AS ({RENDERED_SQL}) SELECT k, CASE WHEN k % 8 = 4 THEN regexp_replace(cell, '^-', '') || '0' ELSE cell END AS written FROM r WHERE k % 8 IN (0, 1, 2, 3)")
 def restate(t):
     """A parsed figure written again from its parts reads as it did."""
-    r = rendered(t).where("k % 8 IN (0, 1, 2, 3)").select("k", numbers.parse_number(F.col("cell")).alias("r"))
+    r = rendered(t).select("k", numbers.parse_number(F.col("cell")).alias("r")).where("r IS NOT NULL")
     return r.select("k", numbers.restate(F.col("r.value"), F.col("r.decimals"), F.col("r.separator"), F.col("r.negative_style"), F.col("r.currency"), F.col("r.suffix")).alias("written"))
 
 
