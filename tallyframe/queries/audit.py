@@ -64,7 +64,12 @@ def cluster_findings(t):
 
 @query(f"WITH {FOUND} SELECT s.severity, count(f.id) AS n FROM (SELECT unnest(['blocker','major','minor','info']) AS severity) s LEFT JOIN f ON f.severity = s.severity AND f.slide = 7 GROUP BY 1")
 def audit_summary(t):
-    return audit.summary(found(t).where("slide = 7"), t.spark).select("severity", F.col("n").cast("long").alias("n"))
+    """Findings by severity, of the whole audit (slide null) and of each slide; zeros included."""
+    f = found(t)
+    every = audit.summary(f, t.spark).select(F.lit(None).cast("long").alias("slide"), "severity", F.col("n").cast("long").alias("n"))
+    of = lambda s: F.count(F.when(F.col("severity") == s, 1))
+    slides = f.groupBy("slide").agg(F.array(*[F.struct(F.lit(s).alias("severity"), of(s).alias("n")) for s in audit.SEVERITIES]).alias("counts"))
+    return every.unionByName(slides.select("slide", F.inline("counts")))
 
 
 DELTA = "b AS (SELECT 'K' || o_orderkey % 997 AS key FROM orders WHERE o_orderkey % 3 <> 0), a AS (SELECT 'K' || o_orderkey % 997 AS key FROM orders WHERE o_orderkey % 4 <> 0)"

@@ -30,3 +30,16 @@ def test_every_number_is_restated_as_written(spark, data):
     assert {k % 8 for k in want} == {0, 1, 2, 3, 4}
     got = run(spark, data, "restate")
     assert len(got) == len(want) and {r.k: r.written for r in got} == want
+
+
+def test_summary_counts_every_finding(spark, data):
+    severities = ("blocker", "major", "minor", "info")
+    want = {(None, s): 0 for s in severities}
+    for r in Tables(spark, data).orders.select("o_orderkey", "o_custkey").collect():
+        slide, severity = r.o_custkey % 200, severities[r.o_orderkey % 4]
+        for s in severities:
+            want.setdefault((slide, s), 0)
+        want[slide, severity] += 1
+        want[None, severity] += 1
+    got = run(spark, data, "audit_summary")
+    assert len(got) == len(want) and {(r.slide, r.severity): r.n for r in got} == want
