@@ -199,9 +199,12 @@ def nearest_centroid(t):
 @query("""SELECT o.o_orderkey, max_by(e.event_id, (e.ts, e.event_id)) AS event_id FROM orders o JOIN events e ON e.user_id = o.o_custkey % 1000 AND e.event_id % 3 = o.o_orderkey % 3 AND CAST(e.event_id AS BIGINT) <= o.o_orderkey GROUP BY 1""")
 def asof_event(t):
     """For each order the last event of its user among those that come before it."""
-    o, e = t.orders.alias("o"), t.events.alias("e")
-    on = (F.col("e.user_id") == F.col("o.o_custkey") % 1000) & (F.col("e.event_id") % 3 == F.col("o.o_orderkey") % 3) & (F.col("e.event_id") <= F.col("o.o_orderkey"))
-    return o.join(e, on).groupBy("o_orderkey").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    at = F.struct("ts", "event_id")
+    e = t.events.select(F.col("user_id").cast("long").alias("user"), F.col("event_id").cast("long").alias("key"), F.lit(None).cast("long").alias("o_orderkey"), at.alias("event"))
+    o = t.orders.select((F.col("o_custkey") % 1000).cast("long").alias("user"), F.col("o_orderkey").cast("long").alias("key"), F.col("o_orderkey").cast("long").alias("o_orderkey"), F.lit(None).cast(e.schema["event"].dataType).alias("event"))
+    before = Window.partitionBy("user").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    last = e.unionByName(o).where("user IS NOT NULL AND key IS NOT NULL").withColumn("event", F.max("event").over(before))
+    return last.where("o_orderkey IS NOT NULL AND event IS NOT NULL").groupBy("o_orderkey").agg(F.max("event")["event_id"].alias("event_id"))
 
 
 @query("""WITH a AS (SELECT p_brand, p_partkey, p_size, p_retailprice FROM part)

@@ -43,3 +43,18 @@ def test_summary_counts_every_finding(spark, data):
         want[None, severity] += 1
     got = run(spark, data, "audit_summary")
     assert len(got) == len(want) and {(r.slide, r.severity): r.n for r in got} == want
+
+
+def test_the_nearest_event_of_any_residue(spark, data):
+    t = Tables(spark, data)
+    events = defaultdict(list)
+    for r in t.events.select("user_id", "event_id", "ts").collect():
+        events[r.user_id].append((r.ts, r.event_id))
+    want = {}
+    for r in t.orders.select("o_orderkey", "o_custkey").collect():
+        earlier = [x for x in events[r.o_custkey % 1000] if x[1] <= r.o_orderkey]
+        if earlier:
+            want[r.o_orderkey] = max(earlier)[1]
+    assert any(k % 3 != v % 3 for k, v in want.items())
+    got = run(spark, data, "asof_event")
+    assert len(got) == len(want) and {r.o_orderkey: r.event_id for r in got} == want
