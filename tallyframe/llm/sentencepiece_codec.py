@@ -2,10 +2,11 @@
 
 A text becomes U+2581, then the text with spaces as U+2581; it is cut before each U+2581 that follows another character,
 which no piece crosses. Within a chunk an agenda takes the best-scored pair of neighbours first, the leftmost of equals;
-a candidate merge is skipped for good where a keyed hash of (seed, variant, chunk, start, middle, end) falls below the
-dropout rate. An occurrence's variant, one of VARIANTS, is a hash of seed, document and place, so a word takes several
-segmentations, and equal (chunk, variant) pairs of a slice are segmented once. Chunks of up to LONG characters run
-together in numpy, one merge a round each; longer ones use a heap. At rate 0 the ids are those of the library.
+a candidate merge is skipped for good where a keyed hash of (seed, document, place, start, middle, end) falls below the
+dropout rate, so every occurrence of a chunk has its own draws. Equal chunks of a slice are first segmented once without
+dropout, which lists their candidates; an occurrence that skips none of them takes that result, any other is segmented
+by itself. Chunks of up to LONG characters run together in numpy, one merge a round each; longer ones use a heap. At
+rate 0 the ids are those of the library.
 
 Characters without a piece, and U+2581 itself, become byte pieces, so decoding gives every text back exactly.
 
@@ -30,7 +31,7 @@ from tallyframe.llm.common import RangeHash, buffers, mix64, text_slices
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
 NO_PIECE = 0x110000
-DROPOUT, SEED, VARIANTS, LONG = 0.1, 20, 16, 48
+DROPOUT, SEED, LONG = 0.1, 20, 48
 NEVER = np.int64(1) << 62
 MASK = (1 << 64) - 1
 A, B, C = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
@@ -42,6 +43,12 @@ def _mix(x: int) -> int:
     return x ^ (x >> 33)
 
 
+def _span(i: np.ndarray, j: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """What a candidate's start, middle and end within its chunk add to the key of its draw."""
+    i, j, k = (x.astype(np.uint64) for x in (i, j, k))
+    return i * np.uint64(A) + j * np.uint64(B) + k * np.uint64(C)
+
+
 class Codec:
     """Tables of a BPE model: characters to ids, pairs of ids to the merged id and its rank, ids to bytes."""
 
@@ -129,9 +136,11 @@ class Codec:
                 offer(before[i], i)
         return [(-1 - i) if x == -1 else x for i, x in enumerate(ids) if x is not None]
 
-    def chunks(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, drop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def chunks(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, drop: int, seen: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Segment chunks code[start:end] together: ids, their places in code, and the chunk of each, in order.
 
+        seen takes (chunk, spans) of all candidates, spans as _span has them.
+
         A character without a piece has id -1.
         """
         size = ends - starts
@@ -148,11 +157,14 @@ class Codec:
             nxt = np.minimum(at + 1, len(ids) - 1)
             m = self.merged(ids[at], ids[nxt])
             ok = (m >= 0) & (chunk[nxt] == chunk[at]) & (nxt > at)
-            if drop:
+            if drop or seen is not None:
                 w = np.flatnonzero(ok)
                 base = starts[chunk[at[w]]]
-                i, j, k = (x.astype(np.uint64) for x in (place[at[w]] - base, place[nxt[w]] - base, stop[nxt[w]] - base))
-                ok[w] = mix64(keys[chunk[at[w]]] + i * np.uint64(A) + j * np.uint64(B) + k * np.uint64(C)) >= drop_at
+                span = _span(place[at[w]] - base, place[nxt[w]] - base, stop[nxt[w]] - base)
+                if seen is not None:
+                    seen.append((chunk[at[w]], span))
+                if drop:
+                    ok[w] = mix64(keys[chunk[at[w]]] + span) >= drop_at
             return m, np.where(ok, self.rank[m], NEVER)
 
         to, rank = ranks(np.arange(len(ids))) if len(ids) else (ids, ids)
@@ -180,7 +192,7 @@ class Codec:
         order = np.argsort(chunk, kind="stable")
         return ids[order], place[order], chunk[order]
 
-    def encode(self, raw: np.ndarray, offsets: np.ndarray, doc_keys: np.ndarray, rate: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, raw: np.ndarray, offsets: np.ndarray, doc_keys: np.ndarray, rate: float = DROPOUT, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the n + 1 offsets of the texts in it."""
         docs = len(offsets) - 1
         if not len(raw):
@@ -198,22 +210,30 @@ class Codec:
         of = np.searchsorted(first, starts, side="right") - 1
         h = RangeHash()(code.astype(np.uint32), starts, ends)
         drop = min(int(rate * 2.0**64), MASK)
-        key = h.copy()
+        _, pick, inverse = np.unique(h, return_index=True, return_inverse=True)
+        key = np.zeros(len(starts), np.uint64)
         if drop:
             place = (starts - first[of]).astype(np.uint64)
-            variant = mix64(doc_keys[filled][of] + place * np.uint64(A) + np.uint64(seed * B & MASK)) % np.uint64(variants)
-            key = mix64(h + variant * np.uint64(C) + np.uint64(seed * A & MASK))
-        _, pick, inverse = np.unique(key, return_index=True, return_inverse=True)
-        short = ends[pick] - starts[pick] <= LONG
-        some = np.flatnonzero(short)
-        ids, at, chunk = self.chunks(code, starts[pick[some]], ends[pick[some]], key[pick[some]], drop)
-        ids, at, chunk = [ids], [at], [some[chunk]]
-        for k in np.flatnonzero(~short).tolist():
-            s, e = int(starts[pick[k]]), int(ends[pick[k]])
-            got = np.array(self.heap(code[s:e].tolist(), int(key[pick[k]]), drop), np.int64)
-            ids.append(np.maximum(got, -1))
-            at.append(np.where(got < 0, s - 1 - got, s))
-            chunk.append(np.full(len(got), k))
+            key = mix64(mix64(doc_keys[filled][of] + np.uint64(seed * B & MASK)) + place * np.uint64(A))
+            own = self._dropped(code, starts, ends, pick, inverse, key, drop)
+            inverse[own] = len(pick) + np.arange(len(own))
+            pick, plain = np.concatenate((pick, own)), len(pick)
+        else:
+            plain = len(pick)
+        ids, at, chunk = [], [], []
+        for some, rate_of in ((np.arange(plain), 0), (np.arange(plain, len(pick)), drop)):
+            short = ends[pick[some]] - starts[pick[some]] <= LONG
+            for part in np.array_split(some[short], max(1, int(short.sum()) >> 16)):
+                got, places, of_part = self.chunks(code, starts[pick[part]], ends[pick[part]], key[pick[part]], rate_of)
+                ids.append(got)
+                at.append(places)
+                chunk.append(part[of_part])
+            for k in some[~short].tolist():
+                s, e = int(starts[pick[k]]), int(ends[pick[k]])
+                got = np.array(self.heap(code[s:e].tolist(), int(key[pick[k]]), rate_of), np.int64)
+                ids.append(np.maximum(got, -1))
+                at.append(np.where(got < 0, s - 1 - got, s))
+                chunk.append(np.full(len(got), k))
         ids, at, chunk = (np.concatenate(x) for x in (ids, at, chunk))
         order = np.argsort(chunk, kind="stable")
         ids, at, chunk = self._bytes(ids[order], code[at[order]], chunk[order])
@@ -226,6 +246,25 @@ class Codec:
         per[filled] = np.bincount(of, weights=n, minlength=len(filled)).astype(np.int64)
         return out, np.concatenate(([0], np.cumsum(per)))
 
+    def _dropped(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray, pick: np.ndarray, inverse: np.ndarray, key: np.ndarray, drop: int) -> np.ndarray:
+        """The occurrences that skip a candidate of their chunk's segmentation without dropout, and all longer ones."""
+        short = np.flatnonzero(ends[pick] - starts[pick] <= LONG)
+        seen: list[tuple[np.ndarray, np.ndarray]] = []
+        self.chunks(code, starts[pick[short]], ends[pick[short]], key[pick[short]], 0, seen)
+        of, span = (np.concatenate(x) for x in zip(*seen, strict=True)) if seen else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        order = np.argsort(short[of], kind="stable")
+        span = span[order]
+        n = np.bincount(short[of], minlength=len(pick))
+        zero = np.cumsum(n) - n
+        hit = (ends - starts > LONG) & (drop > 0)
+        todo = np.flatnonzero(~hit)
+        for t in range(int(n.max(initial=0))):
+            todo = todo[n[inverse[todo]] > t]
+            low = mix64(key[todo] + span[zero[inverse[todo]] + t]) < np.uint64(drop)
+            hit[todo[low]] = True
+            todo = todo[~low]
+        return np.flatnonzero(hit)
+
     def _bytes(self, ids: np.ndarray, code: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Replace ids of -1 by the byte pieces of their characters."""
         ids = ids.astype(np.int32)

@@ -142,6 +142,34 @@ def test_dropout_varies_by_seed_and_place():
     assert not np.array_equal(one, other)
 
 
+def test_dropout_is_drawn_for_each_occurrence():
+    rate, pair, many = 0.1, "of", 20000
+    _, _, _, ids, at = _encode([f" {pair}"] * many, rate)
+    whole = _encode([f" {pair}"], 0.0)[3]
+    varied = 1 - np.mean([np.array_equal(ids[s:e], whole) for s, e in zip(at[:-1], at[1:], strict=True)])
+    assert varied > 0
+    _, _, _, ids, at = _encode([" reproducibility"] * many, rate)
+    assert len({ids[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)}) > 100
+    _, _, _, one, at = _encode([" reproducibility" * 400], rate)
+    assert len(one) > len(_encode([" reproducibility" * 400], 0.0)[3])
+    # a chunk with a single candidate is split in a tenth of its places
+    codec = sentencepiece_codec.codec(sentencepiece_codec.MODEL_PATH)
+    two = next(c for c in "abcdefghijklmnopqrstuvwxyz" if len(codec.heap([sentencepiece_codec.SPACE, ord(c)], 0, 0)) == 1)
+    ids = _encode([two] * many, rate)[3]
+    assert abs((len(ids) - many) / many - rate) < 0.01
+
+
+def test_reused_chunks_equal_those_segmented_alone():
+    texts = [*sample_texts(40), "x" * 100, "é ▁ 🎉"]
+    codec, raw, offsets, ids, at = _encode(texts, 0.2)
+    keys = np.arange(len(texts)).astype(np.uint64)
+    full = lambda self, code, starts, *_: np.arange(len(starts))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(sentencepiece_codec.Codec, "_dropped", full)
+        alone = codec.encode(raw, offsets, keys, 0.2)
+    assert np.array_equal(ids, alone[0]) and np.array_equal(at, alone[1])
+
+
 def test_encode_and_decode_frames(spark):
     table = docs(spark, EDGES)
     ids = sentencepiece_codec.encode(table)
