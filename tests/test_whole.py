@@ -1,6 +1,7 @@
 """Warehouse queries over their whole tables, against plain Python: no part of a table may be left out."""
 
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 from tallyframe import queries as warehouse
 from tallyframe.queries import typography
@@ -58,3 +59,14 @@ def test_the_nearest_event_of_any_residue(spark, data):
     assert any(k % 3 != v % 3 for k, v in want.items())
     got = run(spark, data, "asof_event")
     assert len(got) == len(want) and {r.o_orderkey: r.event_id for r in got} == want
+
+
+def test_windows_of_all_languages_and_counts(spark, tmp_path):
+    rows = [(1, "the cat sat. the cat", "en"), (2, "the cat sat. the cat", "fr"), (3, "ein Hund lief", "de"), (4, "two words", "en"), (5, None, "es"), (6, "", "en"), (7, "a-b c'd e&f g", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter()
+    for _, said, _ in rows:
+        words = re.findall(r"[A-Za-z0-9][A-Za-z0-9'’&.\-]*", said or "")
+        want.update(" ".join(words[i : i + 3]) for i in range(len(words) - 2))
+    got = run(spark, tmp_path, "ngram_windows")
+    assert len(got) == len(want) == 6 and {r.gram: r.n for r in got} == want
