@@ -567,7 +567,8 @@ def _split_heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     heavy_seen.clear()
                 heavy_seen.update(pairs)
                 both = sorted(pairs)
-                out.append(pa.RecordBatch.from_arrays([pa.array([t for t, _ in both], pa.int64()), pa.array([c for _, c in both], pa.int64()), pa.array([True] * len(both))], names=["list", "cls", "star"]))
+                if both:
+                    out.append(pa.RecordBatch.from_arrays([pa.array([t for t, _ in both], pa.int64()), pa.array([c for _, c in both], pa.int64()), pa.array([True] * len(both), pa.bool_())], names=["list", "cls", "star"]))
             yield batch.slice(k).select(["token", "cls", "n"])
 
     for batch in _lists(plain()):

@@ -235,6 +235,16 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
     assert sorted(map(tuple, got), key=key) == sorted(brute_components(rows), key=key)
 
 
+def test_frequent_shingles_that_repeat_across_batches():
+    names = ["token", "cls", "n"]
+    batch = pa.RecordBatch.from_arrays([pa.array([-5, -5, 7, 7]), pa.array([1, 2, 1, 2]), pa.array([6, 6, 6, 6], pa.int32())], names=names)
+    out = list(ngram_join._split_heavy(iter([batch, batch, batch])))
+    assert len({b.schema for b in out}) == 1
+    rows = [r for b in out for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert sorted(r[:2] for r in rows if r[2]) == [(-5, 1), (-5, 2)]
+    assert {r[1] for r in rows if not r[2]} == {1, 2}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert ngram_join.near_duplicates(docs(spark, [])).count() == 0
     assert [tuple(r) for r in ngram_join.near_duplicates(docs(spark, [(1, None)])).collect()] == [(1, 0, 1)]
