@@ -7,21 +7,38 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.common import materialise
 
+HUBS = 1000
+
+
+def _with_least(edges: DataFrame, key: str, least: DataFrame, total: int) -> DataFrame:
+    """edges joined to (node, m, n) of their `key` end.
+
+    Nodes with over 1 / HUBS of all `total` edge ends are joined by broadcast: there are fewer than HUBS of them, whatever
+    the graph. All others hold at most that share of a shuffle.
+    """
+    limit = total // HUBS
+    hubs = F.broadcast(least.where(F.col("n") > limit).select(F.col("node").alias("hub"), F.col("m").alias("hub_m")))
+    marked = edges.join(hubs, F.col(key) == F.col("hub"), "left")
+    hot = marked.where("hub IS NOT NULL").select("hi", "lo", F.col("hub_m").alias("m"))
+    cold = marked.where("hub IS NULL").select("hi", "lo").join(least.where(F.col("n") <= limit), F.col(key) == F.col("node")).select("hi", "lo", "m")
+    return hot.unionByName(cold)
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): label is the smallest node of its component. Nodes without edges do not appear.
 
-    The step count is logarithmic; a node with many neighbours is combined before the shuffle, and the join back to its
-    edges is one that adaptive execution can split.
+    The step count is logarithmic. A node with many neighbours is combined before each shuffle, and its edges are joined
+    where they lie. An edge needs the least neighbour of its lower end only: towards the lower end it has nothing to give.
     """
     edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
-    before = None
-    while True:
-        both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(low.select("hi", F.col("m").alias("lo")))
+    before = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")).first()
+    while before.n:
+        ends = edges.select(F.col("hi").alias("node"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("node"), F.col("hi").alias("v")))
+        least = ends.groupBy("node").agg(F.least(F.min("v"), F.col("node")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = materialise(_with_least(edges, "lo", least, 2 * before.n).select("hi", F.col("m").alias("lo")).distinct(), "large")
+        low = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n")).withColumnRenamed("hi", "node")
+        kept = low.select(F.col("node").alias("hi"), F.col("m").alias("lo"))
+        small = _with_least(large, "hi", low, before.n).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(kept)
         edges = materialise(small.where("hi <> lo").distinct(), "edges")
         after = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")).first()
         if after == before:

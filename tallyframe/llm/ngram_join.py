@@ -5,16 +5,21 @@ sets are one class. Two classes link when 9 * overlap >= 4 * (size + size), whic
 
 1. `_heavy` finds frequent shingles. They only set an order: rare shingles first, frequent ones last.
 2. Linked sets share a shingle among the first size - ceil(0.8 * size) + 1 of that order. Classes that share one
-   form lists; frequent shingles do not form lists but tie their classes together as edges to a node of their own.
-3. Signature trees over each list: a leaf has a class's token bitmap (about one bit a shingle or two), its size, and
-   its slack (shingles less bits); a node the OR of its bitmaps, the range of sizes and the largest slack. Two nodes
-   can hold at most popcount(a AND b) + min(slack) common shingles, so a dual traversal drops node pairs whose
-   largest overlap is too small. What is left ties classes into candidate groups.
+   form lists. A list over LONG_LIST classes, and that of a frequent shingle, is a star: it only says that its classes
+   belong to one group, so no list is ever buffered whole.
+3. Signature trees: a leaf has a class's token bitmap (about one bit a shingle or two), its size, and its slack (shingles
+   less bits); a node the OR of its bitmaps, the range of sizes and the largest slack. Two nodes can hold at most
+   popcount(a AND b) + min(slack) common shingles, so a dual traversal drops node pairs whose largest overlap is too
+   small. Short lists and the groups that stars make go through it; what is left ties classes into candidate groups.
 4. Candidate groups get their whole texts once and go through the same trees, now with an exact count of common
    shingles at the leaves. Node pairs whose classes are one component already are skipped, so a group of n near copies
    costs about n counts, and only the edges that join components leave a task.
-5. A candidate group with more than BLOCK shingles is dealt into blocks by a salted hash. After ROUNDS dealings its
-   classes outside the largest component meet every block, so no link between blocks is lost.
+5. In both passes a group beyond its block (SIGNED signature bits, BLOCK shingles) is dealt into blocks by a salted
+   hash. After ROUNDS dealings the classes outside the largest component meet every block of a size within 0.8 to
+   1.25 of their own, so no link between blocks is lost, and what they carry to blocks of the first pass is a bitmap.
+
+Sets are compared by 63-bit hashes of shingles. Two of k distinct shingles share a hash with odds of about k * k / 2 ** 64
+each; a wrong link needs a fifth of a set to collide.
 
 Cases: null and empty texts and texts without words have n_shingles 0 and only themselves as component; equal texts
 share a component; a null doc_id is linked like others but never names a component unless all its members are null;
@@ -36,8 +41,9 @@ from tallyframe.llm.components import components
 WIDTH = 5
 HEAVY = 65_536  # frequent shingles kept, so what is sent to tasks is bounded
 FLUSH = 1 << 22
-LONG_LIST = 2_000
+LONG_LIST = 2_000  # a longer list is a group of the signature pass instead of a row of its own
 BLOCK = 1 << 19
+SIGNED = 1 << 22
 ROUNDS = 2
 FANOUT = 8
 FRONTIER = 1 << 17
@@ -125,10 +131,23 @@ def _count_heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _heavy(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, sorted, and the rank of each by count. An order only: any choice gives the same links."""
+    """The most frequent shingles, sorted, and the rank of each by count. An order only: any choice gives the same links.
+
+    A histogram of counts gives the count from which at most HEAVY shingles are taken, so none passes through a sort of
+    all. A shingle below that count stands in at most total / HEAVY documents.
+    """
     rows = docs.select("text").mapInArrow(_count_heavy, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    got = rows.orderBy(F.desc("n"), "token").limit(HEAVY).toArrow()
-    tokens = got.column("token").to_numpy().astype(np.int64).view(np.uint64)
+    step = F.floor(F.log2("n") * 16).cast("int").alias("step")
+    rows = materialise(rows.select("token", "n", step), "frequent")
+    least, held = 1 << 30, 0
+    for r in sorted(rows.groupBy("step").count().collect(), reverse=True):  # at most 16 * 64 rows
+        held += r["count"]
+        if held > HEAVY:
+            break
+        least = r["step"]
+    got = rows.where(F.col("step") >= least).select("token", "n").toArrow()
+    tokens, n = got.column("token").to_numpy(), got.column("n").to_numpy()
+    tokens = tokens[np.lexsort((tokens, -n))].astype(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     return tokens[order], (HEAVY - np.arange(len(tokens)))[order].astype(np.uint64)
 
@@ -158,7 +177,7 @@ def _prefixes(heavy: tuple[np.ndarray, np.ndarray]):
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ranges = RangeHash()
     for batch in text_slices(batches, "text", 1 << 20):
-        tokens, owner = distinct(*shingles(*buffers(batch.column(1)), ranges))
+        tokens, owner = distinct(*shingles(*buffers(batch.column(2)), ranges))
         n, key = _set_keys(tokens, owner, batch.num_rows)
         bits = bitmap_bits(n) * (n > 0)
         zero = np.cumsum(bits) - bits
@@ -166,7 +185,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat[zero[owner] + (tokens & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)] = 1
         packed = np.packbits(flat, bitorder="little")
         maps = pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((np.concatenate((zero, [len(flat)])) // 8).astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(key), maps], names=["doc_id", "n", "cls", "bits"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(key), maps], names=["doc_id", "row", "n", "cls", "bits"])
 
 
 # ---------------------------------------------------------------- lists of classes that share a shingle
@@ -175,8 +194,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (token, cls, n) in order to rows (list, cls), a list being written once for each task; a long list as a star."""
     rest: tuple | None = None
+    streaming: int | None = None  # the shingle whose list has outgrown LONG_LIST: its rows go out as they come
     seen: set[int] = set()
 
+    def star_of(token: int, cls: np.ndarray) -> pa.RecordBatch:
+        cls = np.unique(cls)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cls), token)), pa.array(cls), pa.array(np.ones(len(cls), bool))], names=["list", "cls", "star"])
+
     def cut(token: np.ndarray, cls: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
@@ -204,12 +228,22 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = tuple(batch.column(k).to_numpy() for k in range(3))
         if rest is not None:
             got = tuple(np.concatenate(x) for x in zip(rest, got, strict=True))
+        if streaming is not None and len(got[0]):
+            k = int(np.searchsorted(got[0], streaming, side="right"))
+            if k:
+                yield star_of(streaming, got[1][:k])
+            got = tuple(x[k:] for x in got)
+            streaming = streaming if not len(got[0]) else None
         if not len(got[0]):
+            rest = None
             continue
         end = int(np.searchsorted(got[0], got[0][-1]))
         rest = tuple(x[end:] for x in got)
         if end:
             yield cut(*(x[:end] for x in got))
+        if len(rest[0]) > LONG_LIST:
+            streaming, rest = int(rest[0][0]), None
+            yield star_of(streaming, got[1][end:])
     if rest is not None and len(rest[0]):
         yield cut(*rest)
 
@@ -417,6 +451,20 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 4096) -> I
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (place, cls), each pair once: a row that repeats a thousand times is held once."""
+    before: tuple[int, int] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        place, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new = np.ones(len(place), bool)
+        new[1:] = (place[1:] != place[:-1]) | (cls[1:] != cls[:-1])
+        new[0] = before != (place[0], cls[0])
+        before = (place[-1], cls[-1])
+        yield batch if new.all() else batch.filter(pa.array(new))
+
+
 def _edges(a: list[int] | np.ndarray, b: list[int] | np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -427,22 +475,23 @@ def _heads(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (list, cls, n, bits) in order of list to edges between classes that the trees could not tell apart."""
-    for table in _groups(batches, "list"):
+    """Rows (place, cls, known, n, bits) in order of place to edges between classes that the trees could not tell apart."""
+    for table in _groups(_once(batches), "place"):
         cls, n = table.column("cls").to_numpy(), table.column("n").to_numpy().astype(np.int64)
-        bits = _bits(table.column("bits"))
-        first, size = _heads(table.column("list").to_numpy())
+        bits, known = _bits(table.column("bits")), table.column("known").to_numpy()
+        first, size = _heads(table.column("place").to_numpy())
         a, b = _small(bits, n, first, size)
-        yield _edges(cls[a], cls[b])
+        apart = known[a] != known[b]
+        yield _edges(cls[a[apart]], cls[b[apart]])
         for f, m in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-            edges = link_group(bits[f : f + m], n[f : f + m], lambda x, y: True)
+            edges = link_group(bits[f : f + m], n[f : f + m], lambda x, y: True, known[f : f + m])
             yield _edges([int(cls[f + x]) for x, _ in edges], [int(cls[f + y]) for _, y in edges])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (place, cls, known, text) in order of place to edges between linked classes."""
     ranges = RangeHash()
-    for table in _groups(batches, "place", 256):
+    for table in _groups(_once(batches), "place", 256):
         sets: list[np.ndarray] = []
         mine: list[np.ndarray] = []
         bits: list[np.ndarray] = []
@@ -484,31 +533,67 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- the join
 
 
-def _place(block: Column, round_: int) -> Column:
-    return F.xxhash64("grp", block, F.lit(round_)).alias("place")
+def _place(*parts: Column, round_: int) -> Column:
+    return F.xxhash64("grp", *parts, F.lit(round_)).alias("place")
 
 
-def _block(round_: int) -> Column:
-    return F.pmod(F.xxhash64("cls", F.lit(round_)), F.col("blocks"))
+def _block(round_: int, blocks: str = "blocks") -> Column:
+    return F.pmod(F.xxhash64("cls", F.lit(round_)), F.col(blocks))
 
 
 def _again(groups: DataFrame, round_: int, true: DataFrame) -> DataFrame:
     """(cls, known, place) of classes whose group has several blocks and is not one component yet."""
-    known = groups.where("blocks > 1").join(true, groups.cls == true.node, "left").select("grp", "cls", "blocks", F.coalesce("label", "cls").alias("known"))
+    known = groups.where("blocks > 1").join(true, groups.cls == true.node, "left").select("grp", "cls", "n", "weight", "blocks", F.coalesce("label", "cls").alias("known"))
     sizes = known.groupBy("grp", "known").agg(F.count(F.lit(1)).alias("m"))
     main = sizes.groupBy("grp").agg(F.max_by("known", F.struct("m", "known")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     split = known.join(main, "grp")
     if round_ < ROUNDS:
-        return split.select("cls", "known", _place(_block(round_), round_))
-    here = F.when(F.col("known") == F.col("main"), F.array(_block(round_))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    return split.withColumn("__block", F.explode(here)).select("cls", "known", _place(F.col("__block"), round_))
+        return split.select("cls", "known", _place(_block(round_), round_=round_))
+    # Sizes within a factor of 1.25 lie in the same band or in neighbours; the base leaves room for rounding.
+    split = split.withColumn("band", F.floor(F.log("n") / float(np.log(1.26))))
+    per = split.groupBy("grp", "band").agg(F.greatest(F.ceil(F.sum("weight")), F.lit(1)).cast("long").alias("here"))
+    inner = split.where("known = main").join(per, ["grp", "band"]).select("cls", "known", _place(F.col("band"), _block(round_, "here"), round_=round_))
+    outer = split.where("known <> main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).join(per, ["grp", "band"])
+    outer = outer.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("here") - 1))).select("cls", "known", _place(F.col("band"), F.col("block"), round_=round_))
+    return inner.unionByName(outer)
+
+
+def _dealt(groups: DataFrame, bodies: DataFrame, tie, label: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, their components) of groups, in rounds of blocks.
+
+    groups: grp, cls, n, blocks, weight (share of a block). bodies: grp, cls, blocks and what `tie` reads besides.
+    """
+    payload = [c for c in bodies.columns if c not in ("grp", "cls", "blocks")]
+    edges = true = None
+    for round_ in range(ROUNDS + 1):
+        if not round_:
+            body = bodies.select(_place(_block(0), round_=0), "cls", F.col("cls").alias("known"), *payload)
+        else:
+            if groups.where("blocks > 1").isEmpty():
+                break
+            asked = materialise(_again(groups, round_, true), "asked")
+            if asked.isEmpty():
+                break
+            body = bodies.where("blocks > 1").join(asked.hint("merge"), "cls").select("place", "cls", "known", *payload)
+        found = materialise(body.repartition("place").sortWithinPartitions("place", "cls").mapInArrow(tie, "a long, b long"), label)
+        edges = found if edges is None else edges.unionByName(found)
+        true = components(edges)
+    return edges, true
+
+
+def _grouped(members: DataFrame, weight: Column) -> DataFrame:
+    """members: grp, cls, n. With the number of blocks of each group of several classes and each class's share of a block."""
+    members = members.withColumn("weight", weight)
+    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.ceil(F.sum("weight")).cast("long").alias("blocks")).where("m > 1")
+    return members.join(sizes.drop("m"), "grp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # A row is found again by a hash of id and text, so rows without an id are no single key.
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
     heavy = _heavy(texts)
-    signed = materialise(texts.select("doc_id", "text").mapInArrow(_signatures, "doc_id long, n long, cls long, bits binary"), "signatures")
+    signed = materialise(texts.mapInArrow(_signatures, "doc_id long, row long, n long, cls long, bits binary"), "signatures")
     prefix = texts.select("text").mapInArrow(_prefixes(heavy), "token long, cls long, n int")
     # Both kinds of prefix rows leave one shuffle; frequent shingles (negative) are spread by class as well.
     spread = F.when(F.col("token") < 0, F.pmod(F.col("cls"), F.lit(1024))).otherwise(0).alias("spread")
@@ -516,33 +601,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = materialise(rows.mapInArrow(_split_heavy, "list long, cls long, star boolean"), "lists")
     classes = signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     short = lists.where("NOT star").select("list", "cls").distinct()
-    tied = short.join(classes.select("cls", "n", "bits"), "cls").select("list", "cls", "n", "bits").repartition("list").sortWithinPartitions("list", "n", "cls")
+    tied = short.join(classes.select("cls", "n", "bits"), "cls").select(F.col("list").alias("place"), "cls", F.col("cls").alias("known"), "n", "bits")
+    close = materialise(tied.repartition("place").sortWithinPartitions("place", "n", "cls").mapInArrow(_candidates, "a long, b long"), "close")
     # A star's centre is a node of its own; node numbers of lists and classes are set apart by their lowest bit.
     node = lambda c, odd: F.shiftleft(F.xxhash64(c), 1).bitwiseOR(odd)
-    close = tied.mapInArrow(_candidates, "a long, b long").select(node("a", 0).alias("a"), node("b", 0).alias("b"))
     stars = lists.where("star").select(node("cls", 0).alias("a"), node("list", 1).alias("b")).distinct()
-    label = components(close.unionByName(stars))
-    named = signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    groups = named.withColumn("node", node("cls", 0)).join(label, "node").select(F.col("label").alias("grp"), "cls", "doc_id", "n")
-    groups = groups.join(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.ceil(F.sum("n") / BLOCK).cast("long").alias("blocks")).where("m > 1"), "grp")
-    groups = materialise(groups.select("grp", "cls", "doc_id", "blocks"), "groups")
-    edges = true = None
+    starred = classes.withColumn("node", node("cls", 0)).join(components(stars), "node").select(F.col("label").alias("grp"), "cls", "n", "bits")
+    starred = materialise(_grouped(starred, F.greatest(F.lit(64), F.col("n") * 2) / SIGNED), "starred")
+    tied, _ = _dealt(starred, starred.select("grp", "cls", "blocks", "n", "bits"), _candidates, "tied")
+    named = signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n").alias("n"))
+    label = components(close.unionByName(tied))
+    groups = named.join(label, named.cls == label.node).select(F.col("label").alias("grp"), "cls", "row", "n")
+    groups = materialise(_grouped(groups, F.col("n") / BLOCK), "groups")
     # The candidates' texts move once, by merge join at every size, and are kept for the later rounds.
-    ids = groups.select(F.col("doc_id").alias("__id"), "grp", "cls", "blocks").hint("merge")
-    bodies = materialise(texts.join(ids, F.col("doc_id").eqNullSafe(F.col("__id"))).select("grp", "cls", "blocks", "text"), "bodies")
-    for round_ in range(ROUNDS + 1):
-        if not round_:
-            body = bodies.select(_place(_block(0), 0), "cls", F.col("cls").alias("known"), "text")
-        else:
-            if groups.where("blocks > 1").isEmpty():
-                break
-            asked = materialise(_again(groups, round_, true), "asked")
-            if asked.isEmpty():
-                break
-            body = bodies.where("blocks > 1").join(asked.hint("merge"), "cls").select("place", "cls", "known", "text")
-        found = materialise(body.repartition("place").sortWithinPartitions("place", "cls").mapInArrow(_verified, "a long, b long"), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        true = components(edges)
+    bodies = materialise(texts.select("row", "text").join(groups.select("row", "grp", "cls", "blocks").hint("merge"), "row").select("grp", "cls", "blocks", "text"), "bodies")
+    _, true = _dealt(groups, bodies, _verified, "links")
     whole = signed.select("doc_id", "n", "cls")
     least = named.join(true, named.cls == true.node, "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("part"))
     smallest = least.groupBy("part").agg(F.min("doc_id").alias("component_id"))

@@ -229,6 +229,7 @@ def brute_components(rows):
 @pytest.mark.parametrize("block", [1 << 17, 400])
 def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "SIGNED", 4 * block)
     rows = near_rows()
     got = ngram_join.near_duplicates(docs(spark, rows)).collect()
     key = lambda r: tuple(str(x) for x in r)
@@ -245,6 +246,18 @@ def test_frequent_shingles_that_repeat_across_batches():
     assert {r[1] for r in rows if not r[2]} == {1, 2}
 
 
+def test_long_lists_become_stars_as_they_come(monkeypatch):
+    monkeypatch.setattr(ngram_join, "LONG_LIST", 3)
+    rows = [(1, c, 5) for c in range(10, 13)] + [(2, c, 5) for c in range(11)] + [(3, 1, 5), (4, 1, 5), (4, 2, 5)] + [(5, c, 5) for c in range(4)]
+    for size in (1, 2, 5, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[k : k + size], strict=True)], names=["token", "cls", "n"]) for k in range(0, len(rows), size)]
+        lists: dict = {}
+        for b in ngram_join._lists(iter(batches)):
+            for key, c, star in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                lists.setdefault((key, star), set()).add(c)
+        assert sorted((star, sorted(c)) for (_, star), c in lists.items()) == [(False, [1, 2]), (False, [10, 11, 12]), (True, [0, 1, 2, 3]), (True, list(range(11)))]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert ngram_join.near_duplicates(docs(spark, [])).count() == 0
     assert [tuple(r) for r in ngram_join.near_duplicates(docs(spark, [(1, None)])).collect()] == [(1, 0, 1)]
@@ -285,6 +298,14 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(51)}, 100: 100, 200: 100, 300: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    rnd = random.Random(2)
+    edges = [(5, k) for k in range(10, 700)] + [(900, k) for k in range(400, 800)] + [(rnd.randrange(2000, 2400), rnd.randrange(2000, 2400)) for _ in range(300)]
+    forest = ngram_join.Forest(2400)
+    for a, b in edges:
+        forest.join(a, b)
+    root = forest.roots()
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: int(root[k]) for e in edges if e[0] != e[1] for k in e}
 
 
 # ---------------------------------------------------------------- mixing
