@@ -3,10 +3,11 @@
 `statistics` turns whole texts into STATS numbers with numpy over Arrow buffers. `fit` grows logistic-loss trees on
 binned statistics; a forest is flattened into four arrays (statistic, threshold, left child, value), and `Forest.margin`
 walks all documents down all trees level by level. Training reads at most TRAIN_ROWS labelled documents, those with
-the smallest hash of doc_id.
+the smallest hash of doc_id; a document that repeats with one text is read once, and of a doc_id with ever more texts
+no more than TRAIN_ROWS rows are fitted.
 
 Cases: null text counts as empty; an empty text has a score like any other (its statistics are zeros); labels that are
-null or whose document is missing are left out; a document that is labelled twice counts twice; with no labels, or one
+null or whose document is missing are left out; a document that is labelled twice counts twice, one that repeats once; with no labels, or one
 class only, every score is the smoothed share of label 1 (0.5 without labels); repeated rows are scored alike.
 """
 
@@ -179,17 +180,19 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ranges = RangeHash()
     for batch in text_slices(batches, "text", 1 << 19):
         x = statistics(*buffers(batch.column(0)), ranges)
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["quality", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["quality", "key", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, learn_from: Column, train_rows: int = TRAIN_ROWS) -> Forest:
     """docs: doc_id, text; labels: doc_id, quality. Only labels where learn_from(doc_id) holds are read.
 
-    The ids picked are at most train_rows, so their table can be broadcast at any size of the input.
+    The ids picked are at most train_rows, so their table can be broadcast at any size of the input. So are the rows that
+    reach the driver, however often an id repeats.
     """
     picked = labels.where(learn_from & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(train_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), F.col("quality").cast("int").alias("quality"))
-    got = rows.mapInArrow(_measure, "quality int, x array<double>").toArrow()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = rows.select("text", F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id", "text", "quality").alias("key"))
+    got = rows.mapInArrow(_measure, "quality int, key long, x array<double>").dropDuplicates(["key"]).orderBy("key").limit(train_rows).toArrow()
     x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, STATS) if got.num_rows else np.zeros((0, STATS))
     y = got.column("quality").to_numpy().astype(np.float64) if got.num_rows else np.zeros(0)
     order = np.lexsort((*x.T, y))  # the same forest whatever the order of arrival
