@@ -5,6 +5,9 @@ holds a cuckoo filter whose slots point at stored digests: a fingerprint hit is
 its bucket stores, so false positives never merge texts. Map tasks combine their own rows first, hence a group that
 holds a third of all rows reaches the shuffle as one row for each map task.
 
+A deletion that takes a digest's largest id marks its group as stale; `update_groups` finds the next largest among the
+live rows. Tasks read digests in order and hand on what they hold at every COMBINE_KEYS keys.
+
 Cases: null text counts as empty; a null doc_id joins its group and stays only if the whole group has null ids; rows
 that repeat a doc_id and a text share one decision (`dedup` then returns them once); an empty table gives no rows;
 extra columns play no part.
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import ascii_lower, materialise, mix64
+from tallyframe.llm.common import ascii_lower, materialise, mix64, packed, quoted
 
 NO_ID = np.iinfo(np.int64).min
 SLOTS = 4
@@ -40,6 +43,7 @@ class CuckooIndex:
         self.keys = np.zeros((1024, 4), np.uint64)
         self.best = np.zeros(1024, np.int64)
         self.live = np.zeros(1024, np.int64)
+        self.stale = np.zeros(1024, bool)
         self._clear(buckets)
 
     def _clear(self, buckets: int) -> None:
@@ -120,6 +124,7 @@ class CuckooIndex:
         old = rows >= 0
         self.best[rows[old]] = np.maximum(self.best[rows[old]], best[old])
         self.live[rows[old]] += total[old]
+        self.stale[rows[old]] &= best[old] < self.best[rows[old]]
         new = np.flatnonzero(~old)
         if not len(new):
             return
@@ -127,6 +132,7 @@ class CuckooIndex:
             self.keys = np.concatenate((self.keys, np.zeros_like(self.keys)))
             self.best = np.concatenate((self.best, np.zeros_like(self.best)))
             self.live = np.concatenate((self.live, np.zeros_like(self.live)))
+            self.stale = np.concatenate((self.stale, np.zeros_like(self.stale)))
         at = np.arange(self.size, self.size + len(new))
         self.keys[at], self.best[at], self.live[at] = uniq[new], best[new], total[new]
         self.size += len(new)
@@ -136,14 +142,20 @@ class CuckooIndex:
             at = np.flatnonzero(self.live[: self.size] > 0)
         self._place(at)
 
-    def remove(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Take live rows away; a digest without live rows leaves the filter. `best` stays what it was."""
+    def remove(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Take live rows away, ids holding the largest removed of each. A digest without live rows leaves the filter.
+
+        Where the largest id itself goes, `best` is unknown from here: `stale` says so until a larger one comes.
+        """
         uniq, inverse = np.unique(np.ascontiguousarray(keys).view("V32").ravel(), return_inverse=True)
         uniq = uniq.view(np.uint64).reshape(-1, 4)
         total = np.bincount(inverse, weights=counts, minlength=len(uniq)).astype(np.int64)
+        top = np.full(len(uniq), NO_ID, np.int64)
+        np.maximum.at(top, inverse, ids)
         rows = self.find(uniq)
         known = rows >= 0
         self.live[rows[known]] = np.maximum(0, self.live[rows[known]] - total[known])
+        self.stale[rows[known]] |= top[known] >= self.best[rows[known]]
         gone = known & (self.live[np.where(known, rows, 0)] == 0)
         prints, one, two = self._places(uniq[gone])
         for bucket in (one, two):
@@ -152,12 +164,12 @@ class CuckooIndex:
                 self.slots[bucket[mine], s] = 0
                 self.prints[bucket[mine], s] = 0
 
-    def items(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def items(self) -> tuple[np.ndarray, ...]:
         live = self.live[: self.size] > 0
-        return self.keys[: self.size][live], self.best[: self.size][live], self.live[: self.size][live]
+        return tuple(x[: self.size][live] for x in (self.keys, self.best, self.live, self.stale))
 
 
-GROUPS = "digest binary, best_id long, members long"
+GROUPS = "digest binary, best_id long, members long, stale boolean"
 
 
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,15 +180,17 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _emit(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
-    keys, best, live = index.items()
+    keys, best, live, stale = index.items()
     for at in range(0, len(keys), 65536):
         part = slice(at, at + 65536)
         raw = np.ascontiguousarray(keys[part])
         digests = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(raw), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([digests, pa.array(best[part], mask=best[part] == NO_ID), pa.array(live[part])], names=["digest", "best_id", "members"])
+        yield pa.RecordBatch.from_arrays([digests, pa.array(best[part], mask=best[part] == NO_ID), pa.array(live[part]), pa.array(stale[part])], names=["digest", "best_id", "members", "stale"])
+
 
+def _gather(ordered: bool):
+    """Rows to groups. Without order a digest may come out several times; with order once, and at most a batch of keys more is held."""
 
-def _gather(limit: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = CuckooIndex()
         for batch in batches:
@@ -185,10 +199,17 @@ def _gather(limit: int | None):
                 if (counts > 0).any():
                     index.insert(keys[counts > 0], ids[counts > 0], counts[counts > 0])
                 if (counts < 0).any():
-                    index.remove(keys[counts < 0], -counts[counts < 0])
-            if limit and index.size >= limit:
-                yield from _emit(index)
-                index = CuckooIndex()
+                    index.remove(keys[counts < 0], ids[counts < 0], -counts[counts < 0])
+                if index.size >= COMBINE_KEYS:
+                    at = index.find(keys[-1:])[0] if ordered else -1
+                    if at >= 0:  # the digest that may go on in the next batch stays
+                        rest = index.keys[at : at + 1].copy(), index.best[at : at + 1].copy(), index.live[at : at + 1].copy(), bool(index.stale[at])
+                        index.live[at] = 0
+                    yield from _emit(index)
+                    index = CuckooIndex()
+                    if at >= 0:
+                        index.insert(*rest[:3])
+                        index.stale[0] = rest[3]
         yield from _emit(index)
 
     return run
@@ -200,19 +221,35 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"))
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """(digest, best_id, members) rows to one for each digest. Insertions of a digest come before its deletions."""
+    return rows.repartition("digest").sortWithinPartitions("digest", F.desc("members")).mapInArrow(_gather(True), GROUPS)
+
+
+def _combined(rows: DataFrame) -> DataFrame:
+    """(doc_id, digest) rows to one or few for each digest and task."""
+    return rows.select("digest", F.col("doc_id").alias("best_id"), F.lit(1).cast("long").alias("members")).mapInArrow(_gather(False), GROUPS).drop("stale")
+
+
 def digest_groups(rows: DataFrame) -> DataFrame:
     """(doc_id, digest) rows to one row for each digest: digest, best_id (largest doc_id), members."""
-    combined = rows.select("digest", F.col("doc_id").alias("best_id"), F.lit(1).cast("long").alias("members")).mapInArrow(_gather(COMBINE_KEYS), GROUPS)
-    return combined.repartition("digest").mapInArrow(_gather(None), GROUPS)
+    return _merged(_combined(rows)).drop("stale")
 
 
-def update_groups(groups: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
-    """The live index after inserting and deleting (doc_id, digest) rows. Deletions follow the insertions of a digest."""
-    one = F.lit(1).cast("long")
-    changes = groups.select("digest", "best_id", "members").unionByName(added.select("digest", F.col("doc_id").alias("best_id"), one.alias("members")).mapInArrow(_gather(COMBINE_KEYS), GROUPS))
-    gone = removed.groupBy("digest").agg((-F.count(F.lit(1))).alias("members")).select("digest", F.lit(None).cast("long").alias("best_id"), "members")
-    ordered = changes.unionByName(gone).repartition("digest").sortWithinPartitions(F.desc("members"))
-    return ordered.mapInArrow(_gather(None), GROUPS)
+def update_groups(groups: DataFrame, rows: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """The live index after inserting and then deleting (doc_id, digest) rows.
+
+    groups: the index before; rows: the (doc_id, digest) rows it stands for. They are read for stale digests only.
+    """
+    gone = removed.groupBy("digest").agg(F.max("doc_id").alias("best_id"), (-F.count(F.lit(1))).alias("members"))
+    changes = groups.select("digest", "best_id", "members").unionByName(_combined(added)).unionByName(gone)
+    merged = materialise(_merged(changes), "index")
+    signed = lambda df, n: df.select("doc_id", "digest", F.lit(n).cast("long").alias("n"))
+    all_rows = signed(rows, 1).unionByName(signed(added, 1)).unionByName(signed(removed, -1))
+    stale = merged.where("stale").select("digest")
+    live = all_rows.join(stale, "digest", "left_semi").groupBy("digest", "doc_id").agg(F.sum("n").alias("n")).where("n > 0")
+    again = live.groupBy("digest").agg(F.max("doc_id").alias("best_id"), F.sum("n").alias("members"))
+    return merged.where("NOT stale").drop("stale").unionByName(again)
 
 
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,15 +261,15 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that stay, all columns; of repeated rows (same id and text) one stays.
+    """The rows of df that stay, all columns, whatever their names; of repeated rows (same id and text) one stays.
 
     Keys alone are shuffled by digest; the texts move once, by (id, digest).
     """
     groups = digest_groups(digests(df, id_col, text_col))
-    own = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(int(NO_ID))).alias("__keep")
-    keys = groups.select(own("best_id"), F.col("digest").alias("__digest"))
-    marked = df.select(own(id_col), F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)).alias("__digest"), *[F.col(f"`{c}`") for c in df.columns])
-    return marked.join(keys, ["__keep", "__digest"], "left_semi").dropDuplicates(["__keep", "__digest"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    own = lambda c: F.coalesce(quoted(c).cast("long"), F.lit(int(NO_ID)))
+    keys = groups.select(own("best_id").alias("id"), "digest")
+    marked = packed(df, id=own(id_col), digest=F.unhex(F.sha2(ascii_lower(F.coalesce(quoted(text_col), F.lit(""))), 256)))
+    return marked.join(keys, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("row.*")
 
 
 def op5_exact_dedup(spark, sf_dir):
