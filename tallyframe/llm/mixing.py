@@ -7,12 +7,13 @@ budget is `epochs` times all tokens, or, with `keep_all`, the smallest one under
 A source's documents are then read in passes. In pass e its blocks (BLOCK_DOCS documents on average, by hash of id) are
 put in the order of a keyed hash of (seed, source, e, block), and so are the documents of a block. Whole passes repeat every
 document; the last pass takes blocks while they fit the source's remaining tokens, and of the block where the budget
-ends the documents that still fit. No window covers a whole source: blocks have one row each, and documents are
-ordered within the one block that is cut.
+ends the documents that still fit. `plan` says how often each document is read, `schedule` lists every reading with its
+pass, the rank of its block in the pass and its place in the block. No window covers a whole source: ranks and running
+totals of blocks are taken within RANGES ranges of the keyed hash and added to those of the ranges before.
 
 Cases: a null source is a source of its own; null and empty texts have no tokens (such documents follow their block);
 a source without tokens gets weight 0 and no pass, or one with `keep_all`; repeated rows count each; an empty table gives
-no rows; extra columns are kept by `mixed`, those called __source, __tokens, __block or __copies are replaced.
+no rows; extra columns are kept by `mixed`, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import materialise
+from tallyframe.llm.common import materialise, packed
 
 BLOCK_DOCS = 512
 SEED = 6
 MAX_REPEAT = 1.25
 GRID = 32
 STEPS = 5
+RANGES = 4096
 
 
 def tokens(text: Column) -> Column:
@@ -96,6 +98,23 @@ def _order(*parts: Column) -> Column:
     return F.xxhash64(F.lit(SEED), *parts)
 
 
+def _before(blocks: DataFrame, key: Column, group: list[str], size: Column, name: str) -> DataFrame:
+    """blocks with the sum of `size` over those before it in its group, in order of key and then block.
+
+    Two levels: totals of RANGES ranges of the key (few rows for each group), then the blocks within a range.
+    """
+    keyed = blocks.withColumn("key", key).withColumn("range", F.shiftright("key", 64 - RANGES.bit_length() + 1))
+    totals = keyed.groupBy(*group, "range").agg(F.sum(size).alias("held"))
+    prior = Window.partitionBy(*group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*[F.col(g).alias(f"of_{g}") for g in group], F.col("range").alias("of_range"), F.coalesce(F.sum("held").over(prior), F.lit(0)).alias("prior"))
+    inner = Window.partitionBy(*group, "range").orderBy("key", "block").rowsBetween(Window.unboundedPreceding, -1)
+    running = keyed.withColumn("inner", F.coalesce(F.sum(size).over(inner), F.lit(0)))
+    same = F.col("range") == F.col("of_range")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"of_{g}"))
+    return running.join(totals, same).withColumn(name, F.col("prior") + F.col("inner")).drop("key", "range", "inner", "prior", "of_range", *[f"of_{g}" for g in group])
+
+
 def plan(docs: DataFrame, max_repeat: float | None = MAX_REPEAT, min_entropy: float | None = None, epochs: float = 1.0, keep_all: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row for each row of docs: doc_id, source, tokens, block, weight (of its source), copies."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), tokens(F.col(text_col)).alias("tokens"))
@@ -112,8 +131,7 @@ def plan(docs: DataFrame, max_repeat: float | None = MAX_REPEAT, min_entropy: fl
     dealt = rows.alias("d").join(shares.alias("s"), same("d", "s")).select("d.*", "s.weight", "s.passes", "s.rest", F.pmod("d.spread", "s.blocks").alias("block"))
     dealt = materialise(dealt, "dealt")
     blocks = dealt.groupBy("source", "block").agg(F.sum("tokens").alias("size"), F.first("rest").alias("rest"), F.first("passes").alias("pass"))
-    by_source = Window.partitionBy("source").orderBy(_order(F.col("source"), F.col("pass"), F.col("block")), "block")
-    placed = blocks.withColumn("before", F.coalesce(F.sum("size").over(by_source.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = _before(blocks, _order(F.col("source"), F.col("pass"), F.col("block")), ["source"], F.col("size"), "before")
     placed = placed.select("source", "block", F.when(F.col("before") + F.col("size") <= F.col("rest"), "whole").when(F.col("before") < F.col("rest"), "cut").otherwise("none").alias("fate"), (F.col("rest") - F.col("before")).alias("room"))
     fated = dealt.alias("d").join(placed.alias("p"), same("d", "p") & (F.col("d.block") == F.col("p.block"))).select("d.*", F.when(F.col("rest") > 0, F.col("p.fate")).otherwise("none").alias("fate"), "p.room")
     inner = Window.partitionBy("source", "block").orderBy(_order(F.col("source"), F.col("passes"), F.col("doc_id")), "doc_id", "tokens")
@@ -122,16 +140,32 @@ def plan(docs: DataFrame, max_repeat: float | None = MAX_REPEAT, min_entropy: fl
     return fated.where("fate <> 'cut'").select(*out(F.col("fate") == "whole")).unionByName(cut.select(*out(F.col("sum") <= F.col("room"))))
 
 
+def schedule(docs: DataFrame, **options) -> DataFrame:
+    """One row for each reading of a document: doc_id, source, tokens, weight, pass (from 0), block, block_rank, position.
+
+    A source is read in order of pass, block_rank and position (both from 0, without gaps).
+    """
+    planned = materialise(plan(docs, **options), "plan")
+    read = planned.where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("copies")
+    blocks = read.groupBy("source", "pass", "block").agg(F.lit(1).cast("long").alias("one"))
+    ranked = _before(blocks, _order(F.col("source"), F.col("pass"), F.col("block")), ["source", "pass"], F.col("one"), "block_rank")
+    ranked = ranked.select(F.col("source").alias("of_source"), F.col("pass").alias("of_pass"), F.col("block").alias("of_block"), "block_rank")
+    inner = Window.partitionBy("source", "pass", "block").orderBy(_order(F.col("source"), F.col("pass"), F.col("doc_id")), "doc_id", "tokens")
+    placed = read.withColumn("position", F.row_number().over(inner).cast("long") - 1)
+    same = F.col("source").eqNullSafe(F.col("of_source")) & (F.col("pass") == F.col("of_pass")) & (F.col("block") == F.col("of_block"))
+    return placed.join(ranked, same).select("doc_id", "source", "tokens", "weight", "pass", "block", "block_rank", "position")
+
+
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as its copies say, all columns. Rows with the same id and source share a copy count."""
-    copies = plan(docs, **options).groupBy("doc_id", "source").agg(F.max("copies").alias("__copies")).where("__copies > 0").withColumnRenamed("source", "__source").withColumnRenamed("doc_id", "__id")
-    names = docs.columns
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")))
-    return joined.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*names)
+    copies = plan(docs, **options).groupBy("doc_id", "source").agg(F.max("copies").alias("copies")).where("copies > 0").select(F.col("doc_id").alias("of_id"), F.col("source").alias("of_source"), "copies")
+    rows = packed(docs, id=F.col("doc_id"), source=F.col("source").cast("string"))
+    joined = rows.join(copies, F.col("id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op6_mixing(spark, sf_dir):
-    return plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return schedule(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def entropy_of(shares: list[float]) -> float:
