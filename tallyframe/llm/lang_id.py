@@ -1,7 +1,7 @@
 """Language ID by interpolated Kneser-Ney character models.
 
-`train` counts character 4-grams of a bounded, hashed sample of labelled rows (DOCS_PER_LANG whole texts a language,
-MAX_GRAMS grams in all) and derives, for each order, one sorted array of 64-bit gram hashes with a log probability for
+`train` counts character 4-grams of a bounded, hashed sample of labelled rows (DOCS_PER_LANG whole texts a language, all
+their grams, all languages) and derives, for each order, one sorted array of 64-bit gram hashes with a log probability for
 each language, and one of context hashes with the back-off weights. `predict` scores every whole text and takes the
 lowest cross-entropy per character; a temperature fitted on held-back sample rows turns the entropies into a score,
 and a threshold for each language, from the same rows, marks texts unlike any learned language as `rejected`.
@@ -24,8 +24,6 @@ from tallyframe.llm.common import buffers, id_crc, mix64, text_slices
 
 ORDER = 4
 DOCS_PER_LANG = 1500
-MAX_LANGS = 256
-MAX_GRAMS = 2_000_000
 DISCOUNT = 0.75
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 _fold: list[np.ndarray] = []
@@ -242,9 +240,12 @@ def _find(keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, learn_from: Column, docs_per_lang: int = DOCS_PER_LANG) -> Model | None:
-    """docs: doc_id, text, lang. Only rows where learn_from holds are read."""
+    """docs: doc_id, text, lang. Only rows where learn_from holds are read.
+
+    One row for each language, and the grams of docs_per_lang texts for each, reach the driver.
+    """
     labelled = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("doc_id").bitwiseAND(0xFFFFF).alias("h"))
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    sizes = labelled.groupBy("lang").count().collect()
     if not sizes:
         return None
     langs = sorted(r.lang for r in sizes)
@@ -253,7 +254,7 @@ def train(docs: DataFrame, learn_from: Column, docs_per_lang: int = DOCS_PER_LAN
     sample = labelled.where(F.col("h") < F.try_element_at(limit, F.col("lang")))
     held = F.col("h") % 8 == 0
     rows = sample.where(~held).select("text", "lang").mapInArrow(_count, "lang string, gram array<int>, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    got = rows.orderBy(F.desc("n"), "lang", "gram").limit(MAX_GRAMS).toArrow()
+    got = rows.toArrow()
     if not got.num_rows:
         return None
     grams = got.column("gram").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, ORDER)
