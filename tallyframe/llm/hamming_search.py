@@ -1,8 +1,8 @@
 """Exact top-k search by incremental multi-index hashing over binary codes.
 
 A vector's code has one bit for each dimension (set where the value is above zero), 64 in all; dimensions beyond 64 are
-added up by their index modulo 64 first. Codes are cut into about 64 / log2(n) segments; the index has a row for each
-(segment, value, code), with at most four segments. A search grows the segments' radii one after the other: at radius
+added up by their index modulo 64 first. Codes are cut into SEGMENTS segments of 16 bits; the index has a row for each
+(segment, value, code). A search grows the segments' radii one after the other: at radius
 r it probes the values that differ from the query's segment in exactly r bits, and verifies what it meets by its whole
 Hamming distance. With j of m segments at radius r and the others at r - 1, every code within m * r + j - 1 bits has
 been met (pigeonhole), so only as many segments grow as the bound on the k-th distance asks for, and a query is
@@ -20,7 +20,6 @@ others give fewer rows; an empty table gives none; extra columns play no part.
 from __future__ import annotations
 
 from itertools import combinations
-from math import log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +28,7 @@ from tallyframe.llm.common import materialise
 
 BITS = 64
 K = 10
+SEGMENTS = 4
 SAMPLE = 512
 
 
@@ -40,11 +40,9 @@ def binary_code(vector: Column) -> Column:
     return F.when(vector.isNotNull(), F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(bit(b))))
 
 
-def _segments(n: int) -> list[tuple[int, int]]:
-    """(shift, width) of each segment for n codes."""
-    m = max(2, min(4, round(BITS / max(1.0, log2(max(n, 2))))))
-    widths = [BITS // m + (k < BITS % m) for k in range(m)]
-    return [(sum(widths[:k]), w) for k, w in enumerate(widths)]
+def _segments() -> list[tuple[int, int]]:
+    """(shift, width) of each segment. At 16 bits a radius has at most 12,870 masks, whatever the number of codes."""
+    return [(BITS // SEGMENTS * k, BITS // SEGMENTS) for k in range(SEGMENTS)]
 
 
 def _value(code: Column, shift: int, width: int) -> Column:
@@ -74,12 +72,12 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
 
 def top_k(base: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """base, queries: (id long, code long). Result: query_id, neighbor_id, distance, rank from 1."""
+    spark = base.sparkSession
     by_id = Window.partitionBy("code").orderBy("id")
     small = base.where("id IS NOT NULL AND code IS NOT NULL").select("id", "code").distinct().withColumn("__rank", F.row_number().over(by_id)).where(F.col("__rank") <= k + 1)
     codes = materialise(small.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "codes")
     asked = queries.where("id IS NOT NULL AND code IS NOT NULL").select(F.col("id").alias("query_id"), F.col("code").alias("query")).distinct()
-    n = codes.count()
-    segments = _segments(n)
+    segments = _segments()
     index = codes.select("code", F.element_at("ids", 1).alias("first_id"), F.size("ids").alias("members"), F.posexplode(F.array(*[_value(F.col("code"), *s) for s in segments])).alias("segment", "value"))
     index = materialise(index, "segments")
     # At most SAMPLE codes reach the driver and the plan; they only give a first bound on the k-th distance.
@@ -90,13 +88,15 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     open_ = materialise(asked.select("query").distinct().select("query", within.alias("bound")), "open")
     found, radius = None, 0
     while True:
+        # Open queries are few rows that grow to thousands of probes each, so they are dealt out by number first.
+        dealt = open_.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "query")
         probes = None
         for width in sorted({w for _, w in segments}):
             own = [(k_, s) for k_, s in enumerate(segments) if s[1] == width and radius <= width]
             if own:
                 values = F.explode(F.array(*[F.struct(F.lit(k_).alias("segment"), _value(F.col("query"), *s).alias("value")) for k_, s in own]))
                 needed = F.col("v.segment") <= F.col("bound") - len(segments) * radius
-                rows = open_.select("query", "bound", values.alias("v")).where(needed).select("query", "bound", "v.segment", "v.value", F.explode(_flips(width, radius)).alias("flip"))
+                rows = dealt.select("query", "bound", values.alias("v")).where(needed).select("query", "bound", "v.segment", "v.value", F.explode(_flips(width, radius)).alias("flip"))
                 rows = rows.select("query", "bound", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
                 probes = rows if probes is None else probes.unionByName(rows)
         distance = _distance(F.col("p.query"), F.col("i.code"))
