@@ -8,7 +8,8 @@ of random strings against that of ordinary identifiers, is over a threshold. Bot
 Offsets are code points, ends exclusive. They come from splitting a text at its matches: gaps and matches alternate.
 
 Cases: null text counts as empty; a document without spans has empty lists and the digest of the empty text; repeated
-rows are scanned alike; extra columns play no part; very long texts are scanned whole.
+rows are scanned alike; extra columns play no part; very long texts are scanned whole, in time that grows with their
+length: no pattern tries a run twice, and offsets are summed in chunks of CHUNK matches.
 """
 
 from __future__ import annotations
@@ -23,25 +24,39 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "model")
 #: The same matches as HEX and ACCESS after the length tests: their runs are maximal, so a short one holds no long one.
-PATTERNS = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}", "model": r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"}
+#: A run of the model that holds one of these two contains it whole, since its alphabet contains theirs.
+PATTERNS = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}", "model": r"[A-Za-z0-9+/_=-]{20,}"}
 MODEL_LENGTH = 20
+CHUNK = 256
 LOW, WIDE = 43, 80  # '+' to 'z'
 SAMPLE = 4000
 QUANTILE = 0.999
 FLOOR = 0.5
-WORDS = "get set user name file path list item count test case data load save open read write time date page view index value config server client request response handler version module package class method error message update delete create table column row key map node tree graph image header footer static build debug release main utils common local remote first last next".split()
-
-
-def labelled_sample(spark: SparkSession, n: int = SAMPLE) -> DataFrame:
+WORDS = """
+get set user name file path list item count test case data load open read write time date page view index value config server
+client request response handler version module package class method error message update delete create table column key map node tree image header static build
+debug release main common local remote first next account action address agent allow argument array assert async await backup base batch block buffer button
+cache call certificate channel check child close code collection command compare complete connection content context control convert copy current decode default depth derive device
+directory display document domain edge element email enable encode engine entry event exception execute export extension external factory failed feature field filter finish flag
+format frame function generate global graph group hash height history host import include inherit input insert install instance interface internal invoice iterator job join
+label language layer length level library limit link lock login loop manager match maximum member memory merge metric minimum mobile model monitor network notification
+number object offset option order output owner parameter parent parser password pattern payment permission pipeline plugin point policy position prefix process product
+""".split()
+
+
+def labelled_sample(spark: SparkSession, n: int = SAMPLE, salt: str = "sample") -> DataFrame:
     """n random strings (label 1) and n ordinary identifiers (label 0), made from SHA-256 of counters: token, label."""
-    h = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
+    h = F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256)
     pick = lambda k: F.conv(F.substring(h, 3 * k + 1, 3), 16, 10).cast("int")
     word = lambda k: F.element_at(F.split(F.lit(" ".join(WORDS)), " "), pick(k) % len(WORDS) + 1)
     number = F.when(pick(6) % 2 == 0, (pick(7) % 100).cast("string")).otherwise((2000 + pick(7) % 30).cast("string"))
     base = F.regexp_replace(F.base64(F.unhex(h)), "[+/]", "x")
     random = F.when(pick(0) % 3 == 0, F.substring(h, 1, 40)).when(pick(0) % 3 == 1, F.substring(F.base64(F.unhex(h)), 1, 32)).otherwise(F.substring(base, 3, 24))
     camel = F.concat(word(1), F.initcap(word(2)), F.initcap(word(3)), F.initcap(word(4)), number)
-    ordinary = F.when(pick(0) % 3 == 0, F.concat_ws("_", word(1), word(2), word(3), number)).when(pick(0) % 3 == 1, camel).otherwise(F.concat_ws("/", word(1), F.concat_ws("-", word(2), word(3)), F.concat(word(4), number)))
+    snake = F.concat_ws("_", word(1), word(2), word(3), number)
+    path = F.concat_ws("/", word(1), F.concat_ws("-", word(2), word(3)), F.concat(word(4), number))
+    styles = [snake, camel, path, F.upper(snake), F.concat(F.initcap(word(1)), F.initcap(word(2)), F.initcap(word(3)), F.lit("_"), number), F.concat(F.lit("_"), word(1), word(2), F.lit("_"), word(3), number)]
+    ordinary = F.element_at(F.array(*styles), pick(0) % len(styles) + 1)
     ids = spark.range(n)
     return ids.select(random.alias("token"), F.lit(1).alias("label")).unionByName(ids.select(ordinary.alias("token"), F.lit(0).alias("label")))
 
@@ -90,7 +105,7 @@ def _spans(kind: str, text: str) -> Column:
     """Array of (start, rank, end, token) of a kind's matches in order, from m_<kind> (matches) and g_<kind> (gaps)."""
     rank = KINDS.index(kind)
     empty = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,token:string>>)")
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+    lists = F.expr("cast(array() as array<array<struct<start:int,rank:int,end:int,token:string>>>)")
     matches, gaps = F.col(f"m_{kind}"), F.col(f"g_{kind}")
 
     def step(acc: Column, i: Column) -> Column:
@@ -101,7 +116,14 @@ def _spans(kind: str, text: str) -> Column:
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), token.alias("token"))
         return F.struct(end.alias("at"), F.when(good, F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"))
 
-    return F.when(F.size(matches) > 0, F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, step, lambda acc: acc["found"])).otherwise(empty)
+    def chunk(acc: Column, c: Column) -> Column:
+        places = F.sequence(c * CHUNK, F.least(c * CHUNK + CHUNK, F.size(matches)) - 1)
+        start = F.struct(acc["at"].alias("at"), empty.alias("found"))
+        return F.aggregate(places, start, step, lambda own: F.struct(own["at"].alias("at"), F.array_append(acc["found"], own["found"]).alias("found")))
+
+    begin = F.struct(F.lit(0).alias("at"), lists.alias("found"))
+    chunks = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / CHUNK).cast("int"))
+    return F.when(F.size(matches) > 0, F.aggregate(chunks, begin, chunk, lambda acc: F.flatten(acc["found"]))).otherwise(empty)
 
 
 def _listed(spans: Column) -> Column:
@@ -116,9 +138,11 @@ def scan(docs: DataFrame, model: RandomnessModel, id_col: str = "doc_id", text_c
     rows = rows.select("doc_id", *[f"m_{k}" for k in KINDS], *[F.when(F.size(f"m_{k}") > 0, F.split("text", p, -1)).alias(f"g_{k}") for k, p in PATTERNS.items()])
     rows = rows.select("doc_id", *[_spans(k, "text").alias(k) for k in KINDS])
     rows = rows.select("doc_id", F.concat("assign", "access", "hex").alias("base"), "model", model.table().alias("table"))
-    touching = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    plain = lambda s: s["token"].rlike("[0-9]") & ~s["token"].rlike(f"{PATTERNS['access']}|{PATTERNS['hex']}")
     odd = lambda s: model.mean_ratio(s["token"], F.col("table")) > model.threshold
-    return rows.select("doc_id", "base", F.filter("model", lambda s: ~touching(s) & odd(s)).alias("added"))
+    rows = rows.select("doc_id", "base", F.filter("model", lambda s: plain(s) & odd(s)).alias("model"))
+    touching = lambda s: F.exists(F.filter("base", lambda b: b["rank"] == 0), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    return rows.select("doc_id", "base", F.filter("model", lambda s: ~touching(s)).alias("added"))
 
 
 def op9_secret_scan(spark, sf_dir):
