@@ -32,7 +32,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone", "name", "id")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-#: Invented people and numbers; [name ...] and [id ...] mark what is to be found.
+#: Invented people, numbers and prose; [name ...] and [id ...] mark what is to be found.
 LABELLED = [
     "Please contact [name Mr John Smith] about the invoice.",
     "Contact: [name Mary Jones] for details",
@@ -56,31 +56,31 @@ LABELLED = [
     "IBAN [id GB29NWBK60161331926819] was used",
     "IBAN: [id DE89370400440532013000]",
     "The report was late and the board met on Monday.",
-    "Erred Thation inat the anre. Onth reou Ernd is and thonre.",
-    "And Of The And, Therened. Inre Thnd that was it",
-    "Ndnt Ndnt Ndnt Ndnt Ndnt reou reou reou",
-    "THE ANRE OF THAT!! WAS ERND!! IT IS",
-    "the and of 2021 inre 45 thnd 1234567 onth",
+    "Early Morning rain on the roof. Grey skies Over all and silence.",
+    "And Of The And, Afterwards. Long Days that was it",
+    "Home Home Home Home Home about about about",
+    "THE LAST OF THAT!! WAS GOOD!! IT IS",
+    "the end of 2021 with 45 days 1234567 units",
     "Total: 1,234 items in 12 boxes",
     "Chapter 3 Section 2: Results and Discussion",
     "Released under the Public License. All rights reserved.",
     "Version 2.0.1 of the file was saved in 2020",
-    "inre | thnd | Anre | onth, | reou. | Ernd",
-    "anre&&& onth%%% Reou### ernd*** The$$$ and",
+    "home | news | Blog | shop, | help. | More",
+    "sale&&& half%%% Best### free*** The$$$ and",
     "She is here. He was there. They met in Paris.",
     "For the name of the thing is not the thing.",
     "Contact the office before noon. Please read it.",
-    "The passport office was closed. Anre onth reou.",
+    "The passport office was closed. Come back later.",
     "Dear all, thank you for the note. Kind regards from us.",
     "Order 555-0199 was sent with code A12 today",
-    "And And And And And And Is Is Is To To By By reou",
-    "ANRE, OF. IS THE ERND. IS IS THE THE",
-    "reou, no. Onth. Anre ernd, a. Thonre and Ernd",
-    "er stble the. Thon. That anre erenha of. Whwh. Edly erha",
-    "anre erenha of. 4417744280351547 reou ernd, 2531585014589253 and onre, 99887766",
-    "ernd 1122334455667788 onth. 4417744280351547. reou 2531585014589253 Anre",
-    "anre### en%%% onrestre.*** Onth reou.&&& Ernd$$$ anre,### Thea",
-    "Thea. Andre edrhe inre. To. Anater, onth. Anre. Reou",
+    "And And And And And And Is Is Is To To By By then",
+    "HERE, OF. IS THE BEST. IS IS THE THE",
+    "well, no. Yes. Such things, a. Nothing and All",
+    "we left the. Then. That kind person of. Whom. Only perhaps",
+    "some account of. 4417744280351547 plus more, 2531585014589253 and then, 99887766",
+    "item 1122334455667788 sold. 4417744280351547. next 2531585014589253 Done",
+    "sale### up%%% discounts.*** Most items.&&& Shop$$$ today,### Here",
+    "Here. Every other word. To. Another, line. Then. Stop",
 ]
 LABELS = ("O", "B-name", "I-name", "B-id", "I-id")
 K = len(LABELS)
