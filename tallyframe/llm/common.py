@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,20 +21,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where that is unset (tests), one folder of this process."""
+    """The shared folder named by spark.checkpoint.dir. Only a local master may leave it unset: then one folder of this process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[0-9*, ]+\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tallyframe-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tallyframe"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df to a table in the shared folder and read it back, which cuts its lineage."""
+    """Write df to a table in the shared folder and read it back, which cuts its lineage. `release` deletes it."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete scratch tables that nothing reads any more. What a result still reads stays in the shared folder."""
+    for df in tables:
+        if df is not None and hasattr(df, "scratch_path"):
+            delete(df.sparkSession, df.scratch_path)
+
+
+def quoted(name: str) -> Column:
+    """A column by its name, whatever signs the name holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, **keys: Column) -> DataFrame:
+    """`row`, a struct of all columns of df, beside keys of an operator's own: no name of df can clash with them."""
+    return df.select(F.struct(*map(quoted, df.columns)).alias("row"), *[c.alias(name) for name, c in keys.items()])
 
 
 def ascii_lower(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import materialise
+from tallyframe.llm.common import materialise, release
 
 HUBS = 1000
 
@@ -39,7 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n")).withColumnRenamed("hi", "node")
         kept = low.select(F.col("node").alias("hi"), F.col("m").alias("lo"))
         small = _with_least(large, "hi", low, before.n).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(kept)
-        edges = materialise(small.where("hi <> lo").distinct(), "edges")
+        last, edges = edges, materialise(small.where("hi <> lo").distinct(), "edges")
+        release(last, large)
         after = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")).first()
         if after == before:
             break

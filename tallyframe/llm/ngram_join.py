@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import LOWER, RangeHash, buffers, materialise, mix64, text_slices, words
+from tallyframe.llm.common import LOWER, RangeHash, buffers, materialise, mix64, packed, release, text_slices, words
 from tallyframe.llm.components import components
 
 WIDTH = 5
@@ -149,6 +149,7 @@ def _heavy(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     tokens, n = got.column("token").to_numpy(), got.column("n").to_numpy()
     tokens = tokens[np.lexsort((tokens, -n))].astype(np.int64).view(np.uint64)
     order = np.argsort(tokens)
+    release(rows)
     return tokens[order], (HEAVY - np.arange(len(tokens)))[order].astype(np.uint64)
 
 
@@ -558,13 +559,14 @@ def _again(groups: DataFrame, round_: int, true: DataFrame) -> DataFrame:
     return inner.unionByName(outer)
 
 
-def _dealt(groups: DataFrame, bodies: DataFrame, tie, label: str) -> tuple[DataFrame, DataFrame]:
-    """(edges, their components) of groups, in rounds of blocks.
+def _dealt(groups: DataFrame, bodies: DataFrame, tie, label: str) -> DataFrame:
+    """Components (node, label) of the classes that `tie` links within groups, in rounds of blocks.
 
     groups: grp, cls, n, blocks, weight (share of a block). bodies: grp, cls, blocks and what `tie` reads besides.
     """
     payload = [c for c in bodies.columns if c not in ("grp", "cls", "blocks")]
     edges = true = None
+    held: list[DataFrame] = []
     for round_ in range(ROUNDS + 1):
         if not round_:
             body = bodies.select(_place(_block(0), round_=0), "cls", F.col("cls").alias("known"), *payload)
@@ -574,11 +576,14 @@ def _dealt(groups: DataFrame, bodies: DataFrame, tie, label: str) -> tuple[DataF
             asked = materialise(_again(groups, round_, true), "asked")
             if asked.isEmpty():
                 break
+            held.append(asked)
             body = bodies.where("blocks > 1").join(asked.hint("merge"), "cls").select("place", "cls", "known", *payload)
         found = materialise(body.repartition("place").sortWithinPartitions("place", "cls").mapInArrow(tie, "a long, b long"), label)
+        held.append(found)
         edges = found if edges is None else edges.unionByName(found)
         true = components(edges)
-    return edges, true
+    release(*held)
+    return true
 
 
 def _grouped(members: DataFrame, weight: Column) -> DataFrame:
@@ -608,14 +613,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = lists.where("star").select(node("cls", 0).alias("a"), node("list", 1).alias("b")).distinct()
     starred = classes.withColumn("node", node("cls", 0)).join(components(stars), "node").select(F.col("label").alias("grp"), "cls", "n", "bits")
     starred = materialise(_grouped(starred, F.greatest(F.lit(64), F.col("n") * 2) / SIGNED), "starred")
-    tied, _ = _dealt(starred, starred.select("grp", "cls", "blocks", "n", "bits"), _candidates, "tied")
+    tied = _dealt(starred, starred.select("grp", "cls", "blocks", "n", "bits"), _candidates, "tied")
     named = signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n").alias("n"))
-    label = components(close.unionByName(tied))
+    label = components(close.unionByName(tied.select(F.col("node").alias("a"), F.col("label").alias("b"))))
     groups = named.join(label, named.cls == label.node).select(F.col("label").alias("grp"), "cls", "row", "n")
     groups = materialise(_grouped(groups, F.col("n") / BLOCK), "groups")
+    release(lists, close, starred)
     # The candidates' texts move once, by merge join at every size, and are kept for the later rounds.
     bodies = materialise(texts.select("row", "text").join(groups.select("row", "grp", "cls", "blocks").hint("merge"), "row").select("grp", "cls", "blocks", "text"), "bodies")
-    _, true = _dealt(groups, bodies, _verified, "links")
+    true = _dealt(groups, bodies, _verified, "links")
+    release(groups, bodies)
     whole = signed.select("doc_id", "n", "cls")
     least = named.join(true, named.cls == true.node, "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("part"))
     smallest = least.groupBy("part").agg(F.min("doc_id").alias("component_id"))
@@ -652,10 +659,11 @@ def _split_heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that name their component, and those whose doc_id is null; all columns."""
-    parts = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    known = docs.where("doc_id IS NOT NULL").join(parts, F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
-    return known.unionByName(docs.where("doc_id IS NULL"))
+    """The rows of docs that name their component, and those whose doc_id is null; all columns, whatever their names."""
+    parts = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
+    rows = packed(docs, doc_id=F.col("doc_id").cast("long"))
+    known = rows.where("doc_id IS NOT NULL").join(parts, "doc_id", "left_semi")
+    return known.unionByName(rows.where("doc_id IS NULL")).select("row.*")
 
 
 def op4_ngram_join(spark, sf_dir):

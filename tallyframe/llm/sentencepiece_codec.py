@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import RangeHash, buffers, mix64, text_slices
+from tallyframe.llm.common import RangeHash, buffers, mix64, quoted, text_slices
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
@@ -310,8 +310,10 @@ def _keys(batch: pa.RecordBatch, column: int) -> np.ndarray:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL_PATH, rate: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """docs with a column `ids` (array<int>) in place of the text column."""
     names = [c for c in docs.columns if c not in (text_col, "ids")]
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), *names)
-    schema = T.StructType([*[docs.schema[c] for c in names], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    places = [f"c{k}" for k in range(len(names))]
+    others = [quoted(c).alias(k) for c, k in zip(names, places, strict=True)]
+    rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), *others)
+    schema = T.StructType([*rows.schema.fields[2:], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -319,15 +321,17 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             raw, offsets = buffers(batch.column(1))
             ids, at = own.encode(raw, offsets, _keys(batch, 0), rate, seed)
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids), mask=batch.column(1).is_null())
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], lists], names=[*names, "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], lists], names=[*places, "ids"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*names, "ids")
 
 
 def decode(rows: DataFrame, path: str = MODEL_PATH) -> DataFrame:
     """rows with a column `text` in place of `ids`."""
     names = [c for c in rows.columns if c not in ("ids", "text")]
-    schema = T.StructType([*[rows.schema[c] for c in names], T.StructField("text", T.StringType())])
+    places = [f"c{k}" for k in range(len(names))]
+    rows = rows.select("ids", *[quoted(c).alias(k) for c, k in zip(names, places, strict=True)])
+    schema = T.StructType([*rows.schema.fields[1:], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -339,9 +343,9 @@ def decode(rows: DataFrame, path: str = MODEL_PATH) -> DataFrame:
                 raw, offsets = own.decode(ids.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(size))))
                 text = raw.tobytes()
                 strings = pa.array([None if null else text[s:e].decode() for null, s, e in zip(ids.is_null().to_pylist(), offsets[:-1], offsets[1:], strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], strings], names=[*names, "text"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], strings], names=[*places, "text"])
 
-    return rows.select("ids", *names).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*names, "text")
 
 
 def round_trip(docs: DataFrame, path: str = MODEL_PATH, rate: float = DROPOUT, seed: int = SEED) -> DataFrame:
