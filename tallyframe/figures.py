@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import labels, numbers, periods
+from tallyframe.storage import written
 
 PLACE = ["deck_id", "slide_index", "uid"]
 
@@ -69,7 +70,7 @@ def build_index(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def index_of(t: dict[str, DataFrame]) -> DataFrame:
-    """The index of a set of tables, built once and kept for all rules that read it."""
+    """The index of a set of tables, written once for all rules that read it."""
     if "figures" not in t:
-        t["figures"] = build_index(t).persist()
+        t["figures"] = written(build_index(t), "figures")
     return t["figures"]

@@ -111,23 +111,33 @@ def ratio_bound(num: Column, num_decimals: Column, den: Column, den_decimals: Co
     return spread * (100.0 if percentage else 1.0) + half_unit(stated_decimals)
 
 
-def margins(figures: DataFrame, result: str | list[str], numerator: list[str], denominator: list[str], percentage: bool = True) -> DataFrame:
+def _derivation(metric: Column, names: list[list[str] | str]) -> Column:
+    """Places in `names` of the lists that hold the metric."""
+    listed = [[n] if isinstance(n, str) else list(n) for n in names]
+    return F.array_compact(F.array(*[F.when(metric.isin(*n), k) for k, n in enumerate(listed)]))
+
+
+def ratios(figures: DataFrame, derivations: tuple, percentage: bool = True) -> DataFrame:
     """ord, outcome (tied, finding, unchecked), reason, computed for every stated ratio.
 
-    Inputs are levels of the same deck, scope and period in the deck's usual currency; the nearest tier (shape,
-    slide, deck) must hold one value.
+    derivations: (names of the result, of its numerator, of its denominator), all looked up in one pass. Inputs are levels
+    of the same deck, scope and period in the deck's usual currency; the nearest tier (shape, slide, deck) must hold one
+    value.
     """
-    stated = figures.where(F.col("metric").isin(result)).select("deck", "scope", "period", "place", "slide", "ord", F.col("value").alias("stated"), F.col("decimals").alias("stated_decimals"))
+    which = lambda side: F.explode(_derivation(F.col("metric"), [d[side] for d in derivations])).alias("derivation")
+    stated = figures.select("deck", "scope", "period", "place", "slide", "ord", F.col("value").alias("stated"), F.col("decimals").alias("stated_decimals"), which(0))
+    stated = stated.withColumn("probe", F.concat_ws("|", "ord", "derivation"))
     levels = figures.where("kind = 'level' AND quantity IS NULL")
+    keys = ["deck", "scope", "period", "derivation"]
+    same = lambda x, y: (F.col(f"{x}.deck") == F.col(f"{y}.deck")) & (F.col(f"{x}.derivation") == F.col(f"{y}.derivation")) & F.col(f"{x}.scope").eqNullSafe(F.col(f"{y}.scope")) & F.col(f"{x}.period").eqNullSafe(F.col(f"{y}.period"))
     out = stated
-    for side, names in (("num", numerator), ("den", denominator)):
-        rows = modal_currency(levels.where(F.col("metric").isin(*names)), ["deck", "scope", "period"])
-        on = (F.col("p.deck") == F.col("c.deck")) & F.col("p.scope").eqNullSafe(F.col("c.scope")) & F.col("p.period").eqNullSafe(F.col("c.period"))
+    for k, side in ((1, "num"), (2, "den")):
+        rows = modal_currency(levels.select("deck", "scope", "period", "place", "slide", "currency", "value", "decimals", which(k)), keys)
         tier = F.when(F.col("p.place") == F.col("c.place"), 1).when(F.col("p.slide") == F.col("c.slide"), 2).otherwise(3)
-        rows = rows.withColumn("packed", F.col("value"))
-        found = tiered_lookup(stated, rows, on, tier, "ord", "packed").select("ord", F.col("value").alias(side), F.col("reason").alias(f"{side}_reason"))
-        places = rows.groupBy("deck", "scope", "period").agg(F.max("decimals").alias(f"{side}_decimals"))
-        out = out.join(found, "ord", "left").join(places.alias("d"), (F.col("d.deck") == out.deck) & F.col("d.scope").eqNullSafe(out.scope) & F.col("d.period").eqNullSafe(out.period), "left").drop(F.col("d.deck"), F.col("d.scope"), F.col("d.period"))
+        found = tiered_lookup(stated, rows.withColumn("packed", F.col("value")), same("p", "c"), tier, "probe", "packed").select("probe", F.col("value").alias(side), F.col("reason").alias(f"{side}_reason"))
+        places = rows.groupBy(*keys).agg(F.max("decimals").alias(f"{side}_decimals"))
+        met = out.join(found, "probe", "left").alias("o").join(places.alias("d"), same("o", "d"), "left")
+        out = met.select("o.*", f"d.{side}_decimals")
     computed = F.col("num") / F.nullif(F.col("den"), F.lit(0.0)) * (100.0 if percentage else 1.0)
     bound = ratio_bound(F.col("num"), F.col("num_decimals"), F.nullif(F.col("den"), F.lit(0.0)), F.col("den_decimals"), F.col("stated_decimals"), percentage)
     reason = F.coalesce(F.col("num_reason"), F.col("den_reason"), F.when(F.col("den") == 0, "zero"))
@@ -135,6 +145,11 @@ def margins(figures: DataFrame, result: str | list[str], numerator: list[str], d
     return out.select("ord", outcome.alias("outcome"), reason.alias("reason"), F.when(reason.isNull(), computed).alias("computed"))
 
 
+def margins(figures: DataFrame, result: str | list[str], numerator: list[str], denominator: list[str], percentage: bool = True) -> DataFrame:
+    """`ratios` of a single derivation."""
+    return ratios(figures, ((result, numerator, denominator),), percentage)
+
+
 def totals(cells: DataFrame, keys: list[str], row: str) -> DataFrame:
     """cells: keys, row, is_total, value, decimals. keys, row, outcome for each total row.
 

@@ -181,9 +181,9 @@ def date_convention(t):
     return sure.select("o_custkey", F.when(F.size("s") == 1, F.element_at("s", 1)).alias("convention"))
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9''’&.\\-]*')) AS w, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9''’&.\\-]*'), 1) AS i FROM documents WHERE lang = 'en'),
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9''’&.\\-]*')) AS w, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9''’&.\\-]*'), 1) AS i FROM documents),
 n AS (SELECT w || ' ' || lead(w) OVER d || ' ' || lead(w, 2) OVER d AS gram FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i))
-SELECT gram, count(*) AS n FROM n WHERE gram IS NOT NULL GROUP BY 1 HAVING count(*) >= 5""")
+SELECT gram, count(*) AS n FROM n WHERE gram IS NOT NULL GROUP BY 1""")
 def ngram_windows(t):
     """Every three-word window of all documents, with its count."""
     grams = t.documents.select(F.explode(text.word_windows(F.col("text"), 3)).alias("gram"))

@@ -447,10 +447,7 @@ def scale_mismatch(t, p):
 def _ratios(t, derivations, quantity, percentage):
     f = figures.index_of(t)
     right = f.where((F.coalesce("quantity", F.lit("")) == quantity) | (F.col("kind") == "level"))
-    out = None
-    for result, numerator, denominator in derivations:
-        found = consistency.margins(right, result, numerator, denominator, percentage).where("outcome <> 'tied'")
-        out = found if out is None else out.unionByName(found)
+    out = consistency.ratios(right, derivations, percentage).where("outcome <> 'tied'")
     rows = _at(f, out).where(~F.col("metric").isin(*labels.STATISTICS))
     return outcomes(rows, F.concat_ws(" ", F.lit("does not follow from its inputs:"), "metric", "period", "reason"), F.col("raw"), F.round("computed", 3), F.col("outcome"))
 

@@ -11,6 +11,7 @@ import json
 import posixpath
 import re
 import struct
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.schemas import TABLES
+from tallyframe.storage import shared_folder
 
 NS = {
     "a": "http://schemas.openxmlformats.org/drawingml/2006/main",
@@ -414,9 +416,12 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tables_of(files: DataFrame) -> dict[str, DataFrame]:
-    """files: (deck_id, content). Every table of schemas.TABLES; files are parsed once, their rows kept by Spark."""
-    parsed = files.select("deck_id", "content").mapInArrow(_parse, "table string, row string").persist()
-    return {name: parsed.where(F.col("table") == name).select(F.from_json("row", schema).alias("r")).select("r.*") for name, schema in TABLES.items()}
+    """files: (deck_id, content). Every table of schemas.TABLES; files are parsed once, their rows written by kind of table."""
+    spark = files.sparkSession
+    path = f"{shared_folder(spark)}/decks-{uuid.uuid4().hex}"
+    files.select("deck_id", "content").mapInArrow(_parse, "table string, row string").write.partitionBy("table").parquet(path)
+    rows = spark.read.schema("row string, table string").parquet(path)
+    return {name: rows.where(F.col("table") == name).select(F.from_json("row", schema).alias("r")).select("r.*") for name, schema in TABLES.items()}
 
 
 def read_decks(spark: SparkSession, path: str) -> dict[str, DataFrame]:
