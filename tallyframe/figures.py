@@ -1,10 +1,11 @@
-"""The figure index: every number of tables and charts as a fact with metric, scope, period, kind and unit."""
+"""The figure index: every number of tables, charts and text as a fact with metric, scope, period, kind and unit."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe import prose
 from tallyframe.functions import labels, numbers, periods
 from tallyframe.storage import written
 
@@ -64,9 +65,26 @@ def chart_figures(t: dict[str, DataFrame]) -> DataFrame:
     return _figure(rows, "chart", "series", "point")
 
 
+def text_figures(t: dict[str, DataFrame], stated: DataFrame) -> DataFrame:
+    """Numbers of running text, bound to the metrics of `stated` figures; a percentage takes the one kind they ground it in."""
+    paragraphs = t["paragraphs"].where("row IS NULL").select(F.col("deck_id").alias("deck"), F.col("slide_index").alias("slide"), "uid", "para", "text")
+    known = stated.where(labels.is_specific(F.col("metric"))).select("deck", "metric").distinct()
+    found = prose.prose_figures(paragraphs, known.withColumn("kind", labels.label_kind(F.col("metric"))))
+    grounded = stated.where("quantity IS NOT NULL AND kind IS NOT NULL").groupBy("deck", "metric", "quantity").agg(F.count_distinct("kind").alias("kinds"), F.min("kind").alias("ground")).where("kinds = 1").drop("kinds")
+    rows = found.join(grounded, ["deck", "metric", "quantity"], "left").withColumn("kind", F.coalesce("kind", "ground"))
+    place = F.concat_ws("|", F.col("slide").cast("string"), F.col("uid").cast("string"))
+    number = lambda c: F.lpad(F.col(c).cast("string"), 6, "0")
+    return rows.select(
+        F.concat_ws("|", "deck", *map(number, ("slide", "uid", "para", "nth"))).alias("ord"), "deck", place.alias("place"), F.concat_ws(",", F.col("para").cast("string"), F.col("nth").cast("string")).alias("addr"), "slide", "uid", F.lit("text").alias("source"),
+        "metric", "scope", "period", "kind", "value", "decimals", "quantity", "scale", "currency", "raw",
+    )
+
+
 def build_index(t: dict[str, DataFrame]) -> DataFrame:
-    """All figures with a specific metric."""
-    return table_figures(t).unionByName(chart_figures(t)).where(labels.is_specific(F.col("metric")))
+    """All figures with a specific metric: of tables, charts and running text."""
+    stated = table_figures(t).unionByName(chart_figures(t)).where(labels.is_specific(F.col("metric")))
+    stated = written(stated, "stated")
+    return stated.unionByName(text_figures(t, stated))
 
 
 def index_of(t: dict[str, DataFrame]) -> DataFrame:

@@ -62,7 +62,8 @@ def cluster_findings(t):
     return audit.cluster_findings(found(t), ["slide", "rule"], F.col("id"))
 
 
-@query(f"WITH {FOUND} SELECT s.severity, count(f.id) AS n FROM (SELECT unnest(['blocker','major','minor','info']) AS severity) s LEFT JOIN f ON f.severity = s.severity AND f.slide = 7 GROUP BY 1")
+@query(f"WITH {FOUND} "
+       "SELECT k.slide, s.severity, count(f.id) AS n FROM (SELECT DISTINCT slide FROM f UNION ALL SELECT NULL) k CROSS JOIN (SELECT unnest(['blocker','major','minor','info']) AS severity) s LEFT JOIN f ON f.severity = s.severity AND (k.slide IS NULL OR f.slide = k.slide) GROUP BY 1, 2")
 def audit_summary(t):
     """Findings by severity, of the whole audit (slide null) and of each slide; zeros included."""
     f = found(t)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallyframe import prose
 from tallyframe.functions import labels
-from tallyframe.operators import consistency, joins
+from tallyframe.operators import consistency, joins, slides
 from tallyframe.queries.binding import registry
 
 QUERIES, SQL, query = registry()
@@ -92,7 +93,7 @@ def co006_growth(t):
     return consistency.growth(said, f.select(F.col("n").alias("scope"), F.col("y").alias("year"), F.col("rev").alias("value"))).select("id", "outcome", F.round("computed", 3).alias("computed"))
 
 
-LINES = """lines AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS r, CAST(l_extendedprice AS DECIMAL(18,2)) AS v FROM lineitem WHERE l_orderkey % 4 = 0),
+LINES = """lines AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS r, CAST(l_extendedprice AS DECIMAL(18,2)) AS v FROM lineitem),
 tot AS (SELECT k, max(r) + 1 AS r, sum(v) + CASE WHEN k % 12 = 0 THEN 5 ELSE 0 END AS v, count(*) AS n, sum(v) AS exact FROM lines GROUP BY k)"""
 
 
@@ -195,23 +196,68 @@ def orphan_fk(t):
     return t.lineitem.join(parts, "l_orderkey", "left_anti").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"))
 
 
-ARCH = """a AS (SELECT o_custkey, o_orderkey, o_orderdate, CASE WHEN o_orderkey % 17 = 0 THEN 'divider' WHEN o_totalprice > 400000 THEN 'table' WHEN o_orderstatus = 'F' THEN 'chart' WHEN o_orderpriority LIKE '1%' THEN 'title' ELSE 'unknown' END AS archetype FROM orders)"""
+ARCH = """m AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i, CAST(floor(o_totalprice / 400) AS BIGINT) AS chars, o_orderkey % 9 AS leaves,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'Agenda' WHEN '2-HIGH' THEN 'Part ' || (o_orderkey % 5) WHEN '3-MEDIUM' THEN 'Appendix B' ELSE o_orderpriority END AS title, o_orderstatus = 'F' AS has_table, o_orderkey % 7 = 0 AS has_chart, (o_orderkey % 100) / 100.0 AS share,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'Section Header' WHEN o_orderkey % 13 = 0 THEN 'Cover' ELSE 'Content' END AS layout FROM orders),
+c AS (SELECT *, CASE WHEN leaves = 0 THEN 'unknown' WHEN chars = 0 AND NOT has_table AND NOT has_chart THEN 'unknown'
+  WHEN title = 'Agenda' THEN CASE WHEN chars <= 900 THEN 'agenda' ELSE 'content' END
+  WHEN title = 'Appendix B' AND chars <= 200 AND NOT has_table AND NOT has_chart THEN 'appendix_divider'
+  WHEN i = 1 AND (layout = 'Cover' OR chars <= 600) THEN 'title'
+  WHEN chars <= 400 AND title LIKE 'Part %' THEN 'section_divider'
+  WHEN layout = 'Section Header' AND chars <= 600 THEN 'section_divider'
+  WHEN has_table AND share >= 0.3 THEN 'table_heavy' WHEN has_chart AND share >= 0.25 THEN 'chart_heavy'
+  WHEN chars > 200 AND leaves >= 2 THEN 'content' ELSE 'unknown' END AS kind FROM m),
+l AS (SELECT *, lag(kind) OVER (PARTITION BY o_custkey ORDER BY i) AS before FROM c),
+a AS (SELECT o_custkey, i, chars, CASE WHEN kind = 'unknown' AND leaves > 0 AND chars > 200 AND before IN ('section_divider', 'appendix_divider') THEN 'content' ELSE kind END AS archetype FROM l)"""
 
 
 def _archetypes(t):
-    kind = F.when(F.col("o_orderkey") % 17 == 0, "divider").when(F.col("o_totalprice") > 400000, "table").when(F.col("o_orderstatus") == "F", "chart").when(F.col("o_orderpriority").startswith("1"), "title").otherwise("unknown")
-    return t.orders.select("o_custkey", "o_orderkey", "o_orderdate", kind.alias("archetype"))
-
-
-@query(f"WITH {ARCH} SELECT archetype, count(*) AS n FROM a GROUP BY 1")
+    """Orders as slides of a customer's deck, measured by their own columns and classified by the library's cascade."""
+    c, k = F.col, F.col("o_orderkey")
+    at = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    title = F.when(c("o_orderpriority") == "1-URGENT", "Agenda").when(c("o_orderpriority") == "2-HIGH", F.concat(F.lit("Part "), (k % 5).cast("string"))).when(c("o_orderpriority") == "3-MEDIUM", "Appendix B").otherwise(c("o_orderpriority"))
+    layout = F.when(k % 11 == 0, "Section Header").when(k % 13 == 0, "Cover").otherwise("Content")
+    none = F.array().cast("array<string>")
+    measured = t.orders.select(
+        c("o_custkey").alias("deck_id"), at.alias("slide_index"), F.floor(c("o_totalprice") / 400).cast("long").alias("chars"), (k % 9).alias("leaf_count"), title.alias("title"), (c("o_orderstatus") == "F").alias("has_table"), (k % 7 == 0).alias("has_chart"),
+        ((k % 100) / 100.0).alias("table_share"), ((k % 100) / 100.0).alias("chart_share"), layout.alias("layout_name"), F.lit("").alias("layout_type"), F.lit(False).alias("has_picture"), F.lit(0.0).alias("table_text"), F.lit(0.0).alias("largest_share"), F.lit("").alias("largest"),
+        F.lit(False).alias("has_large"), F.lit(1).alias("texts"), F.lit("").alias("kicker"), F.lit(None).cast("double").alias("body_pt"), none.alias("signature"),
+    )
+    return slides.classify(measured)
+
+
+@query(f"WITH {ARCH} SELECT archetype, count(*) AS n, CAST(sum(chars) AS BIGINT) AS chars FROM a GROUP BY 1")
 def archetype_case(t):
-    return _archetypes(t).groupBy("archetype").agg(F.count(F.lit(1)).alias("n"))
+    return _archetypes(t).groupBy("archetype").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
 
 
-@query(f"WITH {ARCH}, l AS (SELECT *, lag(archetype) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM a) SELECT CASE WHEN archetype = 'unknown' AND before = 'divider' THEN 'content' ELSE archetype END AS archetype, count(*) AS n FROM l GROUP BY 1")
+@query(f"WITH {ARCH} SELECT o_custkey, CAST(i AS INTEGER) AS i, archetype FROM a")
 def lag_cascade(t):
-    """The one predicate that reads the slide before runs as a second pass over the first pass's result."""
-    before = F.lag("archetype").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    second = _archetypes(t).withColumn("before", before)
-    kind = F.when((F.col("archetype") == "unknown") & (F.col("before") == "divider"), "content").otherwise(F.col("archetype"))
-    return second.groupBy(kind.alias("archetype")).agg(F.count(F.lit(1)).alias("n"))
+    """Every slide with its kind; the one predicate that reads the slide before runs over the first pass's result."""
+    return _archetypes(t).select(F.col("deck_id").alias("o_custkey"), F.col("slide_index").cast("int").alias("i"), "archetype")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, year(o_orderdate) AS y, CAST(floor(o_totalprice / 1000) AS BIGINT) AS v, CAST(o_custkey % 90 AS BIGINT) AS p FROM orders),
+r AS (
+  SELECT k, 0 AS nth, 'revenue' AS metric, '' AS scope, 'FY' || y AS period, 'level' AS kind, CAST(v AS DOUBLE) AS value, NULL AS quantity, 'm' AS scale, 'USD' AS currency FROM o WHERE k % 4 = 0
+  UNION ALL SELECT k, 1, 'revenue', '', 'FY' || (y - 1), 'level', CAST(v + p AS DOUBLE), NULL, 'm', 'USD' FROM o WHERE k % 4 = 0
+  UNION ALL SELECT k, 0, 'ebitda margin', '', 'FY' || y, 'share', p + 0.5, '%', NULL, NULL FROM o WHERE k % 4 = 1
+  UNION ALL SELECT k, 0, 'revenue', '', NULL, NULL, CAST(p AS DOUBLE), '%', NULL, NULL FROM o WHERE k % 4 = 2
+  UNION ALL SELECT k, 0, 'revenue', 'cloud', 'FY' || y, 'change', CAST(p AS DOUBLE), '%', NULL, NULL FROM o WHERE k % 4 = 3)
+SELECT k, CAST(nth AS INTEGER) AS nth, metric, scope, period, kind, value, quantity, scale, currency FROM r""")
+def prose_figures(t):
+    """Sentences made of an order's year and amounts, read back: bound, carried, shared and scoped numbers."""
+    k, y, text = F.col("o_orderkey"), F.year("o_orderdate"), lambda c: c.cast("string")
+    v, p = F.floor(F.col("o_totalprice") / 1000).cast("long"), F.col("o_custkey") % 90
+    fy = lambda x: F.concat(F.lit("FY"), text(x))
+    said = (
+        F.when(k % 4 == 0, F.concat(F.lit("Revenue of $"), text(v), F.lit("m in "), fy(y), F.lit(", up from $"), text(v + p), F.lit("m in "), fy(y - 1), F.lit(".")))
+        .when(k % 4 == 1, F.concat(F.lit("The EBITDA margin was "), text(p), F.lit(".5% in "), fy(y), F.lit(".")))
+        .when(k % 4 == 2, F.concat(text(p), F.lit("% of revenue is recurring.")))
+        .otherwise(F.concat(F.lit("Cloud revenue rose by "), text(p), F.lit("% in "), fy(y), F.lit(" and 12 people left.")))
+    )
+    paragraphs = t.orders.select(text(F.col("o_custkey")).alias("deck"), F.lit(1).alias("slide"), k.cast("int").alias("uid"), F.lit(0).alias("para"), said.alias("text"))
+    names = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(kind).cast("string").alias("kind")) for m, kind in (("revenue", None), ("ebitda margin", "share"), ("cloud", None))])).alias("v")
+    vocabulary = t.orders.select(text(F.col("o_custkey")).alias("deck")).distinct().select("deck", names).select("deck", "v.*")
+    found = prose.prose_figures(paragraphs, vocabulary)
+    return found.select(F.col("uid").cast("long").alias("k"), "nth", "metric", "scope", "period", "kind", "value", "quantity", "scale", "currency")

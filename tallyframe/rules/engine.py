@@ -6,10 +6,13 @@ import fnmatch
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.operators import joins
 from tallyframe.plans import audit
+from tallyframe.schemas import OUTCOMES
 
 KEYS = ["deck_id", "slide_index", "uid"]
 
@@ -62,8 +65,16 @@ def select_rules(include: list[str] | None = None, exclude: list[str] | None = N
     return out
 
 
-def check(tables: dict[str, DataFrame], profile: dict | None = None, include: list[str] | None = None, exclude: list[str] | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """(outcome rows of all rules that could run, [(rule, missing input)] of those that could not)."""
+def check(
+    tables: dict[str, DataFrame], profile: dict | None = None, include: list[str] | None = None, exclude: list[str] | None = None,
+    accepted: DataFrame | None = None, intended: DataFrame | None = None, severity: str | None = None,
+) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """(outcome rows of all rules that could run, [(rule, missing input or error)] of those that could not).
+
+    accepted: (rule, slide, shape) rows, null or empty for any; what they cover becomes `excused`. intended: declared
+    (signature) rows; a finding whose signature is declared becomes `excused` too. severity: the least severe findings
+    to keep. A rule that cannot be planned is reported by name and stops no other.
+    """
     profile = profile or {}
     frames, skipped = [], []
     for r in select_rules(include, exclude, lookup(profile, "rules.disabled")):
@@ -71,13 +82,54 @@ def check(tables: dict[str, DataFrame], profile: dict | None = None, include: li
         if missing:
             skipped.append((r.id, missing[0]))
             continue
-        severity = (lookup(profile, "rules.severity") or {}).get(r.id, r.severity)
-        tag = {"rule": r.id, "category": r.category, "severity": severity, "confidence": r.confidence}
-        frames.append(r.run(tables, profile).select(*[F.lit(v).alias(k) for k, v in tag.items()], "outcome", *KEYS, "message", "measured", "expected"))
+        stated = (lookup(profile, "rules.severity") or {}).get(r.id, r.severity)
+        tag = {"rule": r.id, "category": r.category, "severity": stated, "confidence": r.confidence}
+        try:
+            frames.append(r.run(tables, profile).select(*[F.lit(v).alias(k) for k, v in tag.items()], "outcome", *KEYS, "message", "measured", "expected"))
+        except (PySparkException, AttributeError, KeyError, TypeError, ValueError) as error:  # a profile or table that the rule cannot read
+            skipped.append((r.id, f"failed: {type(error).__name__}"))
+    if not frames:
+        spark = next(iter(tables.values())).sparkSession
+        return spark.createDataFrame([], OUTCOMES), skipped
     result = frames[0]
     for f in frames[1:]:
         result = result.unionByName(f)
-    return result.withColumn("signature", F.sha2(F.concat_ws("|", "rule", "message", F.coalesce("measured", F.lit(""))), 256)), skipped
+    result = result.withColumn("signature", F.sha2(F.concat_ws("|", "rule", "message", F.coalesce("measured", F.lit(""))), 256))
+    if accepted is not None:
+        result = excuse_accepted(result, tables, accepted)
+    if intended is not None:
+        result = excuse_declared(result, intended)
+    if severity is not None:
+        result = result.where((F.col("outcome") != "finding") | (audit.rank(F.col("severity"), audit.SEVERITIES) <= audit.SEVERITIES.index(severity) + 1))
+    return result, skipped
+
+
+def excuse_accepted(result: DataFrame, tables: dict[str, DataFrame], accepted: DataFrame) -> DataFrame:
+    """Findings that an acceptance covers become `excused`."""
+    names = tables["shapes"].select(*KEYS, F.col("name").alias("shape"))
+    open_ = result.where("outcome = 'finding'").join(names, KEYS, "left").withColumn("slide", F.col("slide_index"))
+    left = joins.unsuppressed(open_, accepted)
+    covered = open_.exceptAll(left).withColumn("outcome", F.lit("excused"))
+    return result.where("outcome <> 'finding'").unionByName(left.unionByName(covered).select(*result.columns))
+
+
+def excuse_declared(result: DataFrame, intended: DataFrame) -> DataFrame:
+    """A finding is excused only if every one of its lines is declared; a finding here has the one line of its signature."""
+    found = result.where("outcome = 'finding'").select("signature").distinct()
+    whole = joins.fully_declared(found.withColumn("finding", F.col("signature")), intended, "finding", "signature").select(F.col("finding").alias("signature"), F.lit(1).alias("declared"))
+    return result.join(whole, "signature", "left").withColumn("outcome", F.when((F.col("outcome") == "finding") & (F.col("declared") == 1), "excused").otherwise(F.col("outcome"))).select(*result.columns)
+
+
+def rules(tables_of_rules: dict[str, Rule] | None = None) -> list[dict]:
+    """The catalogue as rows: id, category, severity, confidence, whether it runs by default, what it needs."""
+    listed = RULES if tables_of_rules is None else tables_of_rules
+    return [{"id": r.id, "category": r.category, "severity": r.severity, "confidence": r.confidence, "default": r.default, "needs": list(r.needs)} for _, r in sorted(listed.items())]
+
+
+def located(result: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Outcome rows with the name and box of the shape they speak of; slide and deck rows keep nulls."""
+    shapes = tables["shapes"].select(*KEYS, F.col("name").alias("shape"), *[F.col(f"{c}_pt").alias(c) for c in ("left", "top", "width", "height")])
+    return result.join(shapes, KEYS, "left")
 
 
 def exit_status(result: DataFrame, fail_on: str = "blocker", confidence: str = "medium") -> int:
