@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import scratch_dir
+from tallyframe.llm.common import delete, scratch_dir
 
 REVISIT_BYTES = 1000
 NO_PAGE = -(1 << 63)
@@ -72,6 +72,7 @@ def write_archive(pages: DataFrame, path: str) -> str:
     owner = first.select(page("first_id"), F.col("sha256").alias("digest"))
     own = base.select(page("page_id"), F.sha2("payload", 256).alias("digest"), "payload").join(owner, ["page", "digest"], "left_semi")
     own.dropDuplicates(["page", "digest"]).select("digest", "payload").write.parquet(f"{path}/payloads")
+    delete(pages.sparkSession, f"{path}/keys")
     return path
 
 
