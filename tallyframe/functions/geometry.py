@@ -72,3 +72,8 @@ def tint(channel: Column, share: Column) -> Column:
 def shade(channel: Column, share: Column) -> Column:
     """Towards black in linear light."""
     return _unlinear(_linear(channel) * share)
+
+
+def approx_equal(a: Column, b: Column, tolerance: float) -> Column:
+    """Within the tolerance; a null equals nothing."""
+    return F.coalesce(F.abs(a - b) <= tolerance, F.lit(False))

@@ -88,3 +88,14 @@ def year_of(period: Column) -> Column:
 def endpoints(period: Column) -> Column:
     """struct(first, last) of a range, null for anything else."""
     return F.when(period.contains(".."), F.struct(F.substring_index(period, "..", 1).alias("first"), F.substring_index(period, "..", -1).alias("last")))
+
+
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("period", T.StringType())]))
+
+
+@pandas_udf(SPANS)
+def period_spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Where each period stands in a text whose white space is single: array of (start, end, period) in order."""
+    for texts in batches:
+        known = {t: [{"start": s, "end": e, "period": p} for s, e, p in scan(t)[0]] for t in texts.unique()}
+        yield texts.map(known)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyframe import figures
 from tallyframe.functions import geometry, labels, numbers, periods, text
-from tallyframe.operators import consistency, stats
+from tallyframe.operators import consistency, slides, stats
 from tallyframe.rules.engine import KEYS, RULES, lookup, outcomes, rule
 
 # Limits and lists of the rules.
@@ -19,6 +19,10 @@ OFF_CANVAS_PT, MIN_DPI, UNITS = 0.5, 150.0, r"(?i)[$£€¥%]|\b(?:usd|eur|gbp|c
 STANDARD_FONTS = ("arial", "calibri", "cambria", "candara", "consolas", "constantia", "corbel", "courier new", "georgia", "helvetica", "segoe ui", "symbol", "tahoma", "times new roman", "trebuchet ms", "verdana", "wingdings")
 IDENTIFYING = ("creator", "lastModifiedBy", "Manager", "Company", "keywords", "category", "subject", "description")
 BARS = ("bar", "bar3D")
+POSITION_PT, SPELLING_SHOWN = 2.0, 5
+OPENING = r"^(opening|beginning|starting|brought forward|balance brought forward)\b"
+CLOSING = r"^(closing|ending|carried forward|balance carried forward)\b"
+AS_AT = r"(?i)\bas\s+(?:at|of)\s+([^.;,()]{6,24})"
 
 
 def _literal(spark_array: list) -> F.Column:
@@ -145,7 +149,7 @@ def series_off_palette(t, p):
 # ---------------------------------------------------------------- layout
 
 
-@rule("LO-001", "major")
+@rule("LO-001", "blocker")
 def off_canvas(t, p):
     s = _placed(t).withColumn("out", F.greatest(-F.col("left_pt"), -F.col("top_pt"), F.col("left_pt") + F.col("width_pt") - F.col("w"), F.col("top_pt") + F.col("height_pt") - F.col("h"))).where(F.col("out") > OFF_CANVAS_PT)
     bleed = (F.coalesce("text", F.lit("")) == "") & (F.col("kind") != "picture")
@@ -192,6 +196,33 @@ def font_band(t, p):
     return outcomes(grouped.withColumn("o", out).where("o IS NOT NULL"), F.concat_ws(" ", F.lit("font size for"), "role"), F.col("size"), F.concat_ws(" to ", "band"), F.col("o"))
 
 
+@rule("LO-005", "minor", needs=("layout.recurring",))
+def displaced(t, p):
+    """recurring: [{kind, name, left, top}]; an element of that kind and name that stands elsewhere."""
+    within = lookup(p, "layout.position_tolerance_pt") or POSITION_PT
+    known = F.array(*[F.struct(F.lit(r["kind"]).alias("kind"), F.lit(r["name"]).alias("name"), F.lit(float(r["left"])).alias("left"), F.lit(float(r["top"])).alias("top")) for r in lookup(p, "layout.recurring")])
+    mine = F.filter(known, lambda k: (k["kind"] == F.col("kind")) & (k["name"] == F.col("name")))
+    s = _placed(t).withColumn("home", F.try_element_at(mine, F.lit(1))).where("home IS NOT NULL")
+    off = F.greatest(F.abs(F.col("left_pt") - F.col("home.left")), F.abs(F.col("top_pt") - F.col("home.top")))
+    return outcomes(s.withColumn("off", off).where(F.col("off") > within), F.concat_ws(" ", F.lit("recurring element displaced:"), "name"), F.round("off", 2), f"{within}pt at most")
+
+
+@rule("LO-008", "minor", needs=("layout.gutter_stdev_pt",))
+def gutters(t, p):
+    """Rows of three or more siblings of one size whose gaps vary. Shapes that overlap by more than the tolerance make no row."""
+    limit, within = lookup(p, "layout.gutter_stdev_pt"), lookup(p, "layout.position_tolerance_pt") or POSITION_PT
+    s = slides.content_shapes(t).withColumn("one", F.lit(1))
+    size = ["deck_id", "slide_index", "parent", "kind", "w", "h"]
+    s = s.withColumn("parent", F.coalesce("parent_uid", F.lit(-1))).withColumn("w", F.round("width_pt")).withColumn("h", F.round("height_pt"))
+    rows = stats.cluster_1d(s, size, "top_pt", "one", within).select(*size, F.col("value").alias("top_pt"), "cluster")
+    row = [*size, "cluster"]
+    order = Window.partitionBy(*row).orderBy("left_pt", "uid")
+    gaps = s.join(rows, [*size, "top_pt"]).withColumn("gap", F.lead("left_pt").over(order) - F.col("left_pt") - F.col("width_pt"))
+    g = gaps.groupBy(*row).agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("least"), F.stddev_pop("gap").alias("spread"), F.min("uid").alias("uid"))
+    bad = g.where((F.col("n") >= 3) & (F.col("least") >= -within) & (F.col("spread") > limit))
+    return outcomes(bad, "uneven gaps in a row of equals", F.round("spread", 2), f"{limit}pt at most")
+
+
 @rule("LO-009", "minor")
 def bullet_indent(t, p):
     """Explicit indents of one frame and level in more than one 1pt cluster: those off the best-supported one."""
@@ -232,7 +263,8 @@ def bullet_terminal(t, p):
 @rule("TY-004", "minor", needs=("typography.title_case",))
 def title_case(t, p):
     want = lookup(p, "typography.title_case")
-    rows = _title(t).withColumn("style", text.capitalisation(F.col("text"))).where(~F.col("style").eqNullSafe(F.lit(want)))
+    content = slides.archetypes(t).where(F.col("archetype").isin(*slides.CONTENT)).select("deck_id", "slide_index")
+    rows = _title(t).join(content, ["deck_id", "slide_index"]).withColumn("style", text.capitalisation(F.col("text"))).where(~F.col("style").eqNullSafe(F.lit(want)))
     return outcomes(rows, "title capitalisation", F.col("style"), want, F.when(F.col("style").isNull(), "unchecked").otherwise("finding"))
 
 
@@ -276,6 +308,20 @@ def date_format(t, p):
     return outcomes(dates.where((F.size("f") > 0) & ~F.array_contains("f", want)), F.concat_ws(" ", F.lit("date format of"), "date"), F.col("date"), want)
 
 
+@rule("TY-009", "minor", default=False)
+def spelling(t, p):
+    """Words in no dictionary. The dictionary is a table `dictionary` (word) beside the deck's own; house terms are known."""
+    terms = [w.lower() for phrase in lookup(p, "typography.canon_terms") or {} for w in phrase.split()]
+    own = slides.furniture(t)
+    words = _passages(t).join(own, KEYS, "left_anti").select(*KEYS, F.explode(text.spell_tokens(F.col("text"))).alias("word")).select(*KEYS, F.lower("word").alias("word")).distinct()
+    known = t["dictionary"].select(F.lower("word").alias("word")).distinct()
+    unknown = words.where(~F.regexp_replace("word", "['’]s?$", "").isin(*terms)).join(known, "word", "left_anti")
+    unknown = unknown.withColumn("stem", F.regexp_replace("word", "['’]s?$", "")).join(known.withColumnRenamed("word", "stem"), "stem", "left_anti")
+    g = unknown.groupBy(*KEYS).agg(F.array_sort(F.collect_set("word")).alias("words"))
+    more = F.when(F.size("words") > SPELLING_SHOWN, F.concat(F.lit(" and "), (F.size("words") - SPELLING_SHOWN).cast("string"), F.lit(" more"))).otherwise("")
+    return outcomes(g, F.concat(F.lit("in no dictionary: "), F.array_join(F.slice("words", 1, SPELLING_SHOWN), ", "), more), F.size("words"))
+
+
 # ---------------------------------------------------------------- hygiene
 
 
@@ -482,6 +528,44 @@ def growth(t, p):
     return outcomes(rows, F.concat_ws(" ", F.lit("growth does not match its series:"), "metric", "period"), F.col("raw"), F.round("computed", 1), F.col("o"))
 
 
+@rule("CO-007", "major")
+def bridge(t, p):
+    """A column whose ends are named as opening and closing, or are one metric at two periods around undated steps."""
+    cells = t["table_cells"].where("row > 0 AND NOT is_merge_continuation")
+    head = cells.where("col = 0").select(*KEYS, "row", labels.normalise_label(F.col("text")).alias("label"), periods.split_period("text").alias("s"))
+    whole = Window.partitionBy(*KEYS)
+    head = head.withColumn("metric", labels.normalise_label(F.col("s.label"))).withColumn("first", F.min("row").over(whole)).withColumn("last", F.max("row").over(whole))
+    at = lambda end, c: F.max(F.when(F.col("row") == F.col(end), F.col(c))).over(whole)
+    dated = F.count(F.when(F.col("s.period").isNotNull(), 1)).over(whole)
+    head = head.withColumn("dated", dated).withColumn("same", (at("first", "metric") == at("last", "metric")) & (at("first", "s.period") != at("last", "s.period")))
+    by_period = F.coalesce(F.col("same") & (F.col("dated") == 2), F.lit(False))
+    role = F.when(F.col("label").rlike(OPENING) | by_period & (F.col("row") == F.col("first")), "opening").when(F.col("label").rlike(CLOSING) | by_period & (F.col("row") == F.col("last")), "closing").otherwise("step")
+    body = cells.where("col > 0").join(head.select(*KEYS, "row", role.alias("role")), [*KEYS, "row"]).withColumn("r", numbers.read_cell(F.col("text")))
+    column = Window.partitionBy(*KEYS, "col")
+    body = body.withColumn("ends", F.count(F.when(F.col("role") != "step", 1)).over(column)).where("ends > 0")
+    unread = body.where("r IS NULL").select(*KEYS, "col").distinct()
+    steps = body.join(unread, [*KEYS, "col"], "left_anti").select(*KEYS, "col", "row", "role", F.col("r.value").alias("value"), F.col("r.decimals").alias("decimals"))
+    found = consistency.bridges(steps, [*KEYS, "col"], "row").where("outcome IN ('finding', 'unchecked')")
+    return outcomes(found, "bridge does not carry to its closing", F.round("carried", 3), None, F.col("outcome"))
+
+
+def _as_at(t):
+    """The one date as at which a slide states its figures; slides with several different dates have none."""
+    said = _passages(t).select("deck_id", "slide_index", F.trim(F.regexp_extract("text", AS_AT, 1)).alias("said")).where("said <> ''")
+    read = said.select("deck_id", "slide_index", F.lower(F.try_element_at(text.date_candidates(F.col("said")), F.lit(1))).alias("date")).where("date IS NOT NULL")
+    return read.groupBy("deck_id", "slide_index").agg(F.count_distinct("date").alias("n"), F.min("date").alias("date")).where("n = 1").select(F.col("deck_id").alias("deck"), F.col("slide_index").alias("slide"), "date")
+
+
+@rule("CO-009", "minor", "medium")
+def as_of_drift(t, p):
+    """One fact on slides that state different dates: every later date is told against the first."""
+    f = figures.index_of(t).join(_as_at(t), ["deck", "slide"])
+    keys = ["deck", "metric", "scope", "kind", "quantity", "period"]
+    first = F.first("date").over(Window.partitionBy(*keys).orderBy("ord"))
+    rows = f.where("kind IS NOT NULL").withColumn("first", first).where("date <> first").select("ord", "date", "first")
+    return outcomes(_at(figures.index_of(t), rows), F.concat_ws(" ", F.lit("as-of dates differ for"), "metric", "period"), F.col("date"), F.col("first"))
+
+
 @rule("CO-008", "minor", "medium")
 def unit_drift(t, p):
     """One fact under two stated units."""

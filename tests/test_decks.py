@@ -46,7 +46,7 @@ SEEDS = [
     ("TY-001", 2, [CLEAN[0], CLEAN[1] + text(5, "Q", "a 'quoted' word", (60, 300, 300, 40))], {}),
     ("TY-002", 2, [CLEAN[0], CLEAN[1] + text(5, "Q", "two  spaces", (60, 300, 300, 40))], {}),
     ("TY-003", 2, [CLEAN[0], CLEAN[1] + text(5, "Q", "one\ntwo.", (60, 300, 300, 40), bullet=True)], {}),
-    ("TY-004", 1, [text(2, "T", "Revenue Growth Has Slowed", None, TITLE), CLEAN[1]], {}),
+    ("TY-004", 2, [CLEAN[1], text(2, "T", "Revenue Growth Has Slowed", None, TITLE) + text(4, "Body", "word " * 60, (60, 200, 300, 60))], {}),
     ("TY-005", 2, [CLEAN[0], CLEAN[1] + text(5, "Q", "in north america now", (60, 300, 300, 40))], {}),
     ("TY-006", 1, [text(2, "T", "Revenue growth has slowed", None, TITLE) + table(3, [*ROWS[:2], ["South", "11.5", "21"]]), CLEAN[1]], {}),
     ("TY-007", 2, [CLEAN[0], CLEAN[1] + text(5, "Q", "paid £5", (60, 300, 300, 40))], {}),
@@ -72,8 +72,8 @@ def test_seeded_defect(spark, rule, slide, slides, options):
 def test_refusals(spark):
     prose = deck([text(2, "T", "Revenue growth has slowed", None, TITLE) + table(3, [*ROWS[:2], ["South", "see note", "21"], *ROWS[3:]]), CLEAN[1]])
     assert ("CO-003", 1) in found(spark, prose, "unchecked", include=["CO-003"]) and ("CO-003", 1) not in found(spark, prose, include=["CO-003"])
-    short = deck([text(2, "T", "Short", None, TITLE), CLEAN[1]])
-    assert ("TY-004", 1) in found(spark, short, "unchecked", include=["TY-*"])
+    short = deck([CLEAN[1], text(2, "T", "Short", None, TITLE) + text(4, "Body", "word " * 60, (60, 200, 300, 60))])
+    assert ("TY-004", 2) in found(spark, short, "unchecked", include=["TY-*"])
 
 
 def test_selection_and_skips(spark):
