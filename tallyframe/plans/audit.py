@@ -55,3 +55,19 @@ def merge_suppressions(rows: DataFrame) -> DataFrame:
 
 def verdict(blockers: Column, majors: Column) -> Column:
     return F.when(blockers > 0, "do not send").when(majors > 0, "review first").otherwise("send")
+
+
+def digest_tree(rows: DataFrame, keys: list[str], width: int = 1024) -> DataFrame:
+    """keys, digest: one digest over a payload's digests (position, digest), in order of their positions.
+
+    Positions are folded by blocks of `width`, and those again, three times before the last fold: no task gathers more
+    than `width` rows of a payload while it has fewer than width to the fourth positions, each taken once.
+    """
+
+    def fold(df: DataFrame, by: list) -> DataFrame:
+        lines = F.transform(F.array_sort(F.collect_list(F.struct("position", "digest"))), lambda s: F.concat_ws(":", s["position"].cast("string"), s["digest"]))
+        return df.groupBy(*by).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
+
+    for _ in range(3):
+        rows = fold(rows.withColumn("block", F.floor(F.col("position") / width).cast("long")), [*keys, "block"]).withColumnRenamed("block", "position")
+    return fold(rows, keys)

@@ -117,12 +117,12 @@ def signature(t):
     return t.part.select("p_partkey", audit.signature(F.lit("LO-003"), F.col("p_brand"), F.col("p_retailprice"), F.col("p_size") * 0.25).alias("signature"))
 
 
-@query("""SELECT source, sha256(string_agg(CAST(doc_id AS VARCHAR) || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS digest FROM documents WHERE doc_id % 50 < 50 GROUP BY 1""")
+@query("""WITH a AS (SELECT source, doc_id // 1024 AS b, sha256(string_agg(CAST(doc_id AS VARCHAR) || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS d FROM documents GROUP BY ALL),
+c AS (SELECT source, b // 1024 AS b, sha256(string_agg(CAST(b AS VARCHAR) || ':' || d, chr(10) ORDER BY b)) AS d FROM a GROUP BY source, b // 1024),
+e AS (SELECT source, b // 1024 AS b, sha256(string_agg(CAST(b AS VARCHAR) || ':' || d, chr(10) ORDER BY b)) AS d FROM c GROUP BY source, b // 1024)
+SELECT source, sha256(string_agg(CAST(b AS VARCHAR) || ':' || d, chr(10) ORDER BY b)) AS digest FROM e GROUP BY 1""")
 def digest(t):
-    """A digest over the digests of a payload's texts, in order."""
-    rows = t.documents.select("source", "doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256)).alias("line"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda s: s["line"]), "\n")
-    return rows.groupBy("source").agg(F.sha2(joined, 256).alias("digest"))
+    return audit.digest_tree(t.documents.select("source", F.col("doc_id").alias("position"), F.sha2("text", 256).alias("digest")), ["source"])
 
 
 @query("""SELECT conv_id, turn, role, length(text) AS characters, sha256(text) AS digest, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS INTEGER) AS record FROM conversations""")
@@ -177,9 +177,22 @@ REWRITE = f"""r AS (SELECT doc_id, list_reduce([text] || list_transform(range(1,
 FROM (SELECT doc_id, text, list_transform(list_sort(list_distinct(list_transform(m, lambda x: [list_position(m, x)]))), lambda p: m[p[1]]) AS u FROM (SELECT doc_id, text, regexp_extract_all(text, '{EMAIL}') AS m FROM documents)))"""
 
 
+@query()
+def pii_kinds(t):
+    """Everything that any detector finds in any document, with its place."""
+    spans = t.documents.select("doc_id", F.explode(redaction.detect(F.col("text"))).alias("s"))
+    return spans.select("doc_id", "s.kind", F.col("s.start").alias("first"), F.col("s.end").alias("past"), F.col("s.text").alias("term"))
+
+
+@query()
+def redact_documents(t):
+    """Every document as a payload of its own, without what any detector finds in it."""
+    texts = t.documents.select(F.col("doc_id").alias("payload"), F.lit(0).alias("part"), "text")
+    return redaction.redact(texts).texts.select(F.col("payload").alias("doc_id"), "text")
+
+
 def _rewritten(t):
-    terms = F.transform(redaction.detect(F.col("text"), ("email",)), lambda s: s["text"])
-    return t.documents.select("doc_id", redaction.rewrite(F.col("text"), terms, "email").alias("text"))
+    return t.documents.select("doc_id", redaction.rewrite(F.col("text"), redaction.detect(F.col("text"), ("email",))).alias("text"))
 
 
 @query(f"WITH {REWRITE} SELECT doc_id, md5(text) AS digest FROM r")
