@@ -25,6 +25,29 @@ def _figure(df: DataFrame, source: str, row: str, col: str) -> DataFrame:
     )
 
 
+AMOUNT = rf"(?:{numbers.CURRENCY})\s?[0-9][0-9,]*(?:\.[0-9]+)?\s?(?:mm|m|bn|k)?"
+
+
+def conversions(passages: DataFrame) -> DataFrame:
+    """deck, one, other: amounts that a text states as equal, the second in brackets behind the first."""
+    pair = rf"(?i)({AMOUNT})\s*\(\s*({AMOUNT})\s*\)"
+    side = lambda k: F.regexp_extract_all("text", F.lit(pair), F.lit(k))
+    said = passages.select("deck_id", F.explode(F.arrays_zip(side(1).alias("a"), side(2).alias("b"))).alias("p"))
+    read = said.select("deck_id", numbers.parse_number(F.col("p.a")).alias("a"), numbers.parse_number(F.col("p.b")).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+
+    def stated(c: str) -> Column:
+        unit = numbers.unit_of(F.col(c))
+        return F.struct(unit["currency"].alias("currency"), unit["scale"].alias("scale"), (F.col(f"{c}.value") * F.coalesce(numbers.scale_factor(unit["scale"]), F.lit(1.0))).alias("amount"))
+
+    return read.select(F.col("deck_id").alias("deck"), stated("a").alias("one"), stated("b").alias("other"))
+
+
+def pair_key(one: str, other: str) -> Column:
+    """One key for two stated amounts, in either order: their currencies and their amounts to six places."""
+    key = lambda c: F.concat_ws(" ", F.coalesce(f"{c}.currency", F.lit("?")), F.format_string("%.6e", F.col(f"{c}.amount")))
+    return F.array_join(F.array_sort(F.array(key(one), key(other))), " = ")
+
+
 def table_figures(t: dict[str, DataFrame]) -> DataFrame:
     """Cells of tables. Columns are the period axis only if every value column is dated; else rows if all are; else a
     row names the scope and the column the metric. A corner cell states the unit of what lies below."""

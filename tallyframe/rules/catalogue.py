@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyframe import figures
 from tallyframe.functions import geometry, labels, numbers, periods, text
-from tallyframe.operators import consistency, slides, stats
+from tallyframe.operators import consistency, placement, slides, stats
 from tallyframe.rules.engine import KEYS, RULES, lookup, outcomes, rule
 
 # Limits and lists of the rules.
@@ -19,7 +19,7 @@ OFF_CANVAS_PT, MIN_DPI, UNITS = 0.5, 150.0, r"(?i)[$£€¥%]|\b(?:usd|eur|gbp|c
 STANDARD_FONTS = ("arial", "calibri", "cambria", "candara", "consolas", "constantia", "corbel", "courier new", "georgia", "helvetica", "segoe ui", "symbol", "tahoma", "times new roman", "trebuchet ms", "verdana", "wingdings")
 IDENTIFYING = ("creator", "lastModifiedBy", "Manager", "Company", "keywords", "category", "subject", "description")
 BARS = ("bar", "bar3D")
-POSITION_PT, SPELLING_SHOWN = 2.0, 5
+POSITION_PT, GRID_PT, NEAR_MISS_PT, GUTTER_PT, SPELLING_SHOWN = 2.0, 0.5, 4.0, 1.0, 5
 OPENING = r"^(opening|beginning|starting|brought forward|balance brought forward)\b"
 CLOSING = r"^(closing|ending|carried forward|balance carried forward)\b"
 AS_AT = r"(?i)\bas\s+(?:at|of)\s+([^.;,()]{6,24})"
@@ -149,29 +149,52 @@ def series_off_palette(t, p):
 # ---------------------------------------------------------------- layout
 
 
+def _excused(s: DataFrame, found: DataFrame, *kinds: str) -> DataFrame:
+    """s with `meant`: the first evidence of these kinds for the shape, null where there is none."""
+    mine = found.where(F.col("evidence").isin(*kinds)).groupBy(*KEYS).agg(F.min("evidence").alias("meant"))
+    return s.join(mine, KEYS, "left")
+
+
+def _intent(t, p) -> DataFrame:
+    """The evidence that a profile's grid and tolerances give; tables hold one profile's at a time."""
+    grid = lookup(p, "layout.grid") or {}
+    lines = {"x": grid.get("columns") or [], "y": grid.get("rows") or []}
+    return placement.evidence(t, lines, grid.get("tolerance_pt") or GRID_PT, lookup(p, "layout.position_tolerance_pt") or POSITION_PT, lookup(p, "layout.gutter_stdev_pt") or GUTTER_PT)
+
+
 @rule("LO-001", "blocker")
 def off_canvas(t, p):
+    """A decoration that bleeds over the edge behind the content is excused, and so is a shape without text or picture."""
     s = _placed(t).withColumn("out", F.greatest(-F.col("left_pt"), -F.col("top_pt"), F.col("left_pt") + F.col("width_pt") - F.col("w"), F.col("top_pt") + F.col("height_pt") - F.col("h"))).where(F.col("out") > OFF_CANVAS_PT)
     bleed = (F.coalesce("text", F.lit("")) == "") & (F.col("kind") != "picture")
-    return outcomes(s, "reaches over the slide's edge", F.round("out", 2), f"{OFF_CANVAS_PT}pt at most", F.when(bleed, "excused").otherwise("finding"))
+    decor = placement.decorations(t).withColumn("decor", F.lit(True))
+    out = F.when(bleed | F.col("decor"), "excused").otherwise("finding")
+    return outcomes(s.join(decor, KEYS, "left").withColumn("o", out), "reaches over the slide's edge", F.round("out", 2), f"{OFF_CANVAS_PT}pt at most", F.col("o"))
 
 
 @rule("LO-002", "minor", needs=("layout.safe_margin_pt",))
 def margin_intrusion(t, p):
+    """Furniture, and a box that stands there on three slides, is meant: excused."""
     m = lookup(p, "layout.safe_margin_pt")
     inside = F.greatest(m - F.col("left_pt"), m - F.col("top_pt"), F.col("left_pt") + F.col("width_pt") - (F.col("w") - m), F.col("top_pt") + F.col("height_pt") - (F.col("h") - m))
     on_slide = "left_pt >= -0.5 AND top_pt >= -0.5 AND left_pt + width_pt <= w + 0.5 AND top_pt + height_pt <= h + 0.5 AND width_pt * height_pt < 0.8 * w * h"
-    s = _placed(t).where("text <> '' AND coalesce(placeholder_type, '') NOT IN ('sldNum', 'ftr', 'dt')").where(on_slide).withColumn("into", inside)
-    return outcomes(s.where("into > 2"), "text inside the margin", F.round("into", 2), f"{m}pt margin")
+    s = _placed(t).where("text <> '' AND coalesce(placeholder_type, '') NOT IN ('sldNum', 'ftr', 'dt')").where(on_slide).withColumn("into", inside).where("into > 2")
+    s = _excused(s, placement.settled(t), "furniture", "repeated")
+    return outcomes(s, F.concat_ws(": ", F.lit("text inside the margin"), "meant"), F.round("into", 2), f"{m}pt margin", F.when(F.col("meant").isNull(), "finding").otherwise("excused"))
 
 
-@rule("LO-003", "minor", needs=("layout.grid.columns",))
+@rule("LO-003", "minor", needs=("layout.grid",))
 def near_miss(t, p):
-    """A left edge that misses its nearest column line by .5 to 4 points, with no second line as near."""
-    lines = lookup(p, "layout.grid.columns")
-    d = F.transform(_literal([float(x) for x in lines]), lambda x: F.abs(F.col("left_pt") - x))
-    s = _placed(t).withColumn("d", F.array_min(d)).withColumn("near", F.size(F.filter(d, lambda x: x <= 4)))
-    return outcomes(s.where("d >= 0.5 AND d <= 4 AND near = 1"), "just misses a grid line", F.round("d", 2), "on the line")
+    """grid: {columns, rows}. An edge or middle that misses its nearest line by .5 to 4 points, with no second line as near
+    and nothing that says its place on that axis is meant; of each shape and axis the closest."""
+    grid = lookup(p, "layout.grid")
+    least, most = grid.get("tolerance_pt") or GRID_PT, grid.get("near_miss_pt") or NEAR_MISS_PT
+    e = slides.edges(t).join(_placed(t).select(*KEYS), KEYS, "left_semi").withColumn("all", placement.distances({"x": grid.get("columns") or [], "y": grid.get("rows") or []}))
+    e = e.withColumn("d", F.array_min("all")).where((F.col("d") >= least) & (F.col("d") <= most) & (F.size(F.filter("all", lambda x: x <= most)) == 1))
+    both = F.explode(F.when(F.col("axis") == "both", F.array(F.lit("x"), F.lit("y"))).otherwise(F.array("axis")))
+    meant = _intent(t, p).withColumn("axis", both).select(*KEYS, "axis").distinct()
+    best = e.join(meant, [*KEYS, "axis"], "left_anti").groupBy(*KEYS, "axis").agg(F.min_by("edge", F.struct("d", "edge")).alias("edge"), F.min("d").alias("d"))
+    return outcomes(best, F.concat_ws(" ", F.lit("just misses a grid line:"), "edge"), F.round("d", 2), "on the line")
 
 
 @rule("LO-004", "major")
@@ -209,17 +232,10 @@ def displaced(t, p):
 
 @rule("LO-008", "minor", needs=("layout.gutter_stdev_pt",))
 def gutters(t, p):
-    """Rows of three or more siblings of one size whose gaps vary. Shapes that overlap by more than the tolerance make no row."""
+    """Rows and columns of three or more siblings of one size whose gaps vary. Shapes that overlap by more than the
+    tolerance make no row."""
     limit, within = lookup(p, "layout.gutter_stdev_pt"), lookup(p, "layout.position_tolerance_pt") or POSITION_PT
-    s = slides.content_shapes(t).withColumn("one", F.lit(1))
-    size = ["deck_id", "slide_index", "parent", "kind", "w", "h"]
-    s = s.withColumn("parent", F.coalesce("parent_uid", F.lit(-1))).withColumn("w", F.round("width_pt")).withColumn("h", F.round("height_pt"))
-    rows = stats.cluster_1d(s, size, "top_pt", "one", within).select(*size, F.col("value").alias("top_pt"), "cluster")
-    row = [*size, "cluster"]
-    order = Window.partitionBy(*row).orderBy("left_pt", "uid")
-    gaps = s.join(rows, [*size, "top_pt"]).withColumn("gap", F.lead("left_pt").over(order) - F.col("left_pt") - F.col("width_pt"))
-    g = gaps.groupBy(*row).agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("least"), F.stddev_pop("gap").alias("spread"), F.min("uid").alias("uid"))
-    bad = g.where((F.col("n") >= 3) & (F.col("least") >= -within) & (F.col("spread") > limit))
+    bad = placement.runs(t, "x", within).unionByName(placement.runs(t, "y", within)).where(F.col("spread") > limit)
     return outcomes(bad, "uneven gaps in a row of equals", F.round("spread", 2), f"{limit}pt at most")
 
 
@@ -248,7 +264,7 @@ def quote_style(t, p):
 
 @rule("TY-002", "minor")
 def whitespace(t, p):
-    found = _passages(t).select(*KEYS, F.explode(text.whitespace_defects(F.col("text"))).alias("kind", "n"))
+    found = _passages(t).select(*KEYS, F.explode(text.whitespace_defects(text.without_set_spacing(F.col("text")))).alias("kind", "n"))
     return outcomes(found.groupBy(*KEYS, "kind").agg(F.sum("n").alias("n")), F.col("kind"), F.col("n"), "0")
 
 
@@ -568,12 +584,15 @@ def as_of_drift(t, p):
 
 @rule("CO-008", "minor", "medium")
 def unit_drift(t, p):
-    """One fact under two stated units."""
-    f = figures.index_of(t).where("scale IS NOT NULL OR currency IS NOT NULL").withColumn("stated", F.concat_ws(" ", "currency", "scale"))
-    keys = ["deck", "metric", "scope", "kind", "period"]
-    w = Window.partitionBy(*keys).orderBy("ord")
-    rows = f.where("period IS NOT NULL").withColumn("first", F.first("stated").over(w)).where("stated <> first")
-    return outcomes(_at(figures.index_of(t), rows.select("ord", "stated", "first")), F.concat_ws(" ", F.lit("unit drifts:"), "metric", "period"), F.col("stated"), F.col("first"))
+    """One fact under two stated currencies or scales, unless the deck states both amounts side by side."""
+    f = figures.index_of(t).where("(scale IS NOT NULL OR currency IS NOT NULL) AND period IS NOT NULL")
+    f = f.withColumn("stated", F.struct("currency", "scale", (F.col("value") * F.coalesce(numbers.scale_factor(F.col("scale")), F.lit(1.0))).alias("amount")))
+    w = Window.partitionBy("deck", "metric", "scope", "kind", "period").orderBy("ord")
+    rows = f.withColumn("first", F.first("stated").over(w)).where("stated.currency <> first.currency OR stated.scale <> first.scale")
+    seen = figures.conversions(_passages(t)).select("deck", figures.pair_key("one", "other").alias("pair")).distinct()
+    open_ = rows.withColumn("pair", figures.pair_key("first", "stated")).join(seen, ["deck", "pair"], "left_anti")
+    unit = lambda c: F.concat_ws(" ", f"{c}.currency", f"{c}.scale")
+    return outcomes(_at(figures.index_of(t), open_.select("ord", unit("stated").alias("stated"), unit("first").alias("first"))), F.concat_ws(" ", F.lit("unit drifts:"), "metric", "period"), F.col("stated"), F.col("first"))
 
 
 __all__ = ["RULES"]
