@@ -51,8 +51,16 @@ def _title(t: dict[str, DataFrame]) -> DataFrame:
 
 @rule("BR-001", "blocker", needs=("brand.logo.sha1",))
 def logo_missing(t, p):
+    """logo.archetypes, where stated: {kind of slide: box, or none where it carries no logo}; other kinds are not checked."""
     marks = t["shapes"].where(F.col("image_sha1").isin(*lookup(p, "brand.logo.sha1"))).select("deck_id", "slide_index").distinct()
-    return outcomes(t["slides"].join(marks, ["deck_id", "slide_index"], "left_anti"), "no approved logo on the slide")
+    bare = t["slides"].join(marks, ["deck_id", "slide_index"], "left_anti")
+    known = lookup(p, "brand.logo.archetypes")
+    if known is None:
+        return outcomes(bare, "no approved logo on the slide")
+    kind = F.col("archetype")
+    out = F.when(~kind.isin(*known), "unchecked").when(kind.isin(*[k for k, box in known.items() if box]), "finding")
+    rows = bare.join(slides.archetypes(t).select("deck_id", "slide_index", "archetype"), ["deck_id", "slide_index"]).withColumn("o", out).where("o IS NOT NULL")
+    return outcomes(rows, F.when(F.col("o") == "finding", "no approved logo on the slide").otherwise(F.concat_ws(" ", F.lit("no logo is known for slides of kind"), "archetype")), None, None, F.col("o"))
 
 
 def _logos(t, p):
@@ -134,9 +142,15 @@ def slide_dimensions(t, p):
 
 @rule("BR-010", "major", needs=("footer.boilerplate",))
 def boilerplate(t, p):
-    wanted = t["slides"].select("deck_id", "slide_index", F.explode(_literal(lookup(p, "footer.boilerplate"))).alias("wanted"))
-    said = t["shapes"].where("text <> ''").groupBy("deck_id", "slide_index").agg(F.concat_ws("\n", F.collect_list(F.lower("text"))).alias("said"))
-    missing = wanted.join(said, ["deck_id", "slide_index"], "left").where(F.instr(F.coalesce("said", F.lit("")), F.lower("wanted")) == 0)
+    """footer.archetypes, where stated: the kinds of slides that must carry the lines. Case and white space do not matter,
+    and a line must stand within one shape."""
+    on = t["slides"].select("deck_id", "slide_index")
+    if lookup(p, "footer.archetypes"):
+        on = slides.archetypes(t).where(F.col("archetype").isin(*lookup(p, "footer.archetypes"))).select("deck_id", "slide_index")
+    fold = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    wanted = on.withColumn("wanted", F.explode(_literal(lookup(p, "footer.boilerplate"))))
+    said = t["shapes"].where("text <> ''").groupBy("deck_id", "slide_index").agg(F.concat_ws("\n", F.collect_list(fold("text"))).alias("said"))
+    missing = wanted.join(said, ["deck_id", "slide_index"], "left").where(~F.contains(F.coalesce("said", F.lit("")), fold("wanted")))
     return outcomes(missing, F.concat_ws(" ", F.lit("required line missing:"), "wanted"), None, F.col("wanted"))
 
 

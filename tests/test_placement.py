@@ -59,3 +59,15 @@ def test_spacing_on_purpose(spark):
     got = {r.k: r.d for r in rows.select("k", words.whitespace_defects(words.without_set_spacing(rows.v)).alias("d")).collect()}
     assert [bool(got[k]) for k in range(len(said))] == [False, False, False, True, True, True, False, False]
     assert found(spark, deck([CLEAN[1] + text(5, "Q", "1.   First  |  here", (60, 300, 300, 40))]), include=["TY-002"]) == set()
+
+
+def test_rules_by_kind_of_slide(spark):
+    cover, body = text(2, "T", "Project review", (100, 200, 400, 60), '<p:ph type="ctrTitle"/>'), CLEAN[1] + text(5, "More", "word " * 60, (60, 300, 300, 60))
+    content = deck([cover, body, body + text(6, "F", "Strictly  PRIVATE", (60, 500, 300, 20))])
+    logo = lambda kinds: {"brand": {"logo": {"sha1": ["0" * 40], **({"archetypes": kinds} if kinds is not None else {})}}}
+    assert {s for _, s in found(spark, content, profile=logo(None), include=["BR-001"])} == {1, 2, 3}
+    assert {s for _, s in found(spark, content, profile=logo({"title": None, "content": [1, 1, 5, 5]}), include=["BR-001"])} == {2, 3}
+    assert {s for _, s in found(spark, content, "unchecked", logo({"content": [1, 1, 5, 5]}), include=["BR-001"])} == {1}
+    line = {"footer": {"boilerplate": ["strictly private"]}}
+    assert {s for _, s in found(spark, content, profile=line, include=["BR-010"])} == {1, 2}
+    assert {s for _, s in found(spark, content, profile={"footer": {"boilerplate": ["strictly private"], "archetypes": ["content"]}}, include=["BR-010"])} == {2}
