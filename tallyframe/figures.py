@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyframe import prose
 from tallyframe.functions import labels, numbers, periods
+from tallyframe.operators import consistency
 from tallyframe.storage import written
 
 PLACE = ["deck_id", "slide_index", "uid"]
@@ -93,7 +94,7 @@ def text_figures(t: dict[str, DataFrame], stated: DataFrame) -> DataFrame:
     paragraphs = t["paragraphs"].where("row IS NULL").select(F.col("deck_id").alias("deck"), F.col("slide_index").alias("slide"), "uid", "para", "text")
     known = stated.where(labels.is_specific(F.col("metric"))).select("deck", "metric").distinct()
     found = prose.prose_figures(paragraphs, known.withColumn("kind", labels.label_kind(F.col("metric"))))
-    grounded = stated.where("quantity IS NOT NULL AND kind IS NOT NULL").groupBy("deck", "metric", "quantity").agg(F.count_distinct("kind").alias("kinds"), F.min("kind").alias("ground")).where("kinds = 1").drop("kinds")
+    grounded = consistency.grounded_kinds(stated.where("quantity IS NOT NULL AND kind IS NOT NULL"), ["deck", "metric", "quantity"]).withColumnRenamed("kind", "ground")
     rows = found.join(grounded, ["deck", "metric", "quantity"], "left").withColumn("kind", F.coalesce("kind", "ground"))
     place = F.concat_ws("|", F.col("slide").cast("string"), F.col("uid").cast("string"))
     number = lambda c: F.lpad(F.col(c).cast("string"), 6, "0")

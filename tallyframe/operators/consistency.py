@@ -195,3 +195,16 @@ def bridges(steps: DataFrame, keys: list[str], order: str) -> DataFrame:
     g = steps.groupBy(*keys).agg(part("opening", F.col("value")).alias("o"), part("step", F.col("value")).alias("s"), part("closing", F.col("value")).alias("c"), n("opening").alias("no"), n("step").alias("ns"), n("closing").alias("nc"), F.sum(half_unit(F.col("decimals"))).alias("tol"))
     outcome = F.when((F.col("no") != 1) | (F.col("nc") != 1), "unchecked").when(F.col("ns") < 2, "nothing").when(F.abs(F.col("o") + F.col("s") - F.col("c")) <= F.col("tol"), "tied").otherwise("finding")
     return g.select(*keys, outcome.alias("outcome"), (F.col("o") + F.col("s")).alias("carried"))
+
+
+def unread_counterparts(figures: DataFrame, keys: list[str]) -> DataFrame:
+    """Figures of unknown kind that had counterparts under their keys, with the number of `others`: the group's size less
+    one, without joining its members."""
+    sizes = figures.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("others"))
+    return figures.where("kind IS NULL").join(sizes, keys).where("others > 0")
+
+
+def grounded_kinds(figures: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, kind: the kind that all figures of the keys have; an unknown kind counts as another."""
+    counted = figures.groupBy(*keys).agg(F.count_distinct(F.coalesce("kind", F.lit("?"))).alias("kinds"), F.max("kind").alias("kind"))
+    return counted.where("kinds = 1 AND kind IS NOT NULL").drop("kinds")

@@ -80,3 +80,30 @@ def first_by_precedence(*sources: tuple[str, Column]) -> Column:
     for name, c in sources:
         label = label.when(c.isNotNull(), name)
     return F.struct(value.alias("value"), label.alias("source"))
+
+
+def last_before(probes: DataFrame, events: DataFrame, keys: list[str], position: str, event: str) -> DataFrame:
+    """probes with `event`: the greatest event (any type that sorts) of equal keys whose position is not behind the probe's.
+
+    One window over both sides, so no pair is formed however many events precede. Rows with a null key or position meet
+    nothing; probes without an event are left out.
+    """
+    whole = F.struct(*[F.col(c) for c in probes.columns])
+    left = probes.select(*keys, position, whole.alias("__probe"))
+    kinds = left.schema["__probe"].dataType, events.schema[event].dataType
+    both = events.select(*keys, position, F.lit(None).cast(kinds[0]).alias("__probe"), event).unionByName(left.withColumn(event, F.lit(None).cast(kinds[1])))
+    for c in (*keys, position):
+        both = both.where(F.col(c).isNotNull())
+    before = Window.partitionBy(*keys).orderBy(position).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn(event, F.max(event).over(before)).where(F.col("__probe").isNotNull() & F.col(event).isNotNull()).select("__probe.*", event)
+
+
+def nearest_above(boxes: DataFrame, captions: DataFrame, keys: list[str], id_: str, at: str, reach: float) -> DataFrame:
+    """id_, caption: for each box the caption of equal keys that lies above it by at most `reach`, nearest first, then the
+    smaller id. Captions are dealt to two bins of that height, so this is an equi-join."""
+    height = lambda c: F.floor(F.col(c) / reach)
+    x = boxes.select(*keys, id_, F.col(at).alias("__at"), height(at).alias("__bin"))
+    y = captions.select(*keys, F.col(id_).alias("__caption"), F.col(at).alias("__above"), F.explode(F.array(height(at), height(at) + 1)).alias("__bin"))
+    apart = F.col("__at") - F.col("__above")
+    met = x.join(y, [*keys, "__bin"]).where((apart > 0) & (apart <= reach))
+    return met.groupBy(id_).agg(F.min_by("__caption", F.struct(apart, F.col("__caption"))).alias("caption"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Severities and confidences from worst to mildest.
@@ -71,3 +71,39 @@ def digest_tree(rows: DataFrame, keys: list[str], width: int = 1024) -> DataFram
     for _ in range(3):
         rows = fold(rows.withColumn("block", F.floor(F.col("position") / width).cast("long")), [*keys, "block"]).withColumnRenamed("block", "position")
     return fold(rows, keys)
+
+
+def actions(findings: DataFrame, by: Column) -> DataFrame:
+    """Findings as decisions, one row for each remedy `by`: action, worst, findings, slides; `in_order` sorts them."""
+    worst = F.min(rank(F.col("severity"), SEVERITIES)).cast("int")
+    return findings.groupBy(by.alias("action")).agg(worst.alias("worst"), F.count(F.lit(1)).alias("findings"), F.array_sort(F.collect_set("slide")).alias("slides"))
+
+
+def in_order(decisions: DataFrame) -> DataFrame:
+    """Worst first, then those that settle most findings, then by name."""
+    return decisions.orderBy("worst", F.desc("findings"), "action")
+
+
+def questions(findings: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """keys, band, impact: the `most` open questions to ask first, by severity and by how many findings an answer settles."""
+    asked = findings.groupBy(*keys, rank(F.col("severity"), SEVERITIES).cast("int").alias("band")).agg(F.count(F.lit(1)).alias("impact"))
+    return asked.orderBy("band", F.desc("impact"), *keys).limit(most)
+
+
+def top_per_group(counted: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+    """The first `most` rows of each group; the ranking window keeps no more than those of a partition before its shuffle."""
+    return counted.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__nth") <= most).drop("__nth")
+
+
+def scored(found: DataFrame, seeded: DataFrame, key: str) -> DataFrame:
+    """caught, missed, false_positives of found keys against the seeded ones."""
+    both = found.select(key, F.lit(1).alias("__f")).join(seeded.select(key, F.lit(1).alias("__s")), key, "full")
+    n = lambda c: F.count(F.when(c, 1))
+    f, s = F.col("__f").isNotNull(), F.col("__s").isNotNull()
+    return both.agg(n(f & s).alias("caught"), n(~f).alias("missed"), n(~s).alias("false_positives"))
+
+
+def outbound_log(parts: DataFrame, payload: str, order: list[str], text: str) -> DataFrame:
+    """What would leave, recorded without its text: its length and digest, and its place in the payload."""
+    n = F.row_number().over(Window.partitionBy(payload).orderBy(*order, text))
+    return parts.select(payload, *order, F.length(text).cast("long").alias("characters"), F.sha2(text, 256).alias("digest"), n.alias("record"))

@@ -86,30 +86,25 @@ def audit_delta(t):
 @query(f"WITH {FOUND} SELECT rule || ':' || shape AS action, min({RANK}) AS worst, count(*) AS findings, list_sort(list_distinct(list(slide))) AS slides FROM f GROUP BY 1")
 def actions(t):
     """Findings as decisions: one row for each remedy."""
-    worst = F.min(audit.rank(F.col("severity"), audit.SEVERITIES)).cast("int")
-    return found(t).groupBy(F.concat_ws(":", "rule", "shape").alias("action")).agg(worst.alias("worst"), F.count(F.lit(1)).alias("findings"), F.array_sort(F.collect_set("slide")).alias("slides"))
+    return audit.actions(found(t), F.concat_ws(":", "rule", "shape"))
 
 
 @query(f"WITH {FOUND}, q AS (SELECT rule, shape, {RANK} AS band, count(*) AS impact FROM f GROUP BY 1, 2, 3) SELECT rule, shape, band, impact FROM q ORDER BY band, impact DESC, rule, shape LIMIT 12")
 def topk_questions(t):
-    q = found(t).groupBy("rule", "shape", audit.rank(F.col("severity"), audit.SEVERITIES).cast("int").alias("band")).agg(F.count(F.lit(1)).alias("impact"))
-    return q.orderBy("band", F.desc("impact"), "rule", "shape").limit(12)
+    return audit.questions(found(t), ["rule", "shape"], 12)
 
 
 @query("""WITH w AS (SELECT source, lower(unnest(regexp_extract_all(text, '[A-Za-z]{4,}'))) AS w FROM documents), c AS (SELECT source, w, count(*) AS n FROM w GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, w) AS r FROM c) SELECT source, w, n FROM r WHERE r <= 5""")
 def topk_per_group(t):
     words = t.documents.select("source", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("w")).groupBy("source", F.lower("w").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    r = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "w"))
-    return words.withColumn("r", r).where("r <= 5").select("source", "w", "n")
+    return audit.top_per_group(words, ["source"], [F.desc("n"), F.col("w")], 5)
 
 
 @query("""WITH f AS (SELECT o_orderkey AS k FROM orders WHERE o_totalprice > 200000), s AS (SELECT o_orderkey AS k FROM orders WHERE o_orderpriority LIKE '1%')
 SELECT count(*) FILTER (f.k IS NOT NULL AND s.k IS NOT NULL) AS caught, count(*) FILTER (f.k IS NULL) AS missed, count(*) FILTER (s.k IS NULL) AS false_positives FROM f FULL JOIN s ON f.k = s.k""")
 def precision_recall(t):
-    f = t.orders.where("o_totalprice > 200000").select(F.col("o_orderkey").alias("k"), F.lit(1).alias("f"))
-    s = t.orders.where("o_orderpriority LIKE '1%'").select(F.col("o_orderkey").alias("k"), F.lit(1).alias("s"))
-    n = lambda c: F.count(F.when(c, 1))
-    return f.join(s, "k", "full").agg(n(F.col("f").isNotNull() & F.col("s").isNotNull()).alias("caught"), n(F.col("f").isNull()).alias("missed"), n(F.col("s").isNull()).alias("false_positives"))
+    key = F.col("o_orderkey").alias("k")
+    return audit.scored(t.orders.where("o_totalprice > 200000").select(key), t.orders.where("o_orderpriority LIKE '1%'").select(key), "k")
 
 
 @query("""SELECT p_partkey, 'LO-003|' || p_brand || '|' || format('{:.1f}', round_even(p_retailprice * 2, 0) / 2) || '|' || format('{:.1f}', round_even(p_size * 0.5, 0) / 2) AS signature FROM part""")
@@ -128,8 +123,7 @@ def digest(t):
 @query("""SELECT conv_id, turn, role, length(text) AS characters, sha256(text) AS digest, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS INTEGER) AS record FROM conversations""")
 def outbound_log(t):
     """What would leave, recorded without its text."""
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    return t.conversations.select("conv_id", "turn", "role", F.length("text").cast("long").alias("characters"), F.sha2("text", 256).alias("digest"), n.alias("record"))
+    return audit.outbound_log(t.conversations, "conv_id", ["turn", "role"], "text")
 
 
 @query("""WITH a AS (SELECT DISTINCT p_brand AS term FROM part), b AS (SELECT DISTINCT c_mktsegment AS term FROM customer), c AS (SELECT n_name AS term FROM nation UNION ALL SELECT p_brand FROM part WHERE p_partkey % 2 = 0)

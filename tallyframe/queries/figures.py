@@ -156,15 +156,14 @@ KIND = "f AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 7 = 0 T
 def unread_kind(t):
     """Figures of unknown kind that had counterparts: the group's size less one, without joining its members."""
     f = t.events.select("event_id", "user_id", "event_type", F.when(F.col("event_id") % 7 != 0, "level").alias("kind"))
-    sizes = f.groupBy("user_id", "event_type").agg((F.count(F.lit(1)) - 1).alias("others"))
-    return f.where("kind IS NULL").join(sizes, ["user_id", "event_type"]).where("others > 0").select("event_id", "others")
+    return consistency.unread_counterparts(f, ["user_id", "event_type"]).select("event_id", "others")
 
 
 @query("""WITH f AS (SELECT user_id, CASE WHEN user_id % 3 = 0 AND event_id % 2 = 0 THEN NULL WHEN user_id % 3 = 1 OR event_type < 'm' THEN 'level' ELSE 'count' END AS kind FROM events) SELECT user_id, max(kind) AS kind FROM f GROUP BY 1 HAVING count(DISTINCT coalesce(kind, '?')) = 1 AND max(kind) IS NOT NULL""")
 def grounded_kind(t):
     """The kind of a metric where all its figures have that one; an unknown kind counts as another."""
     kind = F.when((F.col("user_id") % 3 == 0) & (F.col("event_id") % 2 == 0), None).when((F.col("user_id") % 3 == 1) | (F.col("event_type") < "m"), "level").otherwise("count")
-    return t.events.select("user_id", kind.alias("kind")).groupBy("user_id").agg(F.count_distinct(F.coalesce("kind", F.lit("?"))).alias("n"), F.max("kind").alias("kind")).where("n = 1 AND kind IS NOT NULL").select("user_id", "kind")
+    return consistency.grounded_kinds(t.events.select("user_id", kind.alias("kind")), ["user_id"])
 
 
 @query("""WITH l AS (SELECT DISTINCT lower(trim(regexp_replace(p_type, '\\s+', ' ', 'g'))) AS metric FROM part) SELECT metric, CAST(row_number() OVER (ORDER BY length(metric) DESC, metric) AS INTEGER) AS position FROM l WHERE length(metric) > 2""")

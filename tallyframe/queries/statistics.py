@@ -199,21 +199,16 @@ def nearest_centroid(t):
 @query("""SELECT o.o_orderkey, max_by(e.event_id, (e.ts, e.event_id)) AS event_id FROM orders o JOIN events e ON e.user_id = o.o_custkey % 1000 AND CAST(e.event_id AS BIGINT) <= o.o_orderkey GROUP BY 1""")
 def asof_event(t):
     """For each order the last event of its user among those that come before it."""
-    at = F.struct("ts", "event_id")
-    e = t.events.select(F.col("user_id").cast("long").alias("user"), F.col("event_id").cast("long").alias("key"), F.lit(None).cast("long").alias("o_orderkey"), at.alias("event"))
-    o = t.orders.select((F.col("o_custkey") % 1000).cast("long").alias("user"), F.col("o_orderkey").cast("long").alias("key"), F.col("o_orderkey").cast("long").alias("o_orderkey"), F.lit(None).cast(e.schema["event"].dataType).alias("event"))
-    before = Window.partitionBy("user").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    last = e.unionByName(o).where("user IS NOT NULL AND key IS NOT NULL").withColumn("event", F.max("event").over(before))
-    return last.where("o_orderkey IS NOT NULL AND event IS NOT NULL").groupBy("o_orderkey").agg(F.max("event")["event_id"].alias("event_id"))
+    e = t.events.select(F.col("user_id").cast("long").alias("user"), F.col("event_id").cast("long").alias("key"), F.struct("ts", "event_id").alias("event"))
+    o = t.orders.select((F.col("o_custkey") % 1000).cast("long").alias("user"), F.col("o_orderkey").cast("long").alias("key"))
+    return joins.last_before(o, e, ["user"], "key", "event").groupBy(F.col("key").alias("o_orderkey")).agg(F.max("event")["event_id"].alias("event_id"))
 
 
 @query("""WITH a AS (SELECT p_brand, p_partkey, p_size, p_retailprice FROM part)
 SELECT x.p_partkey, min_by(y.p_partkey, (x.p_size - y.p_size, y.p_partkey)) AS caption FROM a x JOIN a y ON x.p_brand = y.p_brand AND y.p_size < x.p_size AND y.p_size >= x.p_size - 6 AND y.p_partkey % 10 = 0 GROUP BY 1""")
 def asof_nearest_above(t):
     """The nearest caption above each box: same column, within reach, ties to the smaller key."""
-    x, y = t.part.alias("x"), t.part.where("p_partkey % 10 = 0").alias("y")
-    on = (F.col("x.p_brand") == F.col("y.p_brand")) & (F.col("y.p_size") < F.col("x.p_size")) & (F.col("y.p_size") >= F.col("x.p_size") - 6)
-    return x.join(y, on).groupBy(F.col("x.p_partkey")).agg(F.min_by("y.p_partkey", F.struct(F.col("x.p_size") - F.col("y.p_size"), F.col("y.p_partkey"))).alias("caption"))
+    return joins.nearest_above(t.part, t.part.where("p_partkey % 10 = 0"), ["p_brand"], "p_partkey", "p_size", 6)
 
 
 @query("""WITH o AS (SELECT l_orderkey, l_linenumber, coalesce(NULLIF(l_tax, 0), NULLIF(l_discount, 0), l_quantity) AS value, CASE WHEN NULLIF(l_tax, 0) IS NOT NULL THEN 'run' WHEN NULLIF(l_discount, 0) IS NOT NULL THEN 'layout' ELSE 'theme' END AS source FROM lineitem)
