@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyframe.llm import exact_dedup, hamming_search, lang_id, mixing, ngram_join, pii, quality, secrets, sentencepiece_codec, warc
+from tallyframe.llm import exact_dedup, hamming_search, importance, lang_id, mixing, ngram_join, pii, quality, secrets, sentencepiece_codec, spelling, substring_dedup, warc
 
-MODULES = (exact_dedup, hamming_search, lang_id, mixing, ngram_join, pii, quality, secrets, sentencepiece_codec, warc)
+MODULES = (exact_dedup, hamming_search, importance, lang_id, mixing, ngram_join, pii, quality, secrets, sentencepiece_codec, spelling, substring_dedup, warc)
 
 
 def queries() -> dict:
