@@ -41,6 +41,20 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise_freeing(df: DataFrame, label: str) -> DataFrame:
+    """As materialise, and the shuffle files that only this write has used go when it ends, not when the driver collects garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(FREE_SHUFFLES, None)
+    conf.set(FREE_SHUFFLES, "true")
+    try:
+        return materialise(df, label)
+    finally:
+        conf.set(FREE_SHUFFLES, before) if before is not None else conf.unset(FREE_SHUFFLES)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import SPACE, RangeHash, buffers, materialise, mix64, packed, text_slices, words
+from tallyframe.llm.common import SPACE, RangeHash, buffers, materialise, materialise_freeing, mix64, packed, release, text_slices, words
 
 WINDOW = 35
 #: A perfect difference set: each difference modulo 21 but 0 occurs once.
@@ -176,16 +176,18 @@ def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
 def cut_words(texts: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
     """texts: row (long, unique), text (string, not null) and what else is to be carried along.
 
-    Result: texts without `text`, with n_words, n_removed and kept (the words that stay, joined by one space). Both joins
-    read texts by one exchange, hence they take the same columns.
+    Result: texts without `text`, with n_words, n_removed and kept (the words that stay, joined by one space). Each step is
+    a table of its own whose shuffle is freed before the next one begins, so the disk holds one of them at a time.
     """
     if not 0 < period <= window:
         raise ValueError("the period must not be longer than the window")
     anchors = texts.select("row", "text").mapInArrow(_anchors(window, period, cover), "key long, row long, place int")
-    candidates = texts.join(_repeated(anchors, ["key"]), "row").select(*texts.columns, "places")
+    held = materialise_freeing(_repeated(anchors, ["key"]), "anchors")
+    candidates = materialise_freeing(texts.select("row", "text").join(held, "row"), "candidates")
     windows = candidates.mapInArrow(_windows(window, period), "key long, key2 long, row long, place int")
-    found = texts.join(_repeated(windows, ["key", "key2"]), "row", "left")
-    found = found.select(*texts.columns, F.coalesce("places", F.array().cast("array<int>")).alias("places"))
+    starts = materialise_freeing(_repeated(windows, ["key", "key2"]), "starts")
+    release(held, candidates)
+    found = texts.join(starts, "row", "left").select(*texts.columns, F.coalesce("places", F.array().cast("array<int>")).alias("places"))
     carried = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name != "text")
     return found.mapInArrow(_cut(window), f"{carried}, n_words long, n_removed long, kept string")
 
