@@ -31,11 +31,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tallyframe"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write df to a table in the shared folder and read it back, which cuts its lineage. `release` deletes it."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -44,13 +44,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise_freeing(df: DataFrame, label: str) -> DataFrame:
+def materialise_freeing(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """As materialise, and the shuffle files that only this write has used go when it ends, not when the driver collects garbage."""
     conf = df.sparkSession.conf
     before = conf.get(FREE_SHUFFLES, None)
     conf.set(FREE_SHUFFLES, "true")
     try:
-        return materialise(df, label)
+        return materialise(df, label, compression)
     finally:
         conf.set(FREE_SHUFFLES, before) if before is not None else conf.unset(FREE_SHUFFLES)
 

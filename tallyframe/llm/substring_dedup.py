@@ -10,7 +10,7 @@ have to be compared over the whole corpus. Where an anchor repeats, its document
 to every window that holds it at a shift below PERIOD, and the 128-bit hashes of these windows are compared in turn.
 
 Anchors and windows that repeat within a slice of some megabytes are known at once. Of each such group one row goes to
-the others' shuffle key and the rest go elsewhere, so a passage that stands in a third of all documents reaches the task
+the others' shuffle key and the rest go by their document, so a passage that stands in a third of all documents reaches the task
 of its key once for each slice. No group is held in memory, and texts are never compared in pairs.
 
 Cases: null and empty texts, and texts of fewer than WINDOW words, lose nothing; null and repeated doc_ids do not matter,
@@ -76,14 +76,14 @@ class Words:
         return word_hashes(self.raw, self.starts, self.ends)
 
 
-def _shared(keys: np.ndarray, second: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shuffle keys, known): known where a pair of keys stands twice; all but the first of a pair get a key of their own."""
+def _shared(keys: np.ndarray, second: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shuffle keys, second keys, known): known where a pair of keys stands twice; all but the first of a pair go by their row instead."""
     _, first, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
     leader = first[inverse]
     same = second == second[leader]
     held = np.bincount(inverse, weights=same, minlength=len(counts))[inverse]
     follower = same & (leader != np.arange(len(keys)))
-    return np.where(follower, mix64(keys ^ mix64(salt)), keys), same & (held > 1)
+    return np.where(follower, row.astype(np.uint64), keys), np.where(follower, 0, second), same & (held > 1)
 
 
 def _column(values: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -107,7 +107,7 @@ def _anchors(window: int, period: int, cover: tuple[int, ...]):
                 continue
             keys = SequenceHash(w.hashes(), RangeHash.BASE)(starts, length)
             row = part.column("row").to_numpy()[w.doc[starts]]
-            keys, known = _shared(keys, keys, row.astype(np.uint64) * np.uint64(window) + starts.astype(np.uint64))
+            keys, _, known = _shared(keys, keys, row)
             yield pa.record_batch([_column(keys, pa.int64()), pa.array(row), _signed(w.place[starts], known)], names=["key", "row", "place"])
 
     return run
@@ -131,7 +131,7 @@ def _windows(window: int, period: int):
             own = w.hashes()
             one, two = (SequenceHash(v, b)(starts, window) for v, b in ((own, RangeHash.BASE), (mix64(own ^ np.uint64(0x5851F42D4C957F2D)), 0xD1342543DE82EF95)))
             row = part.column("row").to_numpy()[w.doc[starts]]
-            keys, known = _shared(one, two, row.astype(np.uint64) * np.uint64(window) + starts.astype(np.uint64))
+            keys, two, known = _shared(one, two, row)
             yield pa.record_batch([_column(keys, pa.int64()), _column(two, pa.int64()), pa.array(row), _signed(w.place[starts], known)], names=["key", "key2", "row", "place"])
 
     return run
@@ -183,7 +183,7 @@ def cut_words(texts: DataFrame, window: int = WINDOW, period: int = PERIOD, cove
         raise ValueError("the period must not be longer than the window")
     anchors = texts.select("row", "text").mapInArrow(_anchors(window, period, cover), "key long, row long, place int")
     held = materialise_freeing(_repeated(anchors, ["key"]), "anchors")
-    candidates = materialise_freeing(texts.select("row", "text").join(held, "row"), "candidates")
+    candidates = materialise_freeing(texts.select("row", "text").join(held, "row"), "candidates", "zstd")
     windows = candidates.mapInArrow(_windows(window, period), "key long, key2 long, row long, place int")
     starts = materialise_freeing(_repeated(windows, ["key", "key2"]), "starts")
     release(held, candidates)
@@ -195,7 +195,7 @@ def cut_words(texts: DataFrame, window: int = WINDOW, period: int = PERIOD, cove
 def cut(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """docs, all columns, with the words that stay as text. Texts that lose nothing stay as they are, null too."""
     rows = packed(docs, text=F.coalesce(F.col(text_col).cast("string"), F.lit(""))).select(F.col("row").alias("whole"), "text")
-    rows = materialise(rows.select(F.monotonically_increasing_id().alias("row"), "whole", "text"), "numbered")
+    rows = materialise(rows.select(F.monotonically_increasing_id().alias("row"), "whole", "text"), "numbered", "zstd")
     less = cut_words(rows.select("row", "text"), **options).where("n_removed > 0").select("row", "kept")
     name = "`" + text_col.replace("`", "``") + "`"
     new = F.col("whole").withField(name, F.coalesce(F.col("kept"), F.col(f"whole.{name}").cast("string")))
@@ -205,7 +205,7 @@ def cut(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay as a text), for each row of docs."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return cut_words(materialise(rows, "numbered"), **options).drop("row")
+    return cut_words(materialise(rows, "numbered", "zstd"), **options).drop("row")
 
 
 def op13_substring_dedup(spark, sf_dir):
