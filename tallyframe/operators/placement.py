@@ -14,6 +14,7 @@ SLIDE, SHAPE = slides.SLIDE, slides.SHAPE
 
 # How much of a decoration lies on and off the canvas; shapes that make a line or a run; slides that make a habit.
 ON_CANVAS, OFF_CANVAS, SHARED, RUN, HABIT = 0.15, 0.02, 3, 3, 3
+SERIES, SERIES_PT, SERIES_SHARE = 3, 0.5, 0.5  # shapes that make a series, agreement in thickness, most thickness on the canvas
 LEADS = {"x": ("left_pt", "width_pt", "top_pt"), "y": ("top_pt", "height_pt", "left_pt")}
 
 
@@ -71,6 +72,54 @@ def aligned(t: dict[str, DataFrame], lines: dict[str, list], within: float) -> D
     return on_grid.unionByName(e.join(shared, [*key, "at"]).select(*SHAPE, "axis")).distinct()
 
 
+def _clustered(df: DataFrame, keys: list[str], value: str, within: float, name: str) -> DataFrame:
+    """df with the cluster of a value within its keys, as `name`, how many rows it holds, and its mean.
+
+    The keys hold a slide, so its shapes are folded as one sorted list; no join of the table with itself is planned.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    items = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), F.struct(*rest).alias("row")))).alias("items"))
+    first = lambda x: F.struct(F.lit(1).cast("long").alias("n"), x["v"].alias("sum"), F.array(x["v"]).alias("opens"))
+
+    def step(acc: Column, x: Column) -> Column:
+        joins = F.abs(x["v"] - acc["sum"] / acc["n"]) <= within
+        grown = F.struct((acc["n"] + 1).alias("n"), (acc["sum"] + x["v"]).alias("sum"), acc["opens"].alias("opens"))
+        opened = F.struct(F.lit(1).cast("long").alias("n"), x["v"].alias("sum"), F.array_append(acc["opens"], x["v"]).alias("opens"))
+        # equal values are never parted
+        return F.when(joins | (x["v"] == F.element_at(acc["opens"], -1)), grown).otherwise(opened)
+
+    opens = F.aggregate(F.slice("items", F.lit(2), F.greatest(F.size("items") - 1, F.lit(0))), first(F.element_at("items", 1)), step, lambda acc: acc["opens"])
+    number = lambda v: F.size(F.filter("opens", lambda o: o <= v))
+    rows = items.withColumn("opens", opens).select(*keys, "opens", F.explode("items").alias("i")).select(*keys, "i.row.*", number(F.col("i.v")).alias(name))
+    whole = Window.partitionBy(*keys, name)
+    return rows.withColumn(f"{name}_held", F.count(F.lit(1)).over(whole)).withColumn(f"{name}_centre", F.avg(value).over(whole))
+
+
+def data_marks(t: dict[str, DataFrame], within: float) -> DataFrame:
+    """SHAPE, axis of shapes whose place or length is a value: hand-drawn bars and points.
+
+    Of a slide's shapes of one thickness, those that share their leading edge with two others are laid out; what remains,
+    three at least, is plotted if its lengths differ (bars) or if no three of it share an edge on either axis (points).
+    Shapes as thick as half the canvas are panels.
+    """
+    deck = t["decks"].select("deck_id", F.col("width_pt").alias("canvas_w"), F.col("height_pt").alias("canvas_h"))
+    shapes_ = slides.content_shapes(t).join(decorations(t), SHAPE, "left_anti").join(deck, "deck_id").select(*SHAPE, "left_pt", "top_pt", "width_pt", "height_pt", "canvas_w", "canvas_h")
+    out = None
+    for axis, (lead, length, _) in LEADS.items():
+        thick, canvas = ("height_pt", "canvas_h") if axis == "x" else ("width_pt", "canvas_w")
+        sized = _clustered(shapes_, SLIDE, thick, SERIES_PT, "series").where((F.col("series_held") >= SERIES) & (F.col("series_centre") < F.col(canvas) * SERIES_SHARE))
+        key = [*SLIDE, "series"]
+        loose = _clustered(sized, key, lead, within, "edge").where(F.col("edge_held") < SERIES).drop("edge", "edge_held", "edge_centre")
+        for c, name in (("left_pt", "at_x"), ("top_pt", "at_y"), (length, "long")):
+            loose = _clustered(loose, key, c, within, name)
+        whole = Window.partitionBy(*key)
+        varied = F.max("long").over(whole) > F.min("long").over(whole)
+        scattered = (F.max("at_x_held").over(whole) < SERIES) & (F.max("at_y_held").over(whole) < SERIES)
+        part = loose.withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("plotted", varied | scattered).where((F.col("n") >= SERIES) & F.col("plotted")).select(*SHAPE, F.lit(axis).alias("axis"))
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
 def settled(t: dict[str, DataFrame]) -> DataFrame:
     """Evidence that settles both axes and needs no profile: furniture, decorative, repeated."""
     as_ = lambda df, name: df.select(*SHAPE, F.lit("both").alias("axis"), F.lit(name).alias("evidence"))
@@ -78,8 +127,8 @@ def settled(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def evidence(t: dict[str, DataFrame], lines: dict[str, list] | None = None, within: float = 0.5, position: float = 2.0, gutter: float = 1.0) -> DataFrame:
-    """All evidence for the shapes of all decks: what `settled` finds, and by axis `spaced` and `aligned`."""
+    """All evidence for the shapes of all decks: what `settled` finds, and by axis `spaced`, `aligned` and `data_mark`."""
     out = settled(t)
-    for df, name in ((spaced(t, position, gutter), "spaced"), (aligned(t, lines or {}, within), "aligned")):
+    for df, name in ((spaced(t, position, gutter), "spaced"), (aligned(t, lines or {}, within), "aligned"), (data_marks(t, within), "data_mark")):
         out = out.unionByName(df.select(*SHAPE, "axis", F.lit(name).alias("evidence")))
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe.functions import geometry
-from tallyframe.operators import joins, redaction, stats
+from tallyframe.operators import extent, joins, redaction, stats
 from tallyframe.plans import audit
 from tallyframe.queries.binding import registry
 
@@ -262,10 +262,34 @@ SELECT p_partkey, CAST(lines AS INTEGER) AS lines FROM r""")
 def greedy_wrap(t):
     """Lines that a text takes when words go on while they fit in 14 characters."""
     words = F.split(F.concat_ws(" ", "p_name", "p_type"), " ")
-
-    def step(acc, w):
-        n = F.length(w)
-        fits = acc["x"] + 1 + n <= 14
-        return F.when(acc["x"] == 0, F.struct(acc["n"].alias("n"), n.alias("x"))).when(fits, F.struct(acc["n"].alias("n"), (acc["x"] + 1 + n).alias("x"))).otherwise(F.struct((acc["n"] + 1).alias("n"), n.alias("x")))
-
-    return t.part.select("p_partkey", F.aggregate(words, F.struct(F.lit(1).alias("n"), F.lit(0).alias("x")), step, lambda a: a["n"]).alias("lines"))
+    return t.part.select("p_partkey", extent.wrapped_lines(F.transform(words, lambda w: F.length(w).cast("double")), 1, 14).cast("int").alias("lines"))
+
+
+_TEXT = "p_name || ' ' || p_type || ' ' || p_brand"
+
+
+@query(f"""
+WITH words AS (SELECT p_partkey, 8 + p_size % 5 AS size, 40 + p_size AS room, p_size % 2 = 0 AS known, string_split({_TEXT}, ' ') AS w FROM part),
+wide AS (
+  SELECT p_partkey, size, room, known,
+         [CAST(size AS DOUBLE) * CASE WHEN known THEN list_sum([CASE WHEN ascii(c) BETWEEN 97 AND 122 THEN 0.25::DOUBLE + (ascii(c) - 97) * 0.01::DOUBLE ELSE 1.15::DOUBLE END FOR c IN string_split(i, '')]) ELSE length(i) * 1.15::DOUBLE END FOR i IN w] AS ws
+  FROM words
+),
+folded AS (
+  SELECT *, list_reduce([{{'n': 0::BIGINT, 'x': 0::DOUBLE, 'w': 0::DOUBLE}}] || [{{'n': 0::BIGINT, 'x': 0::DOUBLE, 'w': i}} FOR i IN ws], lambda a, i:
+    CASE WHEN i.w > room THEN {{'n': a.n + (a.x > 0)::BIGINT + ceil(i.w / room)::BIGINT, 'x': 0::DOUBLE, 'w': 0::DOUBLE}}
+         WHEN a.x > 0 AND a.x + size * 1.15::DOUBLE + i.w <= room THEN {{'n': a.n, 'x': a.x + size * 1.15::DOUBLE + i.w, 'w': 0::DOUBLE}}
+         ELSE {{'n': a.n + 1, 'x': i.w, 'w': 0::DOUBLE}} END).n AS lines
+  FROM wide
+)
+SELECT p_partkey, lines, round(list_sum(ws), 6) AS width, round(lines * size * 1.5::DOUBLE, 6) AS height FROM folded""")
+def ink_fold(t):
+    """Lines, letters' width and height of a text in a narrow frame: true advances for half the rows' small letters, else bounds."""
+    small = "abcdefghijklmnopqrstuvwxyz"
+    face = F.create_map(*[x for k, c in enumerate(small) for x in (F.lit(c), F.lit(0.25 + k * 0.01))])
+    size, room = (8 + F.col("p_size") % 5).cast("double"), (40 + F.col("p_size")).cast("double")
+    advances = F.when(F.col("p_size") % 2 == 0, face)
+    rows = t.part.select("p_partkey", size.alias("size"), room.alias("room"), F.transform(F.split(F.concat_ws(" ", "p_name", "p_type", "p_brand"), " "), lambda w: extent.advance(w, size, advances)).alias("widths"))
+    rows = rows.withColumn("lines", extent.wrapped_lines(F.col("widths"), F.col("size") * extent.MAX_ADVANCE_EM, F.col("room")))
+    total = F.aggregate("widths", F.lit(0.0), lambda a, w: a + w)
+    return rows.select("p_partkey", "lines", F.round(total, 6).alias("width"), F.round(F.col("lines") * F.col("size") * extent.MAX_LINE_EM, 6).alias("height"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyframe import figures
 from tallyframe.functions import geometry, labels, numbers, periods, text
-from tallyframe.operators import consistency, placement, slides, stats
+from tallyframe.operators import consistency, extent, placement, slides, stats
 from tallyframe.rules.engine import KEYS, RULES, lookup, outcomes, rule
 
 # Limits and lists of the rules.
@@ -213,13 +213,28 @@ def near_miss(t, p):
 
 @rule("LO-004", "major")
 def text_overlap(t, p):
+    """Overlap of ink, not of frames; of two boxes that are bounds and no measures, with medium confidence."""
     share = lookup(p, "layout.overlap_area_share") or 0.05
-    s = _placed(t).where("text <> '' AND width_pt >= 3 AND height_pt >= 3 AND kind = 'text'")
+    ink = extent.ink_boxes(t, t.get("faces")).where("width >= 3 AND height >= 3")
+    s = slides.content_shapes(t).where("text <> '' AND kind = 'text'").select(*KEYS, "name", "z_order").join(ink, KEYS)
     a, b = s.alias("a"), s.alias("b")
-    c = lambda q: tuple(F.col(f"{q}.{x}_pt") for x in ("left", "top", "width", "height"))
-    area = geometry.overlap_area(c("a"), c("b")) / F.least(F.col("a.width_pt") * F.col("a.height_pt"), F.col("b.width_pt") * F.col("b.height_pt"))
+    c = lambda q: tuple(F.col(f"{q}.{x}") for x in ("left", "top", "width", "height"))
+    area = geometry.overlap_area(c("a"), c("b")) / F.least(F.col("a.width") * F.col("a.height"), F.col("b.width") * F.col("b.height"))
     pairs = a.join(b, (F.col("a.deck_id") == F.col("b.deck_id")) & (F.col("a.slide_index") == F.col("b.slide_index")) & (F.col("a.z_order") < F.col("b.z_order")) & (area > share))
-    return outcomes(pairs.select(F.col("b.deck_id").alias("deck_id"), F.col("b.slide_index").alias("slide_index"), F.col("b.uid").alias("uid"), area.alias("share"), F.col("a.name").alias("under")), F.concat_ws(" ", F.lit("text over"), "under"), F.round("share", 3), f"{share} at most")
+    sure = F.when(F.col("a.measured") & F.col("b.measured"), "high").otherwise("medium")
+    return outcomes(pairs.select(*[F.col(f"b.{k}").alias(k) for k in KEYS], area.alias("share"), F.col("a.name").alias("under"), sure.alias("sure")), F.concat_ws(" ", F.lit("text over"), "under"), F.round("share", 3), f"{share} at most", confidence=F.col("sure"))
+
+
+@rule("LO-006", "major", "low", default=False)
+def text_overflow(t, p):
+    """Measured text that is higher than its frame. Off unless named: a frame that grows with its text, and kerning, mislead it.
+    What has a face without known advances, and the text of tables and charts, stays unchecked."""
+    s = extent.overflowing(t, t.get("faces"))
+    out = F.when(F.col("state") == "over", "finding").otherwise("unchecked")
+    said = F.when(F.col("state") == "over", F.format_string("the text needs %d lines, more than its shape holds", "lines")).when(F.col("state") == "no room", "the insets leave no room").otherwise("no face or size to measure with")
+    found = outcomes(s.where("state <> 'fits'"), said, F.round("ink_y", 1), F.round("room_y", 1), out)
+    framed = _leaves(t).where("kind IN ('table', 'chart')")
+    return found.unionByName(outcomes(framed, "text of tables and charts is laid out otherwise", outcome="unchecked"))
 
 
 @rule("LO-007", "major", needs=("fonts.roles",))

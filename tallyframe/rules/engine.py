@@ -42,11 +42,11 @@ def rule(id_: str, severity: str, confidence: str = "high", needs: tuple[str, ..
     return add
 
 
-def outcomes(df: DataFrame, message: Column | str, measured: Column | None = None, expected: Column | str | None = None, outcome: Column | str = "finding") -> DataFrame:
-    """df's keys (deck-level rows have slide 0) with what was found."""
+def outcomes(df: DataFrame, message: Column | str, measured: Column | None = None, expected: Column | str | None = None, outcome: Column | str = "finding", confidence: Column | None = None) -> DataFrame:
+    """df's keys (deck-level rows have slide 0) with what was found; confidence only where it differs from the rule's."""
     have = lambda c, t: F.col(c).cast(t) if c in df.columns else F.lit(0 if c == "slide_index" else None).cast(t)
     text = lambda x: F.lit(None).cast("string") if x is None else x.cast("string") if isinstance(x, Column) else F.lit(x)
-    return df.select(F.col("deck_id"), have("slide_index", "int").alias("slide_index"), have("uid", "int").alias("uid"), text(outcome).alias("outcome"), text(message).alias("message"), text(measured).alias("measured"), text(expected).alias("expected"))
+    return df.select(F.col("deck_id"), have("slide_index", "int").alias("slide_index"), have("uid", "int").alias("uid"), text(outcome).alias("outcome"), text(message).alias("message"), text(measured).alias("measured"), text(expected).alias("expected"), text(confidence).alias("sure"))
 
 
 def lookup(profile: dict, path: str):
@@ -83,9 +83,10 @@ def check(
             skipped.append((r.id, missing[0]))
             continue
         stated = (lookup(profile, "rules.severity") or {}).get(r.id, r.severity)
-        tag = {"rule": r.id, "category": r.category, "severity": stated, "confidence": r.confidence}
+        tag = {"rule": r.id, "category": r.category, "severity": stated}
         try:
-            frames.append(r.run(tables, profile).select(*[F.lit(v).alias(k) for k, v in tag.items()], "outcome", *KEYS, "message", "measured", "expected"))
+            sure = F.coalesce(F.col("sure"), F.lit(r.confidence)).alias("confidence")
+            frames.append(r.run(tables, profile).select(*[F.lit(v).alias(k) for k, v in tag.items()], sure, "outcome", *KEYS, "message", "measured", "expected"))
         except (PySparkException, AttributeError, KeyError, TypeError, ValueError) as error:  # a profile or table that the rule cannot read
             skipped.append((r.id, f"failed: {type(error).__name__}"))
     if not frames:

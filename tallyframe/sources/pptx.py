@@ -260,10 +260,53 @@ class Deck:
             body = node.find("p:txBody", NS)
             if body is not None:
                 row["text"] = self.text(body, index, uid, None, None, styles, ph_type, ph_idx, node)
+                row |= self.frame([x.find("p:txBody/a:bodyPr", NS) for x in (node, *(styles.placeholder(r, ph_type, i) for r, i in ((styles.layout_xml, ph_idx), (styles.master_xml, None)))) if x is not None])
+            row["painted"] = self.painted(node, sp_pr)
             self.add("shapes", **row)
             if kind == "grpSp":
                 self.walk(node, index, part, styles, uid, self.compose(node, frame))
 
+    @staticmethod
+    def painted(node: ET.Element, props: ET.Element | None) -> bool:
+        """Whether a fill or an outline is drawn, by the shape itself or by a style that it does not undo."""
+        fills = ("solidFill", "gradFill", "blipFill", "pattFill", "grpFill")
+        shown = False
+        for path, reference in (("", "fillRef"), ("a:ln", "lnRef")):
+            own = props if not path or props is None else props.find(path, NS)
+            if own is not None and any(own.find(f"a:{f}", NS) is not None for f in fills):
+                shown = True
+            elif own is None or own.find("a:noFill", NS) is None:
+                style = node.find(f"p:style/a:{reference}", NS)
+                shown |= style is not None and style.get("idx", "0") != "0"
+        return shown
+
+    @staticmethod
+    def frame(bodies: list[ET.Element | None]) -> dict:
+        """Insets, anchor, wrapping, columns and autofit of a text frame; what a body does not state comes from the next."""
+        bodies = [b for b in bodies if b is not None]
+        stated = lambda name: next((b.get(name) for b in bodies if b.get(name) is not None), None)
+        points = lambda name: int(v) / EMU if (v := stated(name)) else None
+        fit = next((x for b in bodies for x in b if x.tag.endswith("utofit") or x.tag.endswith("utoFit")), None)
+        scale = fit.get("fontScale") if fit is not None else None
+        return {
+            "inset_left_pt": points("lIns"), "inset_top_pt": points("tIns"), "inset_right_pt": points("rIns"), "inset_bottom_pt": points("bIns"), "anchor": stated("anchor"), "wraps": None if stated("wrap") is None else stated("wrap") != "none",
+            "text_columns": int(stated("numCol")) if stated("numCol") else None, "column_gap_pt": points("spcCol"), "autofit": fit.tag.removeprefix(A) if fit is not None else None, "font_scale": int(scale.rstrip("%")) / (100 if scale.endswith("%") else 100000) if scale else None,
+        }
+
+    @staticmethod
+    def setting(props: ET.Element | None) -> dict:
+        """Alignment, indents and spacing that a paragraph states."""
+        if props is None:
+            return {}
+        points = lambda name: int(props.get(name)) / EMU if props.get(name) else None
+        value = lambda tag, kind: float(x.get("val").rstrip("%")) if (x := props.find(f"a:{tag}/a:{kind}", NS)) is not None else None
+        parts = lambda tag: (value(tag, "spcPct"), value(tag, "spcPts"))
+        (line, line_pts), (before, before_pts), (after, after_pts) = parts("lnSpc"), parts("spcBef"), parts("spcAft")
+        return {
+            "alignment": props.get("algn"), "margin_right_pt": points("marR"), "indent_pt": points("indent"), "spacing_share": line / 100000 if line else None, "spacing_pt": line_pts / 100 if line_pts else None,
+            "space_pt": ((before_pts or 0) + (after_pts or 0)) / 100, "space_share": ((before or 0) + (after or 0)) / 100000,
+        }
+
     @staticmethod
     def xfrm(node: ET.Element) -> ET.Element | None:
         for path in ("p:spPr/a:xfrm", "p:grpSpPr/a:xfrm", "p:xfrm"):
@@ -311,7 +354,7 @@ class Deck:
                 link = own.find("a:hlinkClick", NS) if own is not None else None
                 self.add("runs", slide_index=index, uid=uid, row=row, col=col, para=k, run=j, text=text, font=font[1], font_from=font[0], size_pt=size[1], size_from=size[0], color_hex=color[1], color_from=color[0], bold=any(x.get("b") == "1" for _, x in chain[:1]), hyperlink=link.get(R + "id") if link is not None else None)
             lines.append("".join(said))
-            self.add("paragraphs", slide_index=index, uid=uid, row=row, col=col, para=k, level=level, bulleted=bullet, margin_left_pt=int(margin) / EMU if margin else None, text=lines[-1])
+            self.add("paragraphs", slide_index=index, uid=uid, row=row, col=col, para=k, level=level, bulleted=bullet, margin_left_pt=int(margin) / EMU if margin else None, text=lines[-1], **self.setting(props))
         return "\n".join(lines)
 
     def table(self, table: ET.Element, index: int, uid: int, styles: Styles) -> None:
