@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-from tallyframe import learn as learning
 
 
 def emit(profile: dict) -> str:
@@ -81,13 +80,13 @@ def lock(profile: dict, path: str) -> dict:
     return {**profile, "locks": sorted([*kept, path])} if not is_locked(path, tuple(kept)) else {**profile, "locks": sorted(kept)}
 
 
-def learn_from_decks(tables: dict, deck_ids: list[str]) -> tuple[dict, list[tuple[str, str]]]:
-    """One profile of several reference decks: each learned, then merged in order. Reference decks are a few, named by hand."""
-    profile, changes = learning.learn(tables, deck_ids[0])[0], []
-    for deck_id in deck_ids[1:]:
-        profile, more = learning.merge(profile, learning.learn(tables, deck_id)[0], tuple(profile.get("locks", ())))
-        changes += more
-    return profile, changes
+def learn_from_decks(tables: dict, deck_ids: list[str], base: dict | None = None) -> tuple[dict, list[tuple[str, str]]]:
+    """(profile, [(path, change)]) of several reference decks, folded in one plan. Decks that are not named are left out."""
+    from tallyframe.learn import corpus
+
+    named = {name: df.where(df.deck_id.isin(deck_ids)) for name, df in tables.items()}
+    profile, changes = corpus.learn_corpus(named, base)
+    return profile, sorted((r.path, r.change) for r in changes.where("change <> 'neutral'").collect())
 
 
 def review_reference(tables: dict, profile: dict, include: list[str] | None = None):

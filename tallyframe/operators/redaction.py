@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators import identifying
-from tallyframe.storage import written
+from tallyframe.storage import release, sealed
 
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 SPANS = "array<struct<kind:string,start:int,end:int,text:string>>"
@@ -160,6 +160,11 @@ def occurrences(texts: DataFrame, forms: DataFrame) -> DataFrame:
 class Redacted(NamedTuple):
     texts: DataFrame  # payload, part, text
     terms: DataFrame  # payload, placeholder, kind, term, occurrences; never leaves
+    scratch: tuple[DataFrame, ...] = ()
+
+    def close(self) -> None:
+        """Delete what was written on the way. texts and terms can't be read after it."""
+        release(*self.scratch)
 
 
 def redact(texts: DataFrame, listed: DataFrame | None = None, allowed: DataFrame | None = None, kinds: tuple[str, ...] | None = None) -> Redacted:
@@ -168,7 +173,7 @@ def redact(texts: DataFrame, listed: DataFrame | None = None, allowed: DataFrame
     listed (payload, kind, term) is replaced too; allowed (term) is left alone. Case tells no terms apart: the first
     spelling in the payload is the one that is kept for `restore`. Placeholders are numbered by
     kind and first appearance in their payload; a name that begins a longer one of its kind shares its placeholder. Null
-    texts stay null; an empty table gives empty ones. Spans are written before they are read by the later steps.
+    texts stay null; an empty table gives empty ones. What is found is written encrypted before the later steps read it, and deleted by `close`.
     """
     seen = texts.select("payload", "part", visible(F.col("text")).alias("text"))
     found = seen.select("payload", "part", F.explode(detect(F.col("text"), kinds)).alias("s")).select("payload", "s.kind", F.regexp_replace("s.text", r"\s+", " ").alias("spelling"), F.struct("part", F.col("s.start").alias("start")).alias("at"))
@@ -178,9 +183,9 @@ def redact(texts: DataFrame, listed: DataFrame | None = None, allowed: DataFrame
     if listed is not None:
         theirs = listed.where("trim(term) <> ''").select("payload", "kind", F.lower("term").alias("term"), F.col("term").alias("spelling"))
         found = found.unionByName(theirs).groupBy("payload", "kind", "term").agg(F.min("spelling").alias("spelling"))
-    found = written(found, "redacted-terms")
+    found = sealed(found, "redacted-terms")
     full = merge_names(found, "term", ("payload", "kind"))
-    hits = written(occurrences(seen, short_forms(found)), "redacted-spans")
+    hits = sealed(occurrences(seen, short_forms(found)), "redacted-spans")
     kept = hits.select("payload", "part", F.explode(resolve(F.col("spans"))).alias("s")).select("payload", "part", "s.kind", "s.start", "s.end", F.col("s.text").alias("term"))
     kept = kept.join(full, ["payload", "kind", "term"])
     order = Window.partitionBy("payload", "kind").orderBy("first", "merged")
@@ -189,7 +194,7 @@ def redact(texts: DataFrame, listed: DataFrame | None = None, allowed: DataFrame
     spans = kept.join(numbered.select("payload", "kind", "merged", "placeholder"), ["payload", "kind", "merged"]).groupBy("payload", "part").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("placeholder").alias("put")))).alias("spans"))
     out = seen.join(spans, ["payload", "part"], "left").select("payload", "part", put(F.col("text"), F.col("spans")).alias("text"))
     spelt = found.select("payload", "kind", F.col("term").alias("merged"), "spelling")
-    return Redacted(out, numbered.join(spelt, ["payload", "kind", "merged"]).select("payload", "placeholder", "kind", F.col("spelling").alias("term"), "occurrences"))
+    return Redacted(out, numbered.join(spelt, ["payload", "kind", "merged"]).select("payload", "placeholder", "kind", F.col("spelling").alias("term"), "occurrences"), (found, hits))
 
 
 def verify(texts: DataFrame, terms: DataFrame) -> DataFrame:

@@ -106,6 +106,16 @@ def coverage(df: DataFrame, keys: list[str], line: str, half_width: float, exten
     return reach.groupBy(*keys).agg(F.least(F.lit(1.0), F.sum(added) / extent).alias("covered"))
 
 
+def needed_support(lines: DataFrame, keys: list[str], support: str, steps: int, width: float, extent: Column | float, most: float) -> DataFrame:
+    """keys, step, lines: the least support, up to `steps`, at which a key's lines, each `width` wide, cover at most the share
+    `most` of the extent, and how many lines are left then. A key that no step brings so low does not appear."""
+    whole = extent if isinstance(extent, Column) else F.lit(float(extent))
+    tried = lines.withColumn("extent", whole).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    left = tried.groupBy(*keys, "step").agg(F.count(F.when(F.col(support) >= F.col("step"), 1)).alias("lines"), F.max("extent").alias("extent"))
+    passing = left.where(F.least(F.lit(1.0), F.col("lines") * width / F.col("extent")) <= most)
+    return passing.groupBy(*keys).agg(F.min("step").alias("step"), F.min_by("lines", "step").alias("lines"))
+
+
 def palette_greedy(df: DataFrame, keys: list[str], radius: float) -> DataFrame:
     """df: keys, hex, weight, l, a, b. Heaviest first, a colour joins the first cluster whose head is within the radius.
 

@@ -43,9 +43,22 @@ def delta(before: DataFrame, after: DataFrame) -> DataFrame:
     return fixed.unionByName(new).unionByName(remaining)
 
 
+def half_point(at: Column) -> Column:
+    """A place to half a point, halves to even, as text; null stays null."""
+    return F.when(at.isNotNull(), F.format_string("%.1f", F.bround(at * 2) / 2))
+
+
 def signature(rule: Column, shape: Column, left: Column, top: Column) -> Column:
-    """An identity without the slide; boxes to half a point, halves to even."""
-    return F.concat_ws("|", rule, shape, F.format_string("%.1f", F.bround(left * 2) / 2), F.format_string("%.1f", F.bround(top * 2) / 2))
+    """An identity without the slide; boxes to half a point."""
+    return F.concat_ws("|", rule, shape, half_point(left), half_point(top))
+
+
+def stated(rule: Column, measured: Column, expected: Column, box: list[Column], message: Column) -> Column:
+    """What a finding is about, without its slide: what was measured, what was expected and the box; the message where a
+    finding has none of the three."""
+    bare = lambda c: F.regexp_replace(c, r"(?i)\s*\(?\bslides?\s+\d+(?:\s*(?:,|and)\s*\d+)*\)?", "")
+    parts = F.concat_ws("|", bare(measured), bare(expected), *map(half_point, box))
+    return F.sha2(F.concat_ws("|", rule, F.when(parts == "", bare(message)).otherwise(parts)), 256)
 
 
 def merge_suppressions(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe.functions import geometry
-from tallyframe.operators import extent, joins, redaction, stats
+from tallyframe.learn import corpus
+from tallyframe.operators import extent, joins, linkage, redaction, stats
 from tallyframe.plans import audit
 from tallyframe.queries.binding import registry
 
@@ -224,16 +225,44 @@ def span_resolve(t):
     return spans.select("user_id", F.size("kept").cast("long").alias("spans"), F.aggregate("kept", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("covered"))
 
 
-@query("""WITH a AS (SELECT p_brand AS path, max(p_size) AS v FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), b AS (SELECT p_brand AS path, max(p_size) AS v FROM part WHERE p_partkey % 3 = 0 AND p_brand <> 'Brand#11' GROUP BY 1), j AS (SELECT coalesce(a.path, b.path) AS path, a.v AS old, b.v AS new FROM a FULL JOIN b ON a.path = b.path)
-SELECT path, CASE WHEN path LIKE '%5' THEN old ELSE greatest(coalesce(old, new), coalesce(new, old)) END AS value, CASE WHEN path LIKE '%5' AND new IS DISTINCT FROM old THEN 'locked' WHEN coalesce(new, old) > coalesce(old, new) OR old IS NULL THEN 'widened' ELSE 'neutral' END AS change FROM j""")
+_SOURCES = "CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'a' ELSE 'b' END AS source"
+
+
+@query(f"""
+WITH s AS (SELECT p_brand AS path, {_SOURCES}, max(p_size) AS v FROM part GROUP BY 1, 2),
+m AS (SELECT path, max(v) AS top, max(v) FILTER (source = '') AS base FROM s GROUP BY path),
+j AS (SELECT m.path, m.top, m.base, min(s.source) FILTER (s.v = m.top) AS since, bool_or(s.source <> '' AND s.v IS DISTINCT FROM m.base) AS differs FROM m JOIN s USING (path) GROUP BY ALL)
+SELECT path, CAST(CASE WHEN path LIKE '%5' THEN base ELSE top END AS DOUBLE) AS value,
+       CASE WHEN path LIKE '%5' THEN CASE WHEN differs THEN 'locked' ELSE 'neutral' END WHEN since <> '' THEN 'widened' ELSE 'neutral' END AS change
+FROM j""")
 def profile_merge(t):
-    """Fields of two profiles side by side: the wider value stays, locked fields keep the old one."""
-    side = lambda cond, name: t.part.where(cond).groupBy(F.col("p_brand").alias("path")).agg(F.max("p_size").alias(name))
-    j = side("p_partkey % 2 = 0", "old").join(side("p_partkey % 3 = 0 AND p_brand <> 'Brand#11'", "new"), "path", "full")
-    locked, old, new = F.col("path").endswith("5"), F.coalesce("old", "new"), F.coalesce("new", "old")
-    value = F.when(locked, F.col("old")).otherwise(F.greatest(old, new))
-    change = F.when(locked & ~F.col("new").eqNullSafe(F.col("old")), "locked").when((new > old) | F.col("old").isNull(), "widened").otherwise("neutral")
-    return j.select("path", value.alias("value"), change.alias("change"))
+    """One number a path from three sources: the largest stays, locked paths keep what the first source says."""
+    source = F.get(F.array(F.lit(""), F.lit("a"), F.lit("b")), (F.col("p_partkey") % 3).cast("int"))
+    rows = t.part.groupBy(source.alias("source"), F.col("p_brand").alias("path")).agg(F.max("p_size").cast("double").alias("number")).withColumn("rule", F.lit("most")).withColumn("value", F.lit(None).cast("string"))
+    kept, changes = corpus.fold(rows, F.col("path").endswith("5"))
+    return changes.join(kept.select("path", F.col("number").alias("value")), "path", "left").select("path", "value", "change")
+
+
+@query("""
+WITH r AS (
+  SELECT CAST(p_partkey % 5 AS VARCHAR) AS source, 'union.' || p_brand AS path, 'union' AS rule, p_type AS value FROM part
+  UNION ALL SELECT CAST(p_partkey % 2 AS VARCHAR), 'common.' || p_brand, 'common', split_part(p_name, ' ', 1) FROM part
+  UNION ALL SELECT CAST(p_partkey % 5 AS VARCHAR), 'agree.' || p_brand || '.' || p_type, 'agree', split_part(p_name, ' ', 2) FROM part WHERE p_size > 45
+  UNION ALL SELECT CAST(p_partkey % 5 AS VARCHAR), 'first.' || p_brand || '.' || p_type, 'first', min(p_name) FROM part GROUP BY 1, 2
+),
+v AS (SELECT path, rule, value, count(DISTINCT source) AS n, min(source) AS since FROM r GROUP BY ALL),
+p AS (SELECT path, count(DISTINCT source) AS sources, min(source) AS first, count(DISTINCT value) AS kinds FROM r GROUP BY 1)
+SELECT path, value, since FROM v JOIN p USING (path)
+WHERE CASE rule WHEN 'union' THEN true WHEN 'common' THEN n = sources WHEN 'agree' THEN kinds = 1 ELSE since = first END""")
+def profile_fold(t):
+    """What several sources state, folded by area: all of it, what all share, what they agree on, what came first."""
+    key, brand, word = F.col("p_partkey"), F.col("p_brand"), lambda k: F.coalesce(F.get(F.split("p_name", " "), F.lit(k)), F.lit(""))
+    row = lambda df, n, rule, path, value: df.select((key % n).cast("string").alias("source"), F.concat_ws(".", F.lit(rule), *path).alias("path"), F.lit(rule).alias("rule"), value.alias("value"))
+    typed = [brand, F.col("p_type")]
+    first = t.part.groupBy((key % 5).alias("p_partkey"), "p_brand", "p_type").agg(F.min("p_name").alias("p_name"))
+    rows = row(t.part, 5, "union", [brand], F.col("p_type")).unionByName(row(t.part, 2, "common", [brand], word(0)))
+    rows = rows.unionByName(row(t.part.where("p_size > 45"), 5, "agree", typed, word(1))).unionByName(row(first, 5, "first", typed, F.col("p_name")))
+    return corpus.fold(rows.withColumn("number", F.lit(None).cast("double")))[0].select("path", "value", "since")
 
 
 def _weights(t):
@@ -293,3 +322,23 @@ def ink_fold(t):
     rows = rows.withColumn("lines", extent.wrapped_lines(F.col("widths"), F.col("size") * extent.MAX_ADVANCE_EM, F.col("room")))
     total = F.aggregate("widths", F.lit(0.0), lambda a, w: a + w)
     return rows.select("p_partkey", "lines", F.round(total, 6).alias("width"), F.round(F.col("lines") * F.col("size") * extent.MAX_LINE_EM, 6).alias("height"))
+
+
+_BOXES = "SELECT p_brand AS slide, p_partkey AS id, CAST(p_partkey * 37 % 400 AS DOUBLE) AS x, CAST(p_partkey * 53 % 300 AS DOUBLE) AS y, CAST(4 + p_size AS DOUBLE) AS w, CAST(2 + p_partkey % 7 AS DOUBLE) AS h FROM part"
+
+
+@query(f"""
+WITH RECURSIVE b AS ({_BOXES}),
+near AS (
+  SELECT p.slide, p.id AS a, q.id AS b FROM b p JOIN b q ON p.slide = q.slide AND p.id <> q.id
+  WHERE greatest(p.x - q.x - q.w, q.x - p.x - p.w) <= greatest(p.h, q.h) AND greatest(p.y - q.y - q.h, q.y - p.y - p.h) <= greatest(p.h, q.h)
+),
+reach AS (SELECT slide, id, id AS node FROM b UNION SELECT r.slide, r.id, n.b FROM reach r JOIN near n ON n.slide = r.slide AND n.a = r.node),
+tied AS (SELECT slide, id, min(node) AS label FROM reach GROUP BY 1, 2)
+SELECT b.slide, t.label, count(*) AS members, min(x) AS left_pt, min(y) AS top_pt, max(x + w) - min(x) AS width_pt, max(y + h) - min(y) AS height_pt
+FROM b JOIN tied t ON t.slide = b.slide AND t.id = b.id GROUP BY 1, 2""")
+def linkage_groups(t):
+    """Boxes of a brand's parts that sit together, each group with the box around it."""
+    k = F.col("p_partkey")
+    boxes = t.part.select(F.col("p_brand").alias("slide"), k.alias("id"), (k * 37 % 400).cast("double").alias("left_pt"), (k * 53 % 300).cast("double").alias("top_pt"), (4 + F.col("p_size")).cast("double").alias("width_pt"), (2 + k % 7).cast("double").alias("height_pt"))
+    return linkage.groups(boxes, ["slide"], "id")

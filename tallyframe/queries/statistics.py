@@ -102,9 +102,7 @@ SELECT p_brand, CAST(min(step) AS INTEGER) AS step, CAST(min_by(lines, step) AS
 def grid_derive(t):
     """Support needed for a grid line is raised step by step until the lines cover at most a quarter of the canvas."""
     lines = t.part.groupBy("p_brand", "p_size").count()
-    steps = lines.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(6)))).groupBy("p_brand", "step").agg(F.count(F.when(F.col("count") >= F.col("step"), 1)).alias("lines"))
-    passing = steps.where(F.least(F.lit(1.0), F.col("lines") * 0.5 / 50) <= 0.25)
-    return passing.groupBy("p_brand").agg(F.min("step").alias("step"), F.min_by("lines", "step").alias("lines"))
+    return stats.needed_support(lines, ["p_brand"], "count", 6, 0.5, 50, 0.25)
 
 
 @query("""WITH v AS (SELECT c_nationkey, c_custkey, mode_value FROM (SELECT o_custkey AS c_custkey, min_by(o_orderpriority, (-n, o_orderpriority)) AS mode_value FROM (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1) JOIN customer USING (c_custkey)),

@@ -6,12 +6,14 @@ deck's house style and is small by nature.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe import figures
 from tallyframe.functions import geometry, labels, numbers, periods, text
-from tallyframe.operators import consistency, extent, placement, slides, stats
+from tallyframe.operators import consistency, extent, linkage, placement, slides, stats
 from tallyframe.rules.engine import KEYS, RULES, lookup, outcomes, rule
 
 # Limits and lists of the rules.
@@ -49,10 +51,18 @@ def _title(t: dict[str, DataFrame]) -> DataFrame:
 # ---------------------------------------------------------------- brand
 
 
-@rule("BR-001", "blocker", needs=("brand.logo.sha1",))
+def _marks(t, p):
+    """The logos that a profile knows by picture (sha1) or as drawn marks (lines)."""
+    known, lines = lookup(p, "brand.logo.sha1"), lookup(p, "brand.logo.lines")
+    images = t["shapes"].where(F.col("image_sha1").isin(*(known or []))).select("deck_id", "image_sha1")
+    drawn = t["decks"].select("deck_id", F.explode(_literal(lines)).alias("line")) if lines else None
+    return linkage.logo_marks(t, images, drawn)
+
+
+@rule("BR-001", "blocker", needs=("brand.logo",))
 def logo_missing(t, p):
     """logo.archetypes, where stated: {kind of slide: box, or none where it carries no logo}; other kinds are not checked."""
-    marks = t["shapes"].where(F.col("image_sha1").isin(*lookup(p, "brand.logo.sha1"))).select("deck_id", "slide_index").distinct()
+    marks = _marks(t, p).select("deck_id", "slide_index").distinct()
     bare = t["slides"].join(marks, ["deck_id", "slide_index"], "left_anti")
     known = lookup(p, "brand.logo.archetypes")
     if known is None:
@@ -65,13 +75,13 @@ def logo_missing(t, p):
 
 def _logos(t, p):
     left, top, width, height = lookup(p, "brand.logo.box")
-    logos = t["shapes"].where(F.col("image_sha1").isin(*lookup(p, "brand.logo.sha1")))
+    logos = _marks(t, p)
     off = F.greatest(F.abs(F.col("left_pt") - left), F.abs(F.col("top_pt") - top))
     size = F.greatest(F.abs(F.col("width_pt") / width - 1), F.abs(F.col("height_pt") / height - 1))
     return logos.withColumn("off", off).withColumn("size", size)
 
 
-@rule("BR-002", "major", needs=("brand.logo.sha1", "brand.logo.box"))
+@rule("BR-002", "major", needs=("brand.logo.box",))
 def logo_position(t, p):
     """A slide is clear if any copy is in place; else the nearest copy is reported."""
     tol = lookup(p, "brand.logo.tolerance_pt") or 2.0
@@ -79,7 +89,7 @@ def logo_position(t, p):
     return outcomes(near.where(F.col("off") > tol), "logo out of place", F.round("off", 2), f"within {tol}pt")
 
 
-@rule("BR-003", "major", needs=("brand.logo.sha1", "brand.logo.box"))
+@rule("BR-003", "major", needs=("brand.logo.box",))
 def logo_size(t, p):
     near = _logos(t, p).groupBy("deck_id", "slide_index").agg(F.min("size").alias("size"), F.min_by("uid", F.struct("size", "uid")).alias("uid"))
     return outcomes(near.where("size > 0.03"), "logo of another size", F.round("size", 3), "within 3%")
@@ -106,21 +116,29 @@ def unapproved_typeface(t, p):
     return outcomes(used.groupBy("deck_id", "slide_index", "font").agg(F.min("uid").alias("uid")), F.concat_ws(" ", F.lit("typeface not approved:"), "font"), F.col("font"))
 
 
-def _page_numbers(t):
+def _page_numbers(t, p):
+    """Page numbers: where the profile has learned a pattern such as `Page {n}`, texts that follow it, else what stands in
+    the placeholder for them."""
+    pattern = lookup(p, "footer.page_number")
+    if isinstance(pattern, str) and "{n}" in pattern:
+        # each other number of the pattern may be another one in this deck
+        fixed = [re.sub(r"\d+", r"\\d+", re.escape(x)) for x in pattern.split("{n}", 1)]
+        number = F.regexp_extract(F.trim("text"), f"^{fixed[0]}(\\d+){fixed[1]}$", 1)
+        return _leaves(t).where("text IS NOT NULL").withColumn("number", number.try_cast("int")).where("number IS NOT NULL")
     digits = F.regexp_extract("text", r"(\d+)", 1).try_cast("int")
     return _leaves(t).where("placeholder_type = 'sldNum'").withColumn("number", digits)
 
 
 @rule("BR-006", "major", needs=("footer.page_number",))
 def page_number(t, p):
-    on = t["slides"].select("deck_id", "slide_index").join(_page_numbers(t).where("number IS NOT NULL").select("deck_id", "slide_index").distinct(), ["deck_id", "slide_index"], "left_anti")
+    on = t["slides"].select("deck_id", "slide_index").join(_page_numbers(t, p).where("number IS NOT NULL").select("deck_id", "slide_index").distinct(), ["deck_id", "slide_index"], "left_anti")
     return outcomes(on, "no page number")
 
 
 @rule("BR-007", "major", needs=("footer.page_number",))
 def page_sequence(t, p):
     order = Window.partitionBy("deck_id").orderBy("slide_index", "uid")
-    falls = _page_numbers(t).where("number IS NOT NULL").withColumn("before", F.lag("number").over(order)).where("number <= before")
+    falls = _page_numbers(t, p).where("number IS NOT NULL").withColumn("before", F.lag("number").over(order)).where("number <= before")
     first = falls.withColumn("r", F.row_number().over(order)).where("r = 1")
     return outcomes(first, "page numbers do not ascend", F.col("number"), F.concat(F.lit("over "), F.col("before").cast("string")))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallyframe.operators import joins
 from tallyframe.plans import audit
 from tallyframe.schemas import OUTCOMES
+from tallyframe.storage import written
 
 KEYS = ["deck_id", "slide_index", "uid"]
 
@@ -95,7 +96,9 @@ def check(
     result = frames[0]
     for f in frames[1:]:
         result = result.unionByName(f)
-    result = result.withColumn("signature", F.sha2(F.concat_ws("|", "rule", "message", F.coalesce("measured", F.lit(""))), 256))
+    result = signed(result, tables)
+    if accepted is not None or intended is not None:
+        result = written(result, "outcomes")  # read several times below; all rules run once
     if accepted is not None:
         result = excuse_accepted(result, tables, accepted)
     if intended is not None:
@@ -105,6 +108,16 @@ def check(
     return result, skipped
 
 
+def signed(result: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """result with `signature`. A figure is told by what is said of it and not by the box its table stands in."""
+    sides = ("left_pt", "top_pt", "width_pt", "height_pt")
+    boxes = tables["shapes"].select(*KEYS, *[F.col(c).alias(f"box_{c}") for c in sides])
+    placed = [F.when(F.col("category") != "consistency", F.col(f"box_{c}")) for c in sides]
+    named = [F.when(F.col("category") == "consistency", F.col("message"))]
+    what = audit.stated(F.concat_ws("|", F.col("rule"), *named), F.col("measured"), F.col("expected"), placed, F.col("message"))
+    return result.join(boxes, KEYS, "left").withColumn("signature", what).select(*result.columns, "signature")
+
+
 def excuse_accepted(result: DataFrame, tables: dict[str, DataFrame], accepted: DataFrame) -> DataFrame:
     """Findings that an acceptance covers become `excused`."""
     names = tables["shapes"].select(*KEYS, F.col("name").alias("shape"))
