@@ -8,7 +8,7 @@ and a threshold for each language, from the same rows, marks texts unlike any le
 
 Cases: texts that are null, empty or without a letter get `und` and score 0; white space, digits and signs act as one
 word gap; ties go to the first language in order; without labelled rows everything is `und`; repeated rows are scored
-alike; extra columns play no part.
+alike and learned from once; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import buffers, id_crc, mix64, text_slices
+from tallyframe.llm.common import buffers, id_crc, materialise, mix64, release, text_slices
 
 ORDER = 4
 DOCS_PER_LANG = 1500
@@ -239,19 +239,38 @@ def _find(keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, keys[place] == want
 
 
+def hash_limit(rows: int, wanted: int) -> int:
+    """The hash below which about 4 * wanted of so many distinct rows lie, out of 2 ** 63: in whole numbers, never 0 for any size."""
+    return min((1 << 63) - 1, max(1, (4 * wanted << 63) // max(rows, 1)))
+
+
+def sample_rows(docs: DataFrame, learn_from: Column, docs_per_lang: int = DOCS_PER_LANG) -> tuple[DataFrame, list[str]]:
+    """(text, lang, h; the languages): of each language the docs_per_lang distinct rows (doc_id, text) of smallest hash.
+
+    Distinct rows are estimated first, so what is ordered exactly is some thousands of keys a language. A row that repeats, or
+    an id with ever more texts, takes no more places than its distinct rows.
+    """
+    labelled = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("doc_id", "text").bitwiseAND((1 << 63) - 1).alias("h"))
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
+    if not sizes:
+        return labelled, []
+    by_lang = lambda of: F.try_element_at(F.create_map(*[F.lit(x) for k, v in of.items() for x in (k, v)]), F.col("lang"))
+    near = labelled.where(F.col("h") <= by_lang({r["lang"]: hash_limit(r["n"], docs_per_lang) for r in sizes})).select("lang", "h").distinct()
+    placed = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= docs_per_lang)
+    last = {r["lang"]: r["last"] for r in placed.groupBy("lang").agg(F.max("h").alias("last")).collect()}
+    return labelled.where(F.col("h") <= by_lang(last)).dropDuplicates(["lang", "h"]), sorted(r["lang"] for r in sizes)
+
+
 def train(docs: DataFrame, learn_from: Column, docs_per_lang: int = DOCS_PER_LANG) -> Model | None:
     """docs: doc_id, text, lang. Only rows where learn_from holds are read.
 
     One row for each language, and the grams of docs_per_lang texts for each, reach the driver.
     """
-    labelled = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("doc_id").bitwiseAND(0xFFFFF).alias("h"))
-    sizes = labelled.groupBy("lang").count().collect()
-    if not sizes:
+    sample, langs = sample_rows(docs, learn_from, docs_per_lang)
+    if not langs:
         return None
-    langs = sorted(r.lang for r in sizes)
+    sample = materialise(sample, "labelled")
     rank = {lang: k for k, lang in enumerate(langs)}
-    limit = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(min(1.0, docs_per_lang / r["count"]) * (1 << 20)))])
-    sample = labelled.where(F.col("h") < F.try_element_at(limit, F.col("lang")))
     held = F.col("h") % 8 == 0
     rows = sample.where(~held).select("text", "lang").mapInArrow(_count, "lang string, gram array<int>, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     got = rows.toArrow()
@@ -262,6 +281,7 @@ def train(docs: DataFrame, learn_from: Column, docs_per_lang: int = DOCS_PER_LAN
     check = sample.where(held).mapInArrow(_entropies(model), "lang string, entropy array<double>, n long").toArrow()
     if check.num_rows:
         model.calibrate(np.array(check.column("entropy").to_pylist()), check.column("n").to_numpy(), np.array([rank[x] for x in check.column("lang").to_pylist()]))
+    release(sample)
     return model
 
 

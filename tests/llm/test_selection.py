@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tallyframe.llm import importance, spelling, substring_dedup
+from tallyframe.llm import importance, lang_id, spelling, substring_dedup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, row long, word string, place int, key long, `a.b` string, whole string, rank long"
@@ -237,3 +237,25 @@ def test_resample_without_rows_or_target(spark):
     assert importance.resample(none, target).count() == 0
     rows = [(1, "a b " * 12), (2, "c " * 30), (3, None)]
     assert sorted(map(tuple, importance.resample(docs(spark, rows), target, share=100).collect())) == plain_resample(rows, [], 1, 10000, 100, 20, 2024)
+
+
+# ------------------------------------------------------------------------------------------------- language ID: sample
+
+
+def test_the_sample_is_bounded_at_any_size():
+    assert lang_id.hash_limit(10, 1500) == (1 << 63) - 1
+    for rows in (2_000_000_000, 10**12, 10**18):
+        share = lang_id.hash_limit(rows, 1500) / 2**63
+        assert share > 0 and abs(share * rows / 6000 - 1) < 0.05
+
+
+def test_the_sample_takes_the_smallest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(k, f"text {k}", "en") for k in range(3000)] + [(7, "text 7", "en")] * 500 + [(1, f"other {k}", "fr") for k in range(400)] + [(None, "null id", "de"), (None, None, "de"), (5, "no language", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample, langs = lang_id.sample_rows(table, F.lit(True), 50)
+    hashed = table.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", F.xxhash64("doc_id", "text").bitwiseAND((1 << 63) - 1).alias("h")).distinct().collect()
+    want = {(r.lang, r.text) for lang in ("de", "en", "fr") for r in sorted((r for r in hashed if r.lang == lang), key=lambda r: r.h)[:50]}
+    got = [(r.lang, r.text) for r in sample.collect()]
+    assert langs == ["de", "en", "fr"] and len(got) == len(want) == 101 and set(got) == want
