@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe.functions import geometry, labels, numbers, periods, text
+from tallyframe.operators import terms
 from tallyframe.queries.binding import registry
 
 QUERIES, SQL, query = registry()
@@ -255,3 +256,20 @@ SELECT s, round(CASE WHEN ti <= 0.0031308 THEN ti * 12.92 ELSE power(ti, 1 / 2.4
 def tint_shade(t):
     v = F.col("s") * 5 / F.lit(255.0)
     return t.part.select(F.col("p_size").alias("s")).distinct().select("s", F.round(geometry.tint(v, F.lit(0.6)), 6).alias("tinted"), F.round(geometry.shade(v, F.lit(0.6)), 6).alias("shaded"))
+
+
+_FORMS = "unnest(regexp_extract_all(text, '\\p{Lu}[\\p{L}\\p{N}]*(?: \\p{Lu}[\\p{L}\\p{N}]*)*'))"
+
+
+@query(f"""WITH f AS (SELECT {_FORMS} AS form FROM documents),
+c AS (SELECT trim(regexp_replace(regexp_replace(translate(lower(form), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g')) AS key, form, count(*) AS n
+  FROM f WHERE len(string_split(form, ' ')) <= 6 GROUP BY ALL),
+g AS (SELECT key, min_by(form, (-n, encode(form))) AS term, CAST(sum(n) AS BIGINT) AS n, count(*) - 1 AS variants, count(DISTINCT lower(form)) = 1 AS only_case FROM c WHERE key <> '' GROUP BY key HAVING sum(n) >= 3),
+inner_ AS (
+  SELECT array_to_string(w[i:i + k - 1], ' ') AS key, max(n) AS longer FROM (SELECT string_split(key, ' ') AS w, n FROM g) x, unnest(range(1, len(w))) AS a(k), unnest(range(1, len(w) - k + 2)) AS b(i) GROUP BY 1
+)
+SELECT g.key, term, n, variants, only_case FROM g LEFT JOIN inner_ USING (key) WHERE longer IS NULL OR longer < n""")
+def term_mining(t):
+    """Capitalised phrases of all documents, one row for each way of writing, without those that stand only inside longer ones."""
+    found = terms.canon(t.documents, [], least_words=1)
+    return found.select("key", "term", "n", F.size("variants").cast("long").alias("variants"), "only_case")
