@@ -46,13 +46,17 @@ def cluster_stats(members: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def dominance(df: DataFrame, keys: list[str], value: str, weight: Column) -> DataFrame:
-    """keys, value, weight, support, share, rank: by falling weight, then value."""
-    counted = df.groupBy(*keys, F.col(value).alias("value")).agg(F.sum(weight).alias("weight"), F.count(F.lit(1)).alias("support"))
+def ranked(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, value, weight, support, share, rank of counted values: by falling weight, then value."""
     whole, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.desc("weight"), "value")
     return counted.withColumn("share", F.col("weight") / F.sum("weight").over(whole)).withColumn("rank", F.row_number().over(order))
 
 
+def dominance(df: DataFrame, keys: list[str], value: str, weight: Column) -> DataFrame:
+    """As ranked, over rows that are counted here."""
+    return ranked(df.groupBy(*keys, F.col(value).alias("value")).agg(F.sum(weight).alias("weight"), F.count(F.lit(1)).alias("support")), keys)
+
+
 def entropy(df: DataFrame, keys: list[str]) -> DataFrame:
     """keys, entropy in bits, from rows with a share."""
     return df.groupBy(*keys).agg(F.sum(F.when(F.col("share") > 0, -F.col("share") * F.log2("share")).otherwise(0.0)).alias("entropy"))

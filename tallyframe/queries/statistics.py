@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallyframe import streaming
 from tallyframe.operators import joins, stats
 from tallyframe.queries.binding import registry
 
@@ -215,3 +216,12 @@ def inherit_coalesce(t):
     """First value that is set along a chain of sources, with the source that won."""
     found = joins.first_by_precedence(("run", F.nullif(F.col("l_tax"), F.lit(0.0))), ("layout", F.nullif(F.col("l_discount"), F.lit(0.0))), ("theme", F.col("l_quantity")))
     return t.lineitem.select(found.alias("f")).groupBy(F.col("f.source").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("f.value"), 2).alias("total"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS opens FROM events WHERE ts IS NOT NULL),
+s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, epoch_us(min(ts)) AS started, epoch_us(max(ts) + INTERVAL 2 HOUR) AS ended, count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(t):
+    """Runs of a user's events without a pause of two hours, as the stream of them would keep."""
+    found = streaming.sessions(t.events.withColumn("ts", F.col("ts").cast("timestamp")), ["user_id"], "ts", "2 hours")
+    return found.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "n")
