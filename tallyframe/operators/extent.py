@@ -26,7 +26,7 @@ SLIDE, SHAPE = slides.SLIDE, slides.SHAPE
 MAX_ADVANCE_EM, MAX_LINE_EM, ASSUMED_PT = 1.15, 1.5, 54.0
 INSET_X_PT, INSET_Y_PT = 7.2, 3.6
 SPREAD = ("just", "justLow", "dist", "thaiDist")
-FRAMED = ("group", "picture", "table", "chart", "frame", "connector")
+FRAMED = ("group", "picture", "table", "chart", "diagram", "frame", "connector")
 
 
 def advance(said: Column, size: Column, advances: Column | None = None) -> Column:

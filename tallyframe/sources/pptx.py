@@ -30,6 +30,7 @@ NS = {
     "c": "http://schemas.openxmlformats.org/drawingml/2006/chart",
     "s": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
     "cp": "http://schemas.openxmlformats.org/package/2006/metadata/core-properties",
+    "dgm": "http://schemas.openxmlformats.org/drawingml/2006/diagram",
     "pr": "http://schemas.openxmlformats.org/package/2006/relationships",
 }
 A, P, R, C = (f"{{{NS[k]}}}" for k in "aprc")
@@ -254,6 +255,10 @@ class Deck:
                 if table is not None:
                     row["kind"] = "table"
                     self.table(table, index, uid, styles)
+                elif data is not None and (ids := data.find("dgm:relIds", NS)) is not None:
+                    row["kind"] = "diagram"
+                    labels = self.diagram(self.package.rels(part).get(ids.get(R + "dm"), (None, None, None))[1])
+                    row["text"] = self.text(labels, index, uid, None, None, styles, None, None, node)
                 elif chart is not None:
                     row["kind"] = "chart"
                     self.chart(self.package.rels(part).get(chart.get(R + "id"), (None, None, None))[1], index, uid)
@@ -364,6 +369,35 @@ class Deck:
                 text = self.text(body, index, uid, r, c, styles, None, None, tc) if body is not None else ""
                 self.add("table_cells", slide_index=index, uid=uid, row=r, col=c, text=text, is_merge_continuation=tc.get("hMerge") == "1" or tc.get("vMerge") == "1")
 
+    def diagram(self, part: str | None) -> ET.Element:
+        """The labels of a diagram's points as one text body, in the order in which its connections lead from the document
+        point down; a label's level is its depth. Points that nothing leads to come last."""
+        root, body = self.package.xml(part), ET.Element("body")
+        points = {x.get("modelId"): x for x in root.iterfind("dgm:ptLst/dgm:pt", NS)} if root is not None else {}
+        below: dict[str | None, list[tuple[int, str | None]]] = {}
+        for x in root.iterfind("dgm:cxnLst/dgm:cxn", NS) if root is not None else ():
+            if x.get("type", "parOf") == "parOf":
+                below.setdefault(x.get("srcId"), []).append((int(x.get("srcOrd", "0")), x.get("destId")))
+        seen: set[str | None] = set()
+        tops = [k for k, x in points.items() if x.get("type") == "doc"] + [k for k, x in points.items() if x.get("type", "node") in ("node", "asst")]
+        for top in tops:
+            open_: list[tuple[str | None, int]] = [(top, 0)]
+            while open_:
+                name, depth = open_.pop()
+                if name in seen or name not in points:
+                    continue
+                seen.add(name)
+                for par in points[name].iterfind("dgm:t/a:p", NS):
+                    said = ET.fromstring(ET.tostring(par))
+                    props = said.find("a:pPr", NS)
+                    if props is None:
+                        props = ET.Element(A + "pPr")
+                        said.insert(0, props)
+                    props.set("lvl", str(max(depth - 1, 0)))
+                    body.append(said)
+                open_ += [(k, depth + 1) for _, k in sorted(below.get(name, ()), key=lambda c: c[0], reverse=True)]
+        return body
+
     def chart(self, part: str | None, index: int, uid: int) -> None:
         root = self.package.xml(part)
         if root is None:
