@@ -11,7 +11,8 @@ rate 0 the ids are those of the library.
 Characters without a piece, and U+2581 itself, become byte pieces, so decoding gives every text back exactly.
 
 Cases: null text gives null ids, an empty text none; repeated rows get the same ids; extra columns are kept by
-`encode`; a text of any length is encoded whole.
+`encode`; a text of any length is encoded whole. In decoding null ids give null, ids that are null or of no piece stand for
+nothing, a first byte goes only if it is a space, and bytes that are no UTF-8 become U+FFFD.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -280,16 +282,17 @@ class Codec:
         return out, code[repeat], chunk[repeat]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of all texts in one array, and their offsets. The leading space of a text goes."""
+        """Bytes of all texts in one array, and their offsets. A text's first byte goes if it is a space."""
         ends = self.byte_ends[ids]
         n = np.diff(self.byte_ends, prepend=0)[ids]
         total = np.concatenate(([0], np.cumsum(n)))
         raw = self.bytes[np.arange(int(total[-1])) + np.repeat(ends - n - total[:-1], n)]
         at = total[offsets]
-        filled = np.diff(at) > 0
+        spaced = np.diff(at) > 0
+        spaced[spaced] = raw[at[:-1][spaced]] == 0x20
         keep = np.ones(len(raw), bool)
-        keep[at[:-1][filled]] = False
-        return raw[keep], np.concatenate(([0], np.cumsum(np.diff(at) - filled)))
+        keep[at[:-1][spaced]] = False
+        return raw[keep], np.concatenate(([0], np.cumsum(np.diff(at) - spaced)))
 
 
 _codecs: dict[str, Codec] = {}
@@ -340,9 +343,12 @@ def decode(rows: DataFrame, path: str = MODEL_PATH) -> DataFrame:
                 part = batch.slice(at, 1024)
                 ids = part.column(0)
                 size = np.array([0 if x is None else x for x in ids.value_lengths().to_pylist()], np.int64)
-                raw, offsets = own.decode(ids.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(size))))
+                flat = pc.fill_null(ids.flatten().cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
+                known = (flat >= 0) & (flat < len(own.byte_ends))
+                left = np.concatenate(([0], np.cumsum(known)))[np.concatenate(([0], np.cumsum(size)))]
+                raw, offsets = own.decode(flat[known], left)
                 text = raw.tobytes()
-                strings = pa.array([None if null else text[s:e].decode() for null, s, e in zip(ids.is_null().to_pylist(), offsets[:-1], offsets[1:], strict=True)], pa.string())
+                strings = pa.array([None if null else text[s:e].decode(errors="replace") for null, s, e in zip(ids.is_null().to_pylist(), offsets[:-1], offsets[1:], strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], strings], names=[*places, "text"])
 
     return rows.mapInArrow(run, schema).toDF(*names, "text")

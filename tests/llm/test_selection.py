@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tallyframe.llm import importance, lang_id, spelling, substring_dedup
+from tallyframe.llm import importance, lang_id, sentencepiece_codec, spelling, substring_dedup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, row long, word string, place int, key long, `a.b` string, whole string, rank long"
@@ -259,3 +259,15 @@ def test_the_sample_takes_the_smallest_hashes(spark):
     want = {(r.lang, r.text) for lang in ("de", "en", "fr") for r in sorted((r for r in hashed if r.lang == lang), key=lambda r: r.h)[:50]}
     got = [(r.lang, r.text) for r in sample.collect()]
     assert langs == ["de", "en", "fr"] and len(got) == len(want) == 101 and set(got) == want
+
+
+# ------------------------------------------------------------------------------------------------ SentencePiece: decoding
+
+
+def test_decoding_of_odd_ids(spark):
+    own = sentencepiece_codec.codec(sentencepiece_codec.MODEL_PATH)
+    byte = lambda b: int(own.byte_ids[b])
+    rows = [(1, [byte(0xC3)]), (2, [byte(0xC3), byte(0xA9)]), (3, [None, byte(0x41), None]), (4, None), (5, []), (6, [-5, 10**7, byte(0x42)]), (7, [byte(0x20), byte(0x20), byte(0x43)]), (8, [None])]
+    frame = spark.createDataFrame(rows, "doc_id long, ids array<int>")
+    got = {r.doc_id: r.text for r in sentencepiece_codec.decode(frame).collect()}
+    assert got == {1: "\ufffd", 2: "é", 3: "A", 4: None, 5: "", 6: "B", 7: " C", 8: ""}
