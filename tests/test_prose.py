@@ -2,7 +2,6 @@
 
 import json
 
-import pytest
 from decks import deck, table, text
 from test_decks import CLEAN, PNL, TITLE, read
 
@@ -10,27 +9,53 @@ from tallyframe import figures, prose
 from tallyframe.operators import slides
 from tallyframe.rules import engine, reports
 
-VOCABULARY = {"revenue": None, "ebitda": None, "ebitda margin": "share", "ev/ebitda": "ratio"}
-
-
-@pytest.mark.parametrize(
-    ("sentence", "want"),
-    [
-        ("Revenue of $1,935m in FY25A, up from $1,352m in FY23A.", [("revenue", "FY2025A", "level", 1935.0), ("revenue", "FY2023A", "level", 1352.0)]),
-        ("An enterprise value of $4,180m implies 8.7x LTM EBITDA.", [("ebitda", "LTM", "ratio", 8.7)]),
-        ("EBITDA margin of 24.8% in FY25A", [("ebitda margin", "FY2025A", "share", 24.8)]),
-        ("64% of revenue is recurring", [("revenue", None, None, 64.0)]),
-        ("Revenue grew by 9% in FY25A", [("revenue", "FY2025A", "change", 9.0)]),
-        ("Costs were 12% lower", []),
-        ("Multiples of 8.0x - 9.5x EBITDA", []),
-        ("EBITDA was 480 and costs 12 people 1,000", [("ebitda", None, None, 480.0), ("ebitda", None, None, 12.0), ("ebitda", None, None, 1000.0)]),
-        ("", []),
-    ],
-)
-def test_sentences(sentence, want):
-    got = [(f[0], f[2], f[3], f[4]) for f in prose.read_sentence(sentence, VOCABULARY)]
-    assert [(m, k, v) for m, _, k, v in got] == [(m, k, v) for m, _, k, v in want]
-    assert all(p == q or (p or "").startswith("LTM") for (_, p, _, _), (_, q, _, _) in zip(got, want, strict=True))
+VOCABULARY = {"revenue": None, "ebitda": None, "ebitda margin": "share", "ev/ebitda": "ratio", "tier 1 capital": None}
+
+
+SENTENCES = [
+    ("Revenue of $1,935m in FY25A, up from $1,352m in FY23A.", [("revenue", "FY2025A", "level", 1935.0), ("revenue", "FY2023A", "level", 1352.0)]),
+    ("An enterprise value of $4,180m implies 8.7x LTM EBITDA.", [("ebitda", "LTM", "ratio", 8.7)]),
+    ("EBITDA margin of 24.8% in FY25A", [("ebitda margin", "FY2025A", "share", 24.8)]),
+    ("64% of revenue is recurring", [("revenue", None, None, 64.0)]),
+    ("Revenue grew by 9% in FY25A", [("revenue", "FY2025A", "change", 9.0)]),
+    ("Costs were 12% lower", []),
+    ("Multiples of 8.0x - 9.5x EBITDA", []),
+    ("EBITDA was 480 and costs 12 people 1,000", [("ebitda", None, None, 480.0), ("ebitda", None, None, 12.0), ("ebitda", None, None, 1000.0)]),
+    ("", []),
+    (None, []),
+    ("EV/EBITDA of 8.7x", [("ev/ebitda", None, "ratio", 8.7)]),
+    ("12% of group revenue comes from a revenue of 30", [("revenue", None, None, 30.0)]),
+    ("A 9% CAGR p.a. in revenue", []),
+    ("Revenue at a 9% CAGR", [("revenue", None, "rate", 9.0)]),
+    ("Revenue: (1,200)k in FY24", [("revenue", "FY2024", None, 1200.0)]),
+    ("Revenue was -5 in FY24. EBITDA was £7m, in Q3 2024", [("revenue", "FY2024", None, -5.0), ("ebitda", "Q3-2024", "level", 7.0)]),
+    ("Revenue in 2024 of 2024", []),
+    ("The tier 1 capital is 7", [("tier 1 capital", None, None, 7.0)]),
+    ("Growth was strong; revenue is 5", [("revenue", None, None, 5.0)]),
+    ("Revenue moved from 5 to 9", []),
+    ("Prerevenue of 5, revenues of 6", []),
+    ("Revenue\u0001 \u00a0of \t 8x, a rise", [("revenue", None, "ratio", 8.0)]),
+    ("Revenue " + "of " * 3000 + "7", [("revenue", None, None, 7.0)]),
+]
+
+
+def test_sentences(spark):
+    said = [(str(k), 1, 1, 0, text) for k, (text, _) in enumerate(SENTENCES)]
+    known = [(str(k), *named) for k in range(len(SENTENCES)) for named in VOCABULARY.items()]
+    paragraphs = spark.createDataFrame(said * 2, "deck string, slide int, uid int, para int, text string")
+    got = prose.prose_figures(paragraphs, spark.createDataFrame([*known, ("0", None, None), ("0", "", None)], "deck string, metric string, kind string")).collect()
+    for k, (text, want) in enumerate(SENTENCES):
+        rows = sorted((r for r in got if r.deck == str(k)), key=lambda r: r.nth)
+        assert [(r.metric, r.period, r.kind, r.value) for r in rows] == want, text
+        assert [r.nth for r in rows] == list(range(len(rows))) and all((r.kind is None) == (r.unread is not None) for r in rows)
+
+
+def test_labels_side_by_side_and_no_rows(spark):
+    paragraphs = spark.createDataFrame([("d", 1, 1, 0, "Cloud revenue of 7, and revenue 9.50%\nCloud: the 3"), ("e", 1, 1, 0, "revenue 7")], "deck string, slide int, uid int, para int, text string")
+    known = spark.createDataFrame([("d", "revenue", None), ("d", "cloud", "level")], "deck string, metric string, kind string")
+    rows = sorted(prose.prose_figures(paragraphs, known).collect(), key=lambda r: r.nth)
+    assert [(r.deck, r.metric, r.scope, r.kind, r.value, r.decimals, r.quantity, r.raw) for r in rows] == [("d", "revenue", "cloud", None, 7.0, 0, None, "7"), ("d", "revenue", "", None, 9.5, 2, "%", "9.50%"), ("d", "cloud", "", "level", 3.0, 0, None, "3")]
+    assert prose.prose_figures(paragraphs.limit(0), known).count() == 0 and prose.prose_figures(paragraphs, known.limit(0)).count() == 0
 
 
 def test_text_joins_the_index_and_contradicts(spark):
