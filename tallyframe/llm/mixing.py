@@ -4,7 +4,7 @@ Source s with token share p_s gets weight p_s ** a / sum; the exponent a is bise
 meets a target entropy, or that keeps every source's repetition (weighted budget over its tokens) within a limit. The
 budget is `epochs` times all tokens, or, with `keep_all`, the smallest one under which no source is read less than once.
 
-A source's documents are then read in passes. In pass e its blocks (BLOCK_DOCS documents on average, by hash of id) are
+A source's documents are then read in passes. In pass e its blocks (BLOCK_DOCS documents on average, by hash of id, source and text) are
 put in the order of a keyed hash of (seed, source, e, block), and so are the documents of a block. Whole passes repeat every
 document; the last pass takes blocks while they fit the source's remaining tokens, and of the block where the budget
 ends the documents that still fit. `plan` says how often each document is read, `schedule` lists every reading with its
@@ -12,7 +12,8 @@ pass, the rank of its block in the pass and its place in the block. No window co
 totals of blocks are taken within RANGES ranges of the keyed hash and added to those of the ranges before.
 
 Cases: a null source is a source of its own; null and empty texts have no tokens (such documents follow their block);
-a source without tokens gets weight 0 and no pass, or one with `keep_all`; repeated rows count each; an empty table gives
+a source without tokens gets weight 0 and no pass, or one with `keep_all`; repeated rows count each; rows with a null id
+are dealt to blocks one by one, by where they are read, so that copies of one text do not fill a block; an empty table gives
 no rows; extra columns are kept by `mixed`, whatever their names.
 """
 
@@ -23,7 +24,7 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import materialise, packed
+from tallyframe.llm.common import materialise, packed, quoted
 
 BLOCK_DOCS = 512
 SEED = 6
@@ -98,6 +99,11 @@ def _order(*parts: Column) -> Column:
     return F.xxhash64(F.lit(SEED), *parts)
 
 
+def _mark(doc_id: Column, source: Column, text: Column) -> Column:
+    """What rows equal in id, source and text share."""
+    return _order(doc_id, source, text, F.lit("block"))
+
+
 def _before(blocks: DataFrame, key: Column, group: list[str], size: Column, name: str) -> DataFrame:
     """blocks with the sum of `size` over those before it in its group, in order of key and then block.
 
@@ -116,9 +122,11 @@ def _before(blocks: DataFrame, key: Column, group: list[str], size: Column, name
 
 
 def plan(docs: DataFrame, max_repeat: float | None = MAX_REPEAT, min_entropy: float | None = None, epochs: float = 1.0, keep_all: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each row of docs: doc_id, source, tokens, block, weight (of its source), copies."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), tokens(F.col(text_col)).alias("tokens"))
-    rows = materialise(rows.withColumn("spread", _order(F.col("doc_id"), F.col("source"), F.lit("block"))), "tokens")
+    """One row for each row of docs: doc_id, source, mark (a hash of id, source and text), tokens, block, weight (of its source), copies."""
+    doc_id, source, text = F.col(id_col), F.col(source_col).cast("string"), F.col(text_col)
+    rows = docs.select(doc_id.alias("doc_id"), source.alias("source"), _mark(doc_id, source, text).alias("mark"), tokens(text).alias("tokens"))
+    apart = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    rows = materialise(rows.withColumn("spread", _order(F.col("mark"), apart)), "tokens")
     sizes = materialise(rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "sources")
     exponent, budget = solve_exponent(sizes, max_repeat, min_entropy, epochs, keep_all)
     power = F.when(F.col("tokens") > 0, F.exp(F.log(F.col("tokens").cast("double")) * exponent)).otherwise(0.0)
@@ -136,7 +144,7 @@ def plan(docs: DataFrame, max_repeat: float | None = MAX_REPEAT, min_entropy: fl
     fated = dealt.alias("d").join(placed.alias("p"), same("d", "p") & (F.col("d.block") == F.col("p.block"))).select("d.*", F.when(F.col("rest") > 0, F.col("p.fate")).otherwise("none").alias("fate"), "p.room")
     inner = Window.partitionBy("source", "block").orderBy(_order(F.col("source"), F.col("passes"), F.col("doc_id")), "doc_id", "tokens")
     cut = fated.where("fate = 'cut'").withColumn("sum", F.sum("tokens").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
-    out = lambda extra: ("doc_id", "source", "tokens", "block", "weight", (F.col("passes") + extra.cast("long")).alias("copies"))
+    out = lambda extra: ("doc_id", "source", "mark", "tokens", "block", "weight", (F.col("passes") + extra.cast("long")).alias("copies"))
     return fated.where("fate <> 'cut'").select(*out(F.col("fate") == "whole")).unionByName(cut.select(*out(F.col("sum") <= F.col("room"))))
 
 
@@ -157,10 +165,12 @@ def schedule(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as its copies say, all columns. Rows with the same id and source share a copy count."""
-    copies = plan(docs, **options).groupBy("doc_id", "source").agg(F.max("copies").alias("copies")).where("copies > 0").select(F.col("doc_id").alias("of_id"), F.col("source").alias("of_source"), "copies")
-    rows = packed(docs, id=F.col("doc_id"), source=F.col("source").cast("string"))
-    joined = rows.join(copies, F.col("id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source")))
+    """The rows of docs, each as often as its copies say, all columns. Rows equal in id, source and text share a copy count."""
+    key = ("doc_id", "source", "mark")
+    copies = plan(docs, **options).groupBy(*key).agg(F.max("copies").alias("copies")).where("copies > 0").select(*[F.col(c).alias(f"of_{c}") for c in key], "copies")
+    doc_id, source = quoted(options.get("id_col", "doc_id")), quoted(options.get("source_col", "source")).cast("string")
+    rows = packed(docs, doc_id=doc_id, source=source, mark=_mark(doc_id, source, quoted(options.get("text_col", "text"))))
+    joined = rows.join(copies, (F.col("mark") == F.col("of_mark")) & F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & F.col("source").eqNullSafe(F.col("of_source")))
     return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 

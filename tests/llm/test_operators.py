@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 import re
 
 import numpy as np
@@ -402,6 +403,25 @@ def test_columns_of_any_name_are_kept(spark, work):
     assert all([r[c] for c in CLASHING] == list(range(len(CLASHING))) for r in out.collect()) and out.count() == 3
 
 
+@pytest.mark.parametrize("text", ["same words here", None])
+def test_rows_without_an_id_are_spread_over_blocks(spark, monkeypatch, text):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 100)
+    rows = [(None, f"w{k} w" if text is None else text, "en", "a") for k in range(1000)] + [(k, "one two three", "en", "b") for k in range(100)]
+    own = docs(spark, rows)
+    planned = mixing.plan(own).where("source = 'a'").collect()
+    sizes = Counter(r.block for r in planned)
+    assert len(planned) == 1000 and len(sizes) == 10 and max(sizes.values()) < 300
+    assert mixing.schedule(own).where("source = 'a'").count() == sum(r.copies for r in planned)
+
+
+def test_mixed_repeats_rows_without_an_id_each_for_itself(spark):
+    rows = [(None, f"word{k} w", "en", "a") for k in range(300)] + [(None, "x y", "en", None)] * 3 + [(k, "one two three " * 20, "en", "b") for k in range(100)]
+    planned = {(r.doc_id, r.mark): r.copies for r in mixing.plan(docs(spark, rows), keep_all=True, max_repeat=1.5).where("source = 'a'").collect()}
+    out = mixing.mixed(docs(spark, rows), keep_all=True, max_repeat=1.5).where("source = 'a'").groupBy("text").count().collect()
+    assert len(planned) == len(out) == 300 and min(planned.values()) >= 1
+    assert sorted(planned.values()) == sorted(r["count"] for r in out)
+
+
 def test_mixed_keeps_all_and_repeats(spark):
     rows = [(i, "w " * 10, "en", "big" if i % 4 else "small") for i in range(400)]
     out = mixing.mixed(docs(spark, rows), keep_all=True, max_repeat=2.0)
