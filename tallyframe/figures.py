@@ -43,12 +43,6 @@ def conversions(passages: DataFrame) -> DataFrame:
     return read.select(F.col("deck_id").alias("deck"), stated("a").alias("one"), stated("b").alias("other"))
 
 
-def pair_key(one: str, other: str) -> Column:
-    """One key for two stated amounts, in either order: their currencies and their amounts to six places."""
-    key = lambda c: F.concat_ws(" ", F.coalesce(f"{c}.currency", F.lit("?")), F.format_string("%.6e", F.col(f"{c}.amount")))
-    return F.array_join(F.array_sort(F.array(key(one), key(other))), " = ")
-
-
 def table_figures(t: dict[str, DataFrame]) -> DataFrame:
     """Cells of tables. Columns are the period axis only if every value column is dated; else rows if all are; else a
     row names the scope and the column the metric. A corner cell states the unit of what lies below."""
@@ -92,7 +86,7 @@ def chart_figures(t: dict[str, DataFrame]) -> DataFrame:
 def text_figures(t: dict[str, DataFrame], stated: DataFrame) -> DataFrame:
     """Numbers of running text, bound to the metrics of `stated` figures; a percentage takes the one kind they ground it in."""
     paragraphs = t["paragraphs"].where("row IS NULL").select(F.col("deck_id").alias("deck"), F.col("slide_index").alias("slide"), "uid", "para", "text")
-    known = stated.where(labels.is_specific(F.col("metric"))).select("deck", "metric").distinct()
+    known = labels.vocabulary(stated, ["deck"], "metric")
     found = prose.prose_figures(paragraphs, known.withColumn("kind", labels.label_kind(F.col("metric"))))
     grounded = consistency.grounded_kinds(stated.where("quantity IS NOT NULL AND kind IS NOT NULL"), ["deck", "metric", "quantity"]).withColumnRenamed("kind", "ground")
     rows = found.join(grounded, ["deck", "metric", "quantity"], "left").withColumn("kind", F.coalesce("kind", "ground"))

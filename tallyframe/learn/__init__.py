@@ -18,12 +18,14 @@ def observations(t: dict[str, DataFrame]) -> DataFrame:
     quotes = t["paragraphs"].select("deck_id", "slide_index", text.quote_census(F.col("text")).alias("q"))
     either = quotes.where("q.curly + q.straight > 0")
     dates = t["paragraphs"].select("deck_id", "slide_index", F.explode(text.date_candidates(F.col("text"))).alias("d")).withColumn("f", text.date_formats(F.col("d")))
+    dates = dates.where("size(f) > 0").join(date_conventions(dates, ["deck_id"]), "deck_id", "left")
+    read_as = F.when(F.size("f") == 1, F.element_at("f", 1)).when(F.array_contains("f", F.col("convention")), F.col("convention"))
     runs = t["runs"].where("trim(text) <> ''")
     frames = [
         row(titles, "title_case", text.capitalisation(F.col("text"))),
         row(either, "quotes", F.when(F.col("q.curly") >= F.col("q.straight"), "curly").otherwise("straight"), F.col("q.curly") + F.col("q.straight")),
         row(t["paragraphs"].where("bulleted AND trim(text) <> ''"), "bullet_terminal", text.terminal(F.col("text"))),
-        row(dates.where("size(f) = 1"), "date_format", F.element_at("f", 1)),
+        row(dates, "date_format", read_as),
         row(runs.where("font IS NOT NULL"), "font", F.col("font"), F.length("text")),
         row(runs.where("size_pt IS NOT NULL"), "font_size", F.round("size_pt", 2), F.length("text")),
     ]
@@ -33,6 +35,15 @@ def observations(t: dict[str, DataFrame]) -> DataFrame:
     return out.where("value IS NOT NULL")
 
 
+def date_conventions(dates: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, convention: the one all-numeric order of day and month that a body of dates proves. dates has `f`, the formats
+    that read each; a date that only one format reads is proof. Null where nothing or more than one order is proven."""
+    only = F.element_at("f", 1)
+    proof = F.when((F.size("f") == 1) & only.rlike("[/.]"), only)
+    proven = dates.groupBy(*keys).agg(F.count_distinct(proof).alias("orders"), F.min(proof).alias("order"))
+    return proven.select(*keys, F.when(F.col("orders") == 1, F.col("order")).alias("convention"))
+
+
 def classify(obs: DataFrame) -> DataFrame:
     """One classification for each (deck_id, key)."""
     keys = ["deck_id", "key"]

@@ -35,12 +35,18 @@ def _row(df: DataFrame, path: Column | str, rule: str, value: Column | None = No
     return df.select(F.col("deck_id").alias("source"), path.alias("path"), F.lit(rule).alias("rule"), (none if value is None else value).cast("string").alias("value"), (none if number is None else number).cast("double").alias("number"))
 
 
-def palettes(t: dict[str, DataFrame]) -> DataFrame:
-    """deck_id, hex: the colours that a deck's fills, outlines and letters use, those within PALETTE_RADIUS of a commoner one aside."""
+def colours(t: dict[str, DataFrame]) -> DataFrame:
+    """deck_id, hex, weight, head: the colours that a deck's fills, outlines and letters use, each with the commoner one within
+    PALETTE_RADIUS that stands for it."""
     use = lambda df, c: df.where(F.col(c).isNotNull()).select("deck_id", F.upper(c).alias("hex"))
     used = use(t["shapes"], "fill_hex").unionByName(use(t["shapes"], "line_hex")).unionByName(use(t["runs"].where("trim(text) <> ''"), "color_hex"))
     weighed = used.groupBy("deck_id", "hex").agg(F.count(F.lit(1)).alias("weight")).withColumn("lab", geometry.to_lab(F.col("hex"))).select("deck_id", "hex", "weight", "lab.l", "lab.a", "lab.b")
-    return stats.palette_greedy(weighed, ["deck_id"], one.PALETTE_RADIUS).where("hex = head").select("deck_id", "hex")
+    return stats.palette_greedy(weighed, ["deck_id"], one.PALETTE_RADIUS)
+
+
+def palettes(t: dict[str, DataFrame]) -> DataFrame:
+    """deck_id, hex: the colours of a deck that stand for themselves."""
+    return colours(t).where("hex = head").select("deck_id", "hex")
 
 
 def grid_lines(t: dict[str, DataFrame]) -> DataFrame:
@@ -83,6 +89,7 @@ def profile_rows(t: dict[str, DataFrame]) -> DataFrame:
     lines = one.boilerplate(t)
     logos = slides.logo_hashes(t).select("deck_id", "image_sha1")
     grid = grid_lines(t)
+    used = colours(t)
     axis = F.when(F.col("axis") == "x", "layout.grid.columns").otherwise("layout.grid.rows")
     sized = t["decks"].where("width_pt > 0")
     frames = [
@@ -93,7 +100,8 @@ def profile_rows(t: dict[str, DataFrame]) -> DataFrame:
         _row(one.safe_margins(t), "layout.safe_margin_pt", "least", None, F.col("margin")),
         _row(lines, "footer.boilerplate", "common", F.col("line")),
         _row(page_numbers(t), "footer.page_number", "agree", F.col("pattern")),
-        _row(palettes(t), "brand.palette_hex", "union", F.col("hex")),
+        _row(used.where("hex = head"), "brand.palette_hex", "union", F.col("hex")),
+        _row(stats.palette_tolerance(used, ["deck_id"]), "brand.palette_tolerance", "most", None, F.col("tolerance")),
         _row(logos.unionByName(linkage.logo_variants(t, logos)).distinct(), "brand.logo.sha1", "union", F.col("image_sha1")),
         _row(linkage.lockup_lines(t, lines), "brand.logo.lines", "union", F.col("line")),
         _row(grid, axis, "union", None, F.col("at")),
@@ -139,7 +147,7 @@ def fold(rows: DataFrame, locked: Column | tuple[str, ...] = ()) -> tuple[DataFr
 
 def stated_rows(profile: dict, spark) -> DataFrame:
     """The rows of a profile that is already there, with source BASE. A profile is small by nature."""
-    rules = {"fonts.allowed": "union", "layout.safe_margin_pt": "least", "footer.boilerplate": "common", "footer.page_number": "agree", "brand.palette_hex": "union", "brand.logo.sha1": "union", "brand.logo.lines": "union", "layout.grid.columns": "union", "layout.grid.rows": "union", "slide.width_pt": "first", "slide.height_pt": "first"}
+    rules = {"fonts.allowed": "union", "layout.safe_margin_pt": "least", "footer.boilerplate": "common", "footer.page_number": "agree", "brand.palette_hex": "union", "brand.palette_tolerance": "most", "brand.logo.sha1": "union", "brand.logo.lines": "union", "layout.grid.columns": "union", "layout.grid.rows": "union", "slide.width_pt": "first", "slide.height_pt": "first"}
     rows = []
 
     def walk(path: str, value) -> None:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.numbers import half_unit, scale_factor
 from tallyframe.functions.periods import periods_agree
-from tallyframe.operators.joins import modal_currency, tiered_lookup
+from tallyframe.operators.joins import modal_currency, same, tiered_lookup
 
 KEYS = ["deck", "metric", "scope", "quantity", "kind"]
+FACT = ["deck", "metric", "scope", "quantity"]
 SCALE_STEPS = (1000.0, 100.0)
 SCALE_TOLERANCE = 0.02
 GROWTH_TOLERANCE = 0.5
@@ -197,11 +198,50 @@ def bridges(steps: DataFrame, keys: list[str], order: str) -> DataFrame:
     return g.select(*keys, outcome.alias("outcome"), (F.col("o") + F.col("s")).alias("carried"))
 
 
-def unread_counterparts(figures: DataFrame, keys: list[str]) -> DataFrame:
-    """Figures of unknown kind that had counterparts under their keys, with the number of `others`: the group's size less
-    one, without joining its members."""
-    sizes = figures.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("others"))
-    return figures.where("kind IS NULL").join(sizes, keys).where("others > 0")
+def _agreeing(figures: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """keys, period, `name`: how many figures of equal keys have a period that agrees. Only counts are joined."""
+    by_period = figures.groupBy(*keys, "period").agg(F.count(F.lit(1)).alias("n"))
+    whole = by_period.groupBy(*keys).agg(F.sum("n").alias("all"), F.coalesce(F.sum(F.when(F.col("period").isNull(), F.col("n"))), F.lit(0)).alias("undated"))
+    met = F.when(F.col("period").isNull(), F.col("all")).otherwise(F.col("n") + F.col("undated"))
+    return same(by_period, whole, keys).select(*keys, "period", met.alias(name))
+
+
+def unread(figures: DataFrame) -> DataFrame:
+    """Figures of unknown kind that would have been weighed against others, with the number of `others`: those of the same
+    metric, scope and quantity at another place whose period agrees. Counted as all of the fact less those of the place, so
+    no figure meets another. Nulls equal nulls; a figure stated once does not appear."""
+    unknown = figures.where("kind IS NULL")
+    fact = same(unknown, _agreeing(figures, FACT, "all_met"), [*FACT, "period"])
+    here = same(fact, _agreeing(figures, [*FACT, "place"], "met_here"), [*FACT, "place", "period"])
+    return here.withColumn("others", F.col("all_met") - F.col("met_here")).drop("all_met", "met_here").where("others > 0")
+
+
+def against_first(figures: DataFrame, keys: list[str], stated: str) -> DataFrame:
+    """figures with `first`, what `stated` is in the earliest (least ord) figure of equal keys. One row a key is joined."""
+    first = figures.groupBy(*keys).agg(F.min_by(stated, "ord").alias("first"))
+    return same(figures, first, keys)
+
+
+def date_drift(figures: DataFrame) -> DataFrame:
+    """ord, date, first: statements of a fact as at another date than its earliest statement; `date` is that of the slide."""
+    dated = figures.where("kind IS NOT NULL AND date IS NOT NULL")
+    return against_first(dated, [*KEYS, "period"], "date").where("date <> first").select("ord", "date", "first")
+
+
+def pair_key(one: str, other: str) -> Column:
+    """One key for two stated amounts, in either order: their currencies and their amounts to six places."""
+    key = lambda c: F.concat_ws(" ", F.coalesce(f"{c}.currency", F.lit("?")), F.format_string("%.6e", F.col(f"{c}.amount")))
+    return F.array_join(F.array_sort(F.array(key(one), key(other))), " = ")
+
+
+def unit_drift(figures: DataFrame, conversions: DataFrame) -> DataFrame:
+    """ord, stated, first (currency, scale, amount): dated figures whose currency or scale, both known, is not that of the
+    fact's earliest statement. conversions (deck, one, other): amounts told as equal in a deck; such pairs are no drift."""
+    f = figures.where("(scale IS NOT NULL OR currency IS NOT NULL) AND period IS NOT NULL")
+    f = f.withColumn("stated", F.struct("currency", "scale", (F.col("value") * F.coalesce(scale_factor(F.col("scale")), F.lit(1.0))).alias("amount")))
+    rows = against_first(f, ["deck", "metric", "scope", "kind", "period"], "stated").where("stated.currency <> first.currency OR stated.scale <> first.scale")
+    told = conversions.select("deck", pair_key("one", "other").alias("pair")).distinct()
+    return rows.withColumn("pair", pair_key("first", "stated")).join(told, ["deck", "pair"], "left_anti").select("ord", "stated", "first")
 
 
 def grounded_kinds(figures: DataFrame, keys: list[str]) -> DataFrame:

@@ -82,6 +82,15 @@ def first_by_precedence(*sources: tuple[str, Column]) -> Column:
     return F.struct(value.alias("value"), label.alias("source"))
 
 
+def same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left with right's other columns where all keys are equal; a null key equals a null key."""
+    other = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return left.join(other, on, how).drop(*[f"__{k}" for k in keys])
+
+
 def last_before(probes: DataFrame, events: DataFrame, keys: list[str], position: str, event: str) -> DataFrame:
     """probes with `event`: the greatest event (any type that sorts) of equal keys whose position is not behind the probe's.
 

@@ -34,16 +34,26 @@ def rows_of_equals(t: dict[str, DataFrame], axis: str, within: float) -> DataFra
     key = [*SLIDE, "parent", "kind", "w", "h"]
     s = slides.content_shapes(t).withColumn("one", F.lit(1)).withColumn("parent", F.coalesce("parent_uid", F.lit(-1))).withColumn("w", F.round("width_pt")).withColumn("h", F.round("height_pt"))
     lines = stats.cluster_1d(s, key, across, "one", within).select(*key, F.col("value").alias(across), "cluster")
-    line = Window.partitionBy(*key, "cluster")
-    gap = F.lead(lead).over(line.orderBy(lead, "uid")) - F.col(lead) - F.col(length)
-    met = s.join(lines, [*key, across]).withColumn("gap", gap).withColumn("line", F.concat_ws("|", F.lit(axis), "parent", "kind", "w", "h", "cluster"))
+    met = gaps(s.join(lines, [*key, across]), [*key, "cluster"], lead, length).withColumn("line", F.concat_ws("|", F.lit(axis), "parent", "kind", "w", "h", "cluster"))
     return met.select(*SHAPE, "line", "gap")
 
 
+def gaps(boxes: DataFrame, line: list[str], lead: str, length: str) -> DataFrame:
+    """boxes with `gap`, the distance from a box's end to the start of the next one of its line; null behind the last."""
+    behind = F.lead(lead).over(Window.partitionBy(*line).orderBy(lead, "uid"))
+    return boxes.withColumn("gap", behind - F.col(lead) - F.col(length))
+
+
+def spreads(gapped: DataFrame, line: list[str], within: float) -> DataFrame:
+    """line, n, spread, uid of lines of three or more boxes that do not overlap by more than `within`; spread is the sample
+    deviation of the gaps, uid the least."""
+    g = gapped.groupBy(*line).agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("least"), F.stddev_samp("gap").alias("spread"), F.min("uid").alias("uid"))
+    return g.where((F.col("n") >= RUN) & (F.col("least") >= -within)).drop("least")
+
+
 def runs(t: dict[str, DataFrame], axis: str, within: float) -> DataFrame:
     """deck_id, slide_index, line, n, spread, uid of rows of three or more that do not overlap; spread is that of the gaps."""
-    g = rows_of_equals(t, axis, within).groupBy(*SLIDE, "line").agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("least"), F.stddev_samp("gap").alias("spread"), F.min("uid").alias("uid"))
-    return g.where((F.col("n") >= RUN) & (F.col("least") >= -within))
+    return spreads(rows_of_equals(t, axis, within), [*SLIDE, "line"], within)
 
 
 def spaced(t: dict[str, DataFrame], within: float, limit: float) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.functions import geometry
+
 # Thresholds of the classification.
 DOMINANT, MODE, MAX_MODES, MAX_ENTROPY = 0.85, 0.15, 3, 1.6
+TOLERANCE_LEAST, TOLERANCE_MOST = 2.0, 6.0
 SUPPORT = {"deck": 3, "archetype": 2, "table": 2, "structural": 1}
 
 
@@ -136,3 +139,47 @@ def palette_greedy(df: DataFrame, keys: list[str], radius: float) -> DataFrame:
     rows = items.withColumn("heads", F.aggregate("items", empty, step)).select(*keys, "heads", F.explode("items").alias("i"))
     head = F.element_at(F.filter("heads", lambda h: far(h, F.col("i")) <= radius), 1)
     return rows.select(*keys, "i.hex", (-F.col("i.neg")).alias("weight"), head["hex"].alias("head"))
+
+
+def palette_tolerance(members: DataFrame, keys: list[str]) -> DataFrame:
+    """members: keys, hex, head (see palette_greedy). Returns keys, tolerance: half the least distance of two heads, between
+    2 and 6, raised to what admits every member of a cluster, but with two heads or more never over 6.
+
+    Only pairs nearer than 12 can set it, so heads meet those of their own and the adjoining cells of a grid of that width:
+    an equi-join, not all pairs.
+    """
+    lab = lambda c, to: geometry.to_lab(F.col(c)).alias(to)
+    away = members.select(*keys, "hex", "head", lab("hex", "own"), lab("head", "of"))
+    reach = away.groupBy(*keys).agg(F.max(geometry.delta_e(F.col("own"), F.col("of"))).alias("radius"), F.count_distinct("head").alias("heads"))
+    cell = lambda c: F.floor(F.col(f"lab.{c}") / (2 * TOLERANCE_MOST))
+    at = members.select(*keys, "head").distinct().withColumn("lab", geometry.to_lab(F.col("head"))).select(*keys, "head", "lab", *[cell(c).alias(f"c{c}") for c in "lab"])
+    near = at.select(*keys, F.col("head").alias("head2"), F.col("lab").alias("lab2"), *[F.col(f"c{c}") for c in "lab"])
+    for c in "lab":
+        near = near.withColumn(f"c{c}", F.explode(F.array(*[F.col(f"c{c}") + k for k in (-1, 0, 1)])))
+    met = at.join(near, [*keys, "cl", "ca", "cb"]).where("head < head2")
+    least = met.groupBy(*keys).agg((F.min(geometry.delta_e(F.col("lab"), F.col("lab2"))) / 2).alias("half"))
+    half = F.greatest(F.lit(TOLERANCE_LEAST), F.least(F.coalesce("half", F.lit(TOLERANCE_MOST)), F.lit(TOLERANCE_MOST)))
+    admits = F.round(F.col("radius") + 0.1, 2)
+    several = F.when(admits > half, F.least(admits, F.lit(TOLERANCE_MOST))).otherwise(half)
+    one = F.greatest(F.lit(TOLERANCE_LEAST), admits)
+    return reach.join(least, keys, "left").select(*keys, F.round(F.when(F.col("heads") < 2, one).otherwise(several), 2).alias("tolerance"))
+
+
+def nearest_mean(rows: DataFrame, id_: str, label: str, vector: str, block: int = 256) -> DataFrame:
+    """id_, nearest: the label whose mean vector is nearest to each row's, to nine places; ties to the smaller label.
+
+    Means are dealt to blocks of about `block` by the labels' hash and every vector visits each block once, by an equi-join
+    on the block, so no task and no broadcast holds more than a block, however many labels there are. Rows with a null
+    label make no mean; rows with a null vector and tables without any label give no rows.
+    """
+    flat = rows.where(F.col(label).isNotNull()).select(label, F.posexplode(vector).alias("d", "x"))
+    means = flat.groupBy(label, "d").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    means = means.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("mean"))
+    blocks = rows.where(F.col(label).isNotNull()).agg(F.greatest(F.ceil(F.approx_count_distinct(label) / block), F.lit(1)).cast("int").alias("blocks"))
+    n = blocks.first()["blocks"]
+    dealt = means.select(F.pmod(F.xxhash64(label), F.lit(n)).cast("int").alias("__block"), F.struct(F.col(label).alias("label"), "mean").alias("m"))
+    dealt = dealt.groupBy("__block").agg(F.collect_list("m").alias("means"))
+    asked = rows.where(F.col(vector).isNotNull()).select(id_, F.col(vector).alias("__v"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("__block"))
+    far = lambda c: F.aggregate(F.zip_with("__v", c["mean"], lambda x, m: (x.cast("double") - m) * (x.cast("double") - m)), F.lit(0.0), lambda a, x: a + x)
+    best = F.array_min(F.transform("means", lambda c: F.struct(F.round(far(c), 9).alias("dist"), c["label"].alias("label"))))
+    return asked.join(dealt, "__block").groupBy(id_).agg(F.min(best)["label"].alias("nearest"))

@@ -278,11 +278,8 @@ def palette_greedy(t):
 
 @query()
 def palette_tol(t):
-    """Half the least distance of two palette heads, between 2 and 6."""
-    heads = stats.palette_greedy(_weights(t), ["deck"], 3.0).where("hex = head").select(geometry.to_lab(F.col("hex")).alias("lab"))
-    palette = heads.agg(F.collect_list("lab").alias("p"))
-    apart = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice(F.col("p"), i + 2, F.size("p")), lambda y: geometry.delta_e(x, y))))
-    return palette.select(F.round(F.least(F.lit(6.0), F.greatest(F.lit(2.0), F.array_min(apart) / 2)), 4).alias("tolerance"))
+    """Half the least distance of two palette heads, between 2 and 6, raised to admit every colour that a head stands for."""
+    return stats.palette_tolerance(stats.palette_greedy(_weights(t), ["deck"], 3.0), ["deck"]).select("tolerance")
 
 
 @query("""WITH w AS (SELECT p_partkey, string_split(p_name || ' ' || p_type, ' ') AS w FROM part),

@@ -121,21 +121,26 @@ def co007_bridge(t):
 
 @query(f"""WITH {FACTS} SELECT n, y, 'USDm' AS one, CASE WHEN n % 3 = 0 THEN 'USDbn' ELSE 'EURm' END AS other FROM facts WHERE n % 3 <> 1 AND NOT (n % 3 = 2 AND n % 2 = 0)""")
 def co008_unit_drift(t):
-    """One fact in two stated units is drift, unless the deck states the conversion (here: even nations in EUR)."""
+    """Every fact stated in USDm and again in another unit. Of even nations the deck states the conversion to EUR."""
     f = facts(t)
-    unit = F.when(F.col("n") % 3 == 0, "USDbn").when(F.col("n") % 3 == 2, "EURm").otherwise("USDm")
-    one, other = f.select("n", "y", F.lit("USDm").alias("one")), f.select("n", "y", unit.alias("other"))
-    conversions = f.where("n % 3 = 2 AND n % 2 = 0").select("n", F.lit("EURm").alias("other")).distinct()
-    return one.join(other, ["n", "y"]).where("one <> other").join(conversions, ["n", "other"], "left_anti").select("n", "y", "one", "other")
-
-
-@query(f"""WITH {FACTS} SELECT a.n AS one, b.n AS other, a.y FROM facts a JOIN facts b ON a.y = b.y AND a.n % 5 = b.n % 5 AND a.n < b.n WHERE make_date(2025, 1 + a.n % 3, 1) <> make_date(2025, 1 + b.n % 3, 1) AND a.n % 4 <> 0 AND b.n % 4 <> 0""")
+    c, null = F.col, F.lit(None).cast("string")
+    k = c("n") % 3
+    currency, scale = F.when(k == 2, "EUR").otherwise("USD"), F.when(k == 0, "bn").otherwise("m")
+    value = lambda s: F.when(s == "bn", c("rev") / 1000).otherwise(c("rev"))
+    say = lambda nth, cur, s: f.select((2 * (c("n").cast("long") * 10000 + c("y")) + nth).alias("ord"), "n", "y", c("n").cast("string").alias("deck"), F.lit("revenue").alias("metric"), F.lit("").alias("scope"), F.lit("level").alias("kind"), null.alias("quantity"), c("y").cast("string").alias("period"), value(s).alias("value"), s.alias("scale"), cur.alias("currency"))
+    figures = say(0, F.lit("USD"), F.lit("m")).unionByName(say(1, currency, scale))
+    amount = lambda cur: F.struct(F.lit(cur).alias("currency"), F.lit("m").alias("scale"), (c("rev") * 1000000.0).alias("amount"))
+    told = f.where("n % 3 = 2 AND n % 2 = 0").select(c("n").cast("string").alias("deck"), amount("EUR").alias("one"), amount("USD").alias("other"))
+    unit = lambda s: F.concat(f"{s}.currency", f"{s}.scale")
+    return consistency.unit_drift(figures, told).join(figures.select("ord", "n", "y"), "ord").select("n", "y", unit("first").alias("one"), unit("stated").alias("other"))
+
+
+@query(f"""WITH {STATED}, d AS (SELECT *, make_date(2025, 1 + CAST(ord % 3 AS INTEGER), 1) AS d FROM stated WHERE n % 4 <> 0), f AS (SELECT *, first_value(d) OVER (PARTITION BY n, period ORDER BY ord) AS first FROM d)
+SELECT ord, CAST(d AS VARCHAR) AS date, CAST(first AS VARCHAR) AS first FROM f WHERE d <> first""")
 def co009_asof(t):
-    """The same fact on slides with different as-of dates; slides without a date are left out."""
-    f = facts(t).select("n", "y")
-    dates = f.select("n").distinct().where("n % 4 <> 0").select("n", F.make_date(F.lit(2025), 1 + F.col("n") % 3, F.lit(1)).alias("d"))
-    a, b = f.join(dates, "n").alias("a"), f.join(dates, "n").alias("b")
-    return a.join(b, (F.col("a.y") == F.col("b.y")) & (F.col("a.n") % 5 == F.col("b.n") % 5) & (F.col("a.n") < F.col("b.n")) & (F.col("a.d") != F.col("b.d"))).select(F.col("a.n").alias("one"), F.col("b.n").alias("other"), F.col("a.y").alias("y"))
+    """The statements of a fact as at another date than its first one; slides without a date are left out."""
+    dated = stated(t).withColumn("date", F.when(F.col("slide") % 4 != 0, F.make_date(F.lit(2025), (1 + F.col("ord") % 3).cast("int"), F.lit(1)).cast("string")))
+    return consistency.date_drift(dated)
 
 
 CUR = "c AS (SELECT o_orderkey AS k, o_custkey, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'EUR' WHEN 2 THEN 'GBP' ELSE 'USD' END AS currency FROM orders)"
@@ -154,9 +159,17 @@ KIND = "f AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 7 = 0 T
 
 @query(f"WITH {KIND} SELECT a.event_id, count(*) AS others FROM f a JOIN f b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.event_id <> b.event_id WHERE a.kind IS NULL GROUP BY 1")
 def unread_kind(t):
-    """Figures of unknown kind that had counterparts: the group's size less one, without joining its members."""
-    f = t.events.select("event_id", "user_id", "event_type", F.when(F.col("event_id") % 7 != 0, "level").alias("kind"))
-    return consistency.unread_counterparts(f, ["user_id", "event_type"]).select("event_id", "others")
+    """Events as figures of their user; those of unknown kind that had counterparts."""
+    c, null = F.col, F.lit(None).cast("string")
+    f = t.events.where("user_id IS NOT NULL AND event_type IS NOT NULL").select("event_id", c("user_id").cast("string").alias("deck"), c("event_type").alias("metric"), F.lit("").alias("scope"), null.alias("quantity"), null.alias("period"), c("event_id").cast("string").alias("place"), F.when(c("event_id") % 7 != 0, "level").alias("kind"))
+    return consistency.unread(f).select("event_id", "others")
+
+
+@query(f"""WITH {STATED}, k AS (SELECT *, CASE WHEN ord % 3 = 0 THEN NULL ELSE 'level' END AS kind FROM stated)
+SELECT a.ord, count(*) AS others FROM k a JOIN k b ON a.n = b.n AND a.place <> b.place AND (a.period IS NULL OR b.period IS NULL OR a.period = b.period) WHERE a.kind IS NULL GROUP BY 1""")
+def unread_figures(t):
+    """Statements of unknown kind, dated and undated, with how many at other places could have contradicted them."""
+    return consistency.unread(stated(t).withColumn("kind", F.when(F.col("ord") % 3 != 0, F.col("kind")))).select("ord", "others")
 
 
 @query("""WITH f AS (SELECT user_id, CASE WHEN user_id % 3 = 0 AND event_id % 2 = 0 THEN NULL WHEN user_id % 3 = 1 OR event_type < 'm' THEN 'level' ELSE 'count' END AS kind FROM events) SELECT user_id, max(kind) AS kind FROM f GROUP BY 1 HAVING count(DISTINCT coalesce(kind, '?')) = 1 AND max(kind) IS NOT NULL""")
@@ -168,9 +181,9 @@ def grounded_kind(t):
 
 @query("""WITH l AS (SELECT DISTINCT lower(trim(regexp_replace(p_type, '\\s+', ' ', 'g'))) AS metric FROM part) SELECT metric, CAST(row_number() OVER (ORDER BY length(metric) DESC, metric) AS INTEGER) AS position FROM l WHERE length(metric) > 2""")
 def vocabulary(t):
-    """Distinct specific labels, longest first. One row a label, so the order is over a small table."""
-    words = t.part.select(labels.normalise_label(F.col("p_type")).alias("metric")).distinct().where(labels.is_specific(F.col("metric")))
-    return words.select("metric", F.row_number().over(Window.orderBy(F.desc(F.length("metric")), "metric")).alias("position"))
+    """Distinct specific labels, longest first."""
+    words = t.part.select(labels.normalise_label(F.col("p_type")).alias("metric"))
+    return labels.longest_first(labels.vocabulary(words, [], "metric"), [], "metric")
 
 
 @query("""SELECT source, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT 'table' AS source, o_totalprice AS value FROM orders UNION ALL SELECT 'chart', value FROM events UNION ALL SELECT 'text', c_acctbal FROM customer) GROUP BY 1""")

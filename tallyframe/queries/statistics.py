@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyframe import streaming
-from tallyframe.operators import joins, stats
+from tallyframe.operators import joins, placement, stats
 from tallyframe.queries.binding import registry
 
 QUERIES, SQL, query = registry()
@@ -135,15 +135,15 @@ def recurring_lines(t):
     return counted.join(F.broadcast(total)).where("sources >= 0.6 * total").select("line", "sources")
 
 
-@query("""WITH m AS (SELECT event_type, user_id, CAST(value AS DECIMAL(18,4)) AS v, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS r FROM events),
-g AS (SELECT event_type, user_id, v - lag(v) OVER (PARTITION BY event_type, user_id ORDER BY r) AS gap FROM m)
-SELECT event_type, user_id, count(gap) AS gaps, round(stddev_samp(CAST(gap AS DOUBLE)), 3) AS stdev FROM g GROUP BY 1, 2 HAVING count(gap) >= 2 AND round(stddev_samp(CAST(gap AS DOUBLE)), 3) > 1.0""")
+@query("""WITH m AS (SELECT event_type, user_id, event_id, floor(CAST(value AS DECIMAL(18,4)) * 16) / 16 AS v FROM events),
+g AS (SELECT *, CAST(lead(v) OVER (PARTITION BY event_type, user_id ORDER BY v, event_id) - v - 0.125 AS DOUBLE) AS gap FROM m)
+SELECT event_type, user_id, count(gap) AS gaps, round(stddev_samp(gap), 3) AS stdev FROM g GROUP BY 1, 2 HAVING count(*) >= 3 AND min(gap) >= -0.5 AND stddev_samp(gap) > 1.0""")
 def lo008_gutters(t):
-    """Groups whose gaps between neighbours vary: sample deviation over 1."""
-    order = Window.partitionBy("event_type", "user_id").orderBy("ts", "event_id")
-    gaps = t.events.withColumn("v", F.col("value").cast("decimal(18,4)")).withColumn("gap", F.col("v") - F.lag("v").over(order))
-    found = gaps.groupBy("event_type", "user_id").agg(F.count("gap").alias("gaps"), F.round(F.stddev_samp(F.col("gap").cast("double")), 3).alias("stdev"))
-    return found.where("gaps >= 2 AND stdev > 1.0")
+    """Events as boxes an eighth wide that stand at their value (in sixteenths): lines of three or more whose gaps vary by more than 1."""
+    boxes = t.events.select("event_type", "user_id", F.col("event_id").alias("uid"), (F.floor(F.col("value").cast("decimal(18,4)") * 16) / 16).cast("double").alias("left"), F.lit(0.125).alias("width"))
+    line = ["event_type", "user_id"]
+    found = placement.spreads(placement.gaps(boxes, line, "left", "width"), line, 0.5).where("spread > 1.0")
+    return found.select(*line, (F.col("n") - 1).alias("gaps"), F.round("spread", 3).alias("stdev"))
 
 
 @query("""WITH o AS (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, ts FROM events),
@@ -185,14 +185,8 @@ c AS (SELECT label AS l, d, avg(CAST(x AS DOUBLE)) AS m FROM e GROUP BY 1, 2),
 s AS (SELECT vec_id, l, sum((CAST(x AS DOUBLE) - m) * (CAST(x AS DOUBLE) - m)) AS dist FROM e JOIN c USING (d) GROUP BY 1, 2)
 SELECT vec_id, min_by(l, (round(dist, 9), l)) AS nearest FROM s GROUP BY 1""")
 def nearest_centroid(t):
-    """Each vector's nearest label mean. The means are one row a label, so the side with vectors never moves."""
-    e = t.embeddings.select("vec_id", "label", "embedding")
-    flat = e.select("label", F.posexplode("embedding").alias("d", "x"))
-    means = flat.groupBy("label", "d").agg(F.avg(F.col("x").cast("double")).alias("m")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("mean"))
-    table = means.agg(F.array_sort(F.collect_list(F.struct("label", "mean"))).alias("means"))
-    far = lambda c: F.aggregate(F.zip_with("embedding", c["mean"], lambda x, m: (x.cast("double") - m) * (x.cast("double") - m)), F.lit(0.0), lambda a, x: a + x)
-    best = F.array_min(F.transform("means", lambda c: F.struct(F.round(far(c), 9).alias("dist"), c["label"].alias("label"))))
-    return e.join(F.broadcast(table)).select("vec_id", best["label"].alias("nearest"))
+    """Each vector's nearest label mean."""
+    return stats.nearest_mean(t.embeddings, "vec_id", "label", "embedding")
 
 
 @query("""SELECT o.o_orderkey, max_by(e.event_id, (e.ts, e.event_id)) AS event_id FROM orders o JOIN events e ON e.user_id = o.o_custkey % 1000 AND CAST(e.event_id AS BIGINT) <= o.o_orderkey GROUP BY 1""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyframe import learn
 from tallyframe.functions import geometry, labels, numbers, periods, text
 from tallyframe.operators import terms
 from tallyframe.queries.binding import registry
@@ -177,9 +178,7 @@ SELECT o_custkey, CASE WHEN count(*) FILTER (day(d) > 12) > 0 THEN '%d/%m/%Y' EN
 def date_convention(t):
     """The one all-numeric order that a body of dates proves."""
     said = F.date_format(F.col("o_orderdate").cast("date"), "dd/MM/yyyy")
-    formats = t.orders.select("o_custkey", text.date_formats(said).alias("f"))
-    sure = formats.groupBy("o_custkey").agg(F.collect_set(F.when((F.size("f") == 1) & F.element_at("f", 1).rlike("[/.]"), F.element_at("f", 1))).alias("s"))
-    return sure.select("o_custkey", F.when(F.size("s") == 1, F.element_at("s", 1)).alias("convention"))
+    return learn.date_conventions(t.orders.select("o_custkey", text.date_formats(said).alias("f")), ["o_custkey"])
 
 
 @query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9''’&.\\-]*')) AS w, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9''’&.\\-]*'), 1) AS i FROM documents),

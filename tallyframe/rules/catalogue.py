@@ -545,7 +545,11 @@ def _said(t, scale):
 
 @rule("CO-001", "major", "medium")
 def contradiction(t, p):
-    return outcomes(_said(t, False), F.concat_ws(" ", F.lit("stated two ways:"), "metric", "period"), F.col("raw"), F.col("base"))
+    """Figures that disagree; those whose kind is not known and that others could have contradicted are unchecked."""
+    f = figures.index_of(t)
+    found = outcomes(_said(t, False), F.concat_ws(" ", F.lit("stated two ways:"), "metric", "period"), F.col("raw"), F.col("base"))
+    unread = _at(f, consistency.unread(f).select("ord", "others"))
+    return found.unionByName(outcomes(unread, F.concat_ws(" ", F.lit("kind not known, statements not compared:"), "metric", F.col("others").cast("string")), F.col("raw"), None, "unchecked"))
 
 
 @rule("CO-002", "major", "medium")
@@ -623,23 +627,17 @@ def _as_at(t):
 def as_of_drift(t, p):
     """One fact on slides that state different dates: every later date is told against the first."""
     f = figures.index_of(t).join(_as_at(t), ["deck", "slide"])
-    keys = ["deck", "metric", "scope", "kind", "quantity", "period"]
-    first = F.first("date").over(Window.partitionBy(*keys).orderBy("ord"))
-    rows = f.where("kind IS NOT NULL").withColumn("first", first).where("date <> first").select("ord", "date", "first")
+    rows = consistency.date_drift(f)
     return outcomes(_at(figures.index_of(t), rows), F.concat_ws(" ", F.lit("as-of dates differ for"), "metric", "period"), F.col("date"), F.col("first"))
 
 
 @rule("CO-008", "minor", "medium")
 def unit_drift(t, p):
     """One fact under two stated currencies or scales, unless the deck states both amounts side by side."""
-    f = figures.index_of(t).where("(scale IS NOT NULL OR currency IS NOT NULL) AND period IS NOT NULL")
-    f = f.withColumn("stated", F.struct("currency", "scale", (F.col("value") * F.coalesce(numbers.scale_factor(F.col("scale")), F.lit(1.0))).alias("amount")))
-    w = Window.partitionBy("deck", "metric", "scope", "kind", "period").orderBy("ord")
-    rows = f.withColumn("first", F.first("stated").over(w)).where("stated.currency <> first.currency OR stated.scale <> first.scale")
-    seen = figures.conversions(_passages(t)).select("deck", figures.pair_key("one", "other").alias("pair")).distinct()
-    open_ = rows.withColumn("pair", figures.pair_key("first", "stated")).join(seen, ["deck", "pair"], "left_anti")
+    f = figures.index_of(t)
+    rows = consistency.unit_drift(f, figures.conversions(_passages(t)))
     unit = lambda c: F.concat_ws(" ", f"{c}.currency", f"{c}.scale")
-    return outcomes(_at(figures.index_of(t), open_.select("ord", unit("stated").alias("stated"), unit("first").alias("first"))), F.concat_ws(" ", F.lit("unit drifts:"), "metric", "period"), F.col("stated"), F.col("first"))
+    return outcomes(_at(f, rows.select("ord", unit("stated").alias("stated"), unit("first").alias("first"))), F.concat_ws(" ", F.lit("unit drifts:"), "metric", "period"), F.col("stated"), F.col("first"))
 
 
 __all__ = ["RULES"]
