@@ -1,13 +1,43 @@
-"""Connected components of a graph given as (a long, b long) edges: alternating large-star and small-star steps."""
+"""Connected components of a graph given as (a long, b long) edges: alternating large-star and small-star steps.
+
+A step is some twenty small jobs, whose plans, threads and compiled code stay in the driver for a while. A graph of at
+most LOCAL distinct edges, 2 MB, is one task's bounded work instead; any larger one takes the steps.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import materialise, release
 
 HUBS = 1000
+LOCAL = 1 << 17
+
+
+def least_of_component(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the least node of each one's component): roots hook onto lesser ones, then paths are halved until flat."""
+    nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    up, (x, y) = np.arange(len(nodes)), place.reshape(2, -1)
+    while len(x):
+        x, y = up[x], up[y]
+        apart = x != y
+        x, y = np.maximum(x[apart], y[apart]), np.minimum(x[apart], y[apart])
+        np.minimum.at(up, x, y)
+        while (further := up[up]).tobytes() != up.tobytes():
+            up = further
+    return nodes, nodes[up]
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if held:
+        nodes, least = least_of_component(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], names=["node", "label"])
 
 
 def _with_least(edges: DataFrame, key: str, least: DataFrame, total: int) -> DataFrame:
@@ -32,6 +62,10 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
     before = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")).first()
+    if before.n <= LOCAL:
+        united = materialise(edges.coalesce(1).mapInArrow(_united, "node long, label long"), "united")
+        release(edges)
+        return united
     while before.n:
         ends = edges.select(F.col("hi").alias("node"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("node"), F.col("hi").alias("v")))
         least = ends.groupBy("node").agg(F.least(F.min("v"), F.col("node")).alias("m"), F.count(F.lit(1)).alias("n"))

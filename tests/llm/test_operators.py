@@ -329,6 +329,19 @@ def test_tree_prunes_without_losing_pairs():
     assert np.array_equal(forest.roots(), mine.roots()) and len(asked) < len(sets) * (len(sets) - 1) / 4
 
 
+def test_small_graphs_take_few_jobs_and_equal_the_star_steps(spark, monkeypatch):
+    from tallyframe.llm import components as module
+
+    draw = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in draw.integers(-300, 300, (250, 2))] + [(k, k + 1) for k in range(1000, 1200)] + [(5000, k) for k in range(5000, 5300)]
+    frame, written = spark.createDataFrame(edges, "a long, b long"), []
+    monkeypatch.setattr(module, "materialise", lambda df, label, *x, f=module.materialise: written.append(label) or f(df, label, *x))
+    small = sorted(map(tuple, components(frame).collect()))
+    assert len(written) <= 2
+    monkeypatch.setattr(module, "LOCAL", 0)
+    assert small == sorted(map(tuple, components(frame).collect())) and len(written) > 4
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(50)] + [(100, 200), (200, 300), (7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
