@@ -5,8 +5,8 @@ which no piece crosses. Within a chunk an agenda takes the best-scored pair of n
 a candidate merge is skipped for good where a keyed hash of (seed, document, place, start, middle, end) falls below the
 dropout rate, so every occurrence of a chunk has its own draws. Equal chunks of a slice are first segmented once without
 dropout, which lists their candidates; an occurrence that skips none of them takes that result, any other is segmented
-by itself. Chunks of up to LONG characters run together in numpy, one merge a round each; longer ones use a heap. At
-rate 0 the ids are those of the library.
+by itself. Chunks of up to LONG characters run together in numpy, those of like length as columns of one array, one merge
+a round each; longer ones use a heap. At rate 0 the ids are those of the library.
 
 Characters without a piece, and U+2581 itself, become byte pieces, so decoding gives every text back exactly.
 
@@ -34,7 +34,10 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
 NO_PIECE = 0x110000
 DROPOUT, SEED, LONG = 0.1, 20, 48
-NEVER = np.int64(1) << 62
+#: Bounds of the lengths that run side by side; the cost of no merge; a symbol that a merge has taken in.
+WIDTHS = (4, 6, 8, 12, 16, 24)
+COSTLY = np.int32(2**31 - 1)
+GONE = -2
 MASK = (1 << 64) - 1
 A, B, C = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 
@@ -146,53 +149,76 @@ class Codec:
         A character without a piece has id -1.
         """
         size = ends - starts
-        chunk = np.repeat(np.arange(len(starts)), size)
-        zero = np.cumsum(size) - size
-        place = np.arange(len(chunk)) - zero[chunk] + starts[chunk]
-        ids = self.char_ids[code[place]].astype(np.int64)
-        done_ids, done_place, done_chunk = [], [], []
-        stop = place + 1
-        drop_at = np.uint64(drop)
-
-        def ranks(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Merged id and rank of each symbol with the next one; NEVER where there is none or it is skipped."""
-            nxt = np.minimum(at + 1, len(ids) - 1)
-            m = self.merged(ids[at], ids[nxt])
-            ok = (m >= 0) & (chunk[nxt] == chunk[at]) & (nxt > at)
+        longest = int(size.max(initial=0))
+        if not longest:
+            return (np.zeros(0, np.int64),) * 3
+        order = np.argsort(size, kind="stable")
+        widths = [w for w in WIDTHS if w < longest] + [longest]
+        got, low = [], 0
+        for width, high in zip(widths, np.searchsorted(size[order], widths, side="right").tolist(), strict=True):
+            if high > low:
+                got += self._columns(code, order[low:high], starts, size, keys, drop, width, seen)
+            low = high
+        ids, place, chunk = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.argsort(chunk, kind="stable")
+        return ids[order], place[order], chunk[order]
+
+    def _columns(self, code: np.ndarray, chunk: np.ndarray, starts: np.ndarray, size: np.ndarray, keys: np.ndarray, drop: int, width: int, seen: list | None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Chunks of up to `width` characters side by side, a column each: character k in row k + 1, rows without a piece around.
+
+        `after` and `before` are the rows of a symbol's neighbours, `to` the id of its merge with the next one, and `cost`
+        that merge's rank and the row, so a column's least cost is its next merge. Columns that are done leave from time to time.
+        """
+        bits, drop_at, out = (width + 1).bit_length(), np.uint64(drop), []
+        row = np.arange(width + 2, dtype=np.int32)[:, None]
+        inside = (row > 0) & (row <= size[chunk])
+        ids = np.where(inside, self.char_ids[code[np.minimum(starts[chunk] + np.maximum(row - 1, 0), len(code) - 1)]], -1).astype(np.int32)
+        before, after = np.repeat(row - 1, len(chunk), 1), np.repeat(row + 1, len(chunk), 1)
+        to, cost = np.full(ids.shape, -1, np.int32), np.full(ids.shape, COSTLY, np.int32)
+
+        def offer(col: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+            """Price the merges of the symbols in rows left and right of columns col."""
+            n = ids.shape[1]
+            at, other = left * n + col, right * n + col
+            flat = ids.reshape(-1)
+            m = self.merged(flat[at], flat[other])
+            ok = m >= 0
             if drop or seen is not None:
                 w = np.flatnonzero(ok)
-                base = starts[chunk[at[w]]]
-                span = _span(place[at[w]] - base, place[nxt[w]] - base, stop[nxt[w]] - base)
+                of = chunk[col[w]]
+                span = _span(left[w] - 1, right[w] - 1, after.reshape(-1)[other[w]] - 1)
                 if seen is not None:
-                    seen.append((chunk[at[w]], span))
+                    seen.append((of, span))
                 if drop:
-                    ok[w] = mix64(keys[chunk[at[w]]] + span) >= drop_at
-            return m, np.where(ok, self.rank[m], NEVER)
-
-        to, rank = ranks(np.arange(len(ids))) if len(ids) else (ids, ids)
-        while len(ids):
-            head = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1])))
-            best = np.minimum.reduceat(np.where(rank < NEVER, rank << 32 | np.arange(len(rank)), NEVER), head)
-            more = best < NEVER
-            live = np.repeat(more, np.diff(np.append(head, len(ids))))
-            if not more.all():
-                done_ids.append(ids[~live])
-                done_place.append(place[~live])
-                done_chunk.append(chunk[~live])
-            at = best[more] & np.int64(0xFFFFFFFF)
-            ids[at], stop[at] = to[at], stop[at + 1]
-            live[at + 1] = False
-            moved = np.cumsum(live) - 1
-            at = moved[at]
-            ids, place, stop, chunk, rank, to = ids[live], place[live], stop[live], chunk[live], rank[live], to[live]
-            again = np.concatenate((at, at[(at > 0) & (chunk[at] == chunk[at - 1])] - 1)) if len(at) else at
-            if len(again):
-                to[again], rank[again] = ranks(again)
-        if not done_ids:
-            return (np.zeros(0, np.int64),) * 3
-        ids, place, chunk = (np.concatenate(x) for x in (done_ids, done_place, done_chunk))
-        order = np.argsort(chunk, kind="stable")
-        return ids[order], place[order], chunk[order]
+                    ok[w] = mix64(keys[of] + span) >= drop_at
+            to.reshape(-1)[at] = m
+            cost.reshape(-1)[at] = np.where(ok, self.rank[m] << bits | left, COSTLY)
+
+        first, col = np.nonzero(inside[:-1] & inside[1:])
+        offer(col, first, first + 1)
+        while True:
+            least = cost.min(axis=0)
+            col = np.flatnonzero(least < COSTLY)
+            if 4 * len(col) <= 3 * len(chunk):
+                done = np.flatnonzero(least == COSTLY)
+                which, at = np.nonzero((ids[1:-1, done] > GONE).T & (row[1:-1].T <= size[chunk[done], None]))
+                of = chunk[done[which]]
+                out.append((ids[at + 1, done[which]].astype(np.int64), starts[of] + at, of))
+                if not len(col):
+                    return out
+                chunk, ids, before, after, to, cost = chunk[col], *(np.ascontiguousarray(x[:, col]) for x in (ids, before, after, to, cost))
+                least, col = least[col], np.arange(len(col))
+            n = len(chunk)
+            left = (least[col] & ((1 << bits) - 1)).astype(np.int64)
+            at = left * n + col
+            right = after.reshape(-1)[at].astype(np.int64)
+            gone = right * n + col
+            beyond = after.reshape(-1)[gone].astype(np.int64)
+            ids.reshape(-1)[at] = to.reshape(-1)[at]
+            ids.reshape(-1)[gone], cost.reshape(-1)[gone] = GONE, COSTLY
+            after.reshape(-1)[at] = beyond
+            before.reshape(-1)[beyond * n + col] = left
+            offer(np.concatenate((col, col)), np.concatenate((left, before.reshape(-1)[at].astype(np.int64))), np.concatenate((beyond, left)))
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray, doc_keys: np.ndarray, rate: float = DROPOUT, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the n + 1 offsets of the texts in it."""
@@ -214,28 +240,37 @@ class Codec:
         drop = min(int(rate * 2.0**64), MASK)
         _, pick, inverse = np.unique(h, return_index=True, return_inverse=True)
         key = np.zeros(len(starts), np.uint64)
-        if drop:
-            place = (starts - first[of]).astype(np.uint64)
-            key = mix64(mix64(doc_keys[filled][of] + np.uint64(seed * B & MASK)) + place * np.uint64(A))
-            own = self._dropped(code, starts, ends, pick, inverse, key, drop)
-            inverse[own] = len(pick) + np.arange(len(own))
-            pick, plain = np.concatenate((pick, own)), len(pick)
-        else:
-            plain = len(pick)
         ids, at, chunk = [], [], []
-        for some, rate_of in ((np.arange(plain), 0), (np.arange(plain, len(pick)), drop)):
+
+        def segment(some: np.ndarray, rate_of: int, seen: list | None = None) -> None:
             short = ends[pick[some]] - starts[pick[some]] <= LONG
             for part in np.array_split(some[short], max(1, int(short.sum()) >> 16)):
-                got, places, of_part = self.chunks(code, starts[pick[part]], ends[pick[part]], key[pick[part]], rate_of)
+                own_seen = None if seen is None else []
+                got, places, of_part = self.chunks(code, starts[pick[part]], ends[pick[part]], key[pick[part]], rate_of, own_seen)
                 ids.append(got)
                 at.append(places)
                 chunk.append(part[of_part])
-            for k in some[~short].tolist():
+                if seen is not None:
+                    seen.extend((part[c], span) for c, span in own_seen)
+            for k in some[~short].tolist() if seen is None else ():
                 s, e = int(starts[pick[k]]), int(ends[pick[k]])
                 got = np.array(self.heap(code[s:e].tolist(), int(key[pick[k]]), rate_of), np.int64)
                 ids.append(np.maximum(got, -1))
                 at.append(np.where(got < 0, s - 1 - got, s))
                 chunk.append(np.full(len(got), k))
+
+        plain = np.arange(len(pick))
+        if drop:
+            place = (starts - first[of]).astype(np.uint64)
+            key = mix64(mix64(doc_keys[filled][of] + np.uint64(seed * B & MASK)) + place * np.uint64(A))
+            seen: list[tuple[np.ndarray, np.ndarray]] = []
+            segment(plain, 0, seen)  # long chunks are segmented at each occurrence
+            own = self._dropped(code, starts, ends, pick, inverse, key, drop, seen)
+            inverse[own] = len(pick) + np.arange(len(own))
+            pick = np.concatenate((pick, own))
+            segment(np.arange(len(plain), len(pick)), drop)
+        else:
+            segment(plain, 0)
         ids, at, chunk = (np.concatenate(x) for x in (ids, at, chunk))
         order = np.argsort(chunk, kind="stable")
         ids, at, chunk = self._bytes(ids[order], code[at[order]], chunk[order])
@@ -248,15 +283,14 @@ class Codec:
         per[filled] = np.bincount(of, weights=n, minlength=len(filled)).astype(np.int64)
         return out, np.concatenate(([0], np.cumsum(per)))
 
-    def _dropped(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray, pick: np.ndarray, inverse: np.ndarray, key: np.ndarray, drop: int) -> np.ndarray:
-        """The occurrences that skip a candidate of their chunk's segmentation without dropout, and all longer ones."""
-        short = np.flatnonzero(ends[pick] - starts[pick] <= LONG)
-        seen: list[tuple[np.ndarray, np.ndarray]] = []
-        self.chunks(code, starts[pick[short]], ends[pick[short]], key[pick[short]], 0, seen)
+    def _dropped(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray, pick: np.ndarray, inverse: np.ndarray, key: np.ndarray, drop: int, seen: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The occurrences that skip a candidate of their chunk's segmentation without dropout, and all longer ones.
+
+        seen: the candidates of those segmentations, as (chunk, span).
+        """
         of, span = (np.concatenate(x) for x in zip(*seen, strict=True)) if seen else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-        order = np.argsort(short[of], kind="stable")
-        span = span[order]
-        n = np.bincount(short[of], minlength=len(pick))
+        span = span[np.argsort(of, kind="stable")]
+        n = np.bincount(of, minlength=len(pick))
         zero = np.cumsum(n) - n
         hit = (ends - starts > LONG) & (drop > 0)
         todo = np.flatnonzero(~hit)

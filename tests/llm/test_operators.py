@@ -206,6 +206,34 @@ def test_reused_chunks_equal_those_segmented_alone():
     assert np.array_equal(ids, alone[0]) and np.array_equal(at, alone[1])
 
 
+def test_chunks_are_segmented_once_without_dropout(monkeypatch):
+    texts, plain = sample_texts(40), []
+    chunks = sentencepiece_codec.Codec.chunks
+
+    def counted(self, code, starts, ends, keys, drop, seen=None):
+        plain.append(0 if drop else len(starts))
+        return chunks(self, code, starts, ends, keys, drop, seen)
+
+    monkeypatch.setattr(sentencepiece_codec.Codec, "chunks", counted)
+    _encode(texts, 0.0)
+    distinct = sum(plain)
+    plain.clear()
+    _encode(texts, 0.1)
+    assert sum(plain) == distinct > 0
+
+
+def test_columns_equal_the_heap_agenda_at_every_length(monkeypatch):
+    letters = "abcdefghijklmnoprstuéß日🎉\x00"
+    draw = np.random.default_rng(3)
+    texts = ["".join(draw.choice(list(letters), n)) for n in range(48) for _ in range(6)] + [" ".join("aeinst"[:k] * 7 for k in range(1, 7))]
+    for rate in (0.0, 0.15, 1.0):
+        with pytest.MonkeyPatch.context() as patch:
+            vector = _encode(texts, rate)
+            patch.setattr(sentencepiece_codec, "LONG", 0)
+            alone = _encode(texts, rate)
+        assert np.array_equal(vector[3], alone[3]) and np.array_equal(vector[4], alone[4])
+
+
 def test_encode_and_decode_frames(spark):
     table = docs(spark, EDGES)
     ids = sentencepiece_codec.encode(table)
