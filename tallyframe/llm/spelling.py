@@ -13,7 +13,8 @@ is deleted, and a letter is not inserted behind its like. A Bloom filter of the
 drops nearly all candidates that are no words where they are made; what it lets pass is settled by the join.
 
 Counting combines a slice's words before the shuffle, so neither a hot source nor a hot word reaches one task whole.
-Forms are followed by doubling: a form is FACTOR times as frequent as its word, so chains are short.
+Forms are followed by doubling: a form is FACTOR times as frequent as its word, so chains are short. All joins are sort-merge
+joins: words and candidates grow with the input, and compressed tables of them look small enough to broadcast.
 
 Cases: null and empty texts have no words; a null doc_id is hashed as an empty string; repeated rows count each; words of
 any length are treated alike; of near words that are equally frequent the first in code-point order is the form; an empty
@@ -244,7 +245,8 @@ def near_words(vocabulary: DataFrame, most_bits: int = BLOOM_BITS) -> DataFrame:
     letters = sorted(r[0] for r in vocabulary.select(F.explode(F.split("word", "")).alias("c")).where("c <> ''").distinct().collect())
     bits, n_bits = _bloom(vocabulary, most_bits)
     made = vocabulary.select("id", "word").mapInArrow(_neighbourhood(np.array([ord(c) for c in letters], np.uint32), spark.sparkContext.broadcast(bits), n_bits), "id long, h1 long, h2 long")
-    return made.join(vocabulary.select("h1", "h2", F.col("word").alias("near"), F.col("n").alias("near_n")), ["h1", "h2"]).select("id", "near", "near_n")
+    # Spark takes the candidates for no larger than the words they are made from, so that it would broadcast them
+    return made.join(vocabulary.select("h1", "h2", F.col("word").alias("near"), F.col("n").alias("near_n")).hint("merge"), ["h1", "h2"]).select("id", "near", "near_n")
 
 
 def _roots(forms: DataFrame) -> DataFrame:
@@ -252,7 +254,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     current = materialise(forms, "roots")
     while True:
         onward = current.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        last, current = current, materialise(current.join(onward, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        last, current = current, materialise(current.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         release(last)
         if current.where("moved").isEmpty():
             return current.select("word", "root")
@@ -265,11 +267,11 @@ def variants(counts: DataFrame, min_count: int = MIN_COUNT, factor: int = FACTOR
     best = near_words(vocabulary, most_bits).groupBy("id").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("least"), "near")).alias("best"))
     top, form_n = F.col("best.near"), -F.col("best.least")
     taken = form_n >= F.col("n") * factor
-    words = vocabulary.join(best, "id", "left").select("word", F.when(taken, top).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(taken, form_n).alias("form_n"))
+    words = vocabulary.join(best.hint("merge"), "id", "left").select("word", F.when(taken, top).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(taken, form_n).alias("form_n"))
     words = materialise(words, "words")
     release(vocabulary)
     roots = _roots(words.where("form IS NOT NULL").select("word", F.col("form").alias("root")))
-    return words.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return words.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op11_spelling_variants(spark, sf_dir):

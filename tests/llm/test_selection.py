@@ -164,6 +164,18 @@ def test_variants_against_brute_force(spark, bits, monkeypatch):
     assert len(got) == len(expected) and set(map(tuple, got)) == expected
 
 
+def test_variants_broadcast_no_table(spark):
+    """Words and candidates grow with the input: none of their joins may take one through the driver."""
+    rows = spelt()
+    limit = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(limit, "1b")
+    try:
+        got = spelling.variants(spelling.word_counts(docs(spark, rows), one_in=7)).collect()
+    finally:
+        spark.conf.unset(limit)
+    assert set(map(tuple, got)) == plain_variants(plain_counts(rows, 7))
+
+
 def test_every_edit_once():
     import pyarrow as pa
 
