@@ -12,7 +12,7 @@ word of L letters costs L times the alphabet, never L squared. Distinct by rule:
 is deleted, and a letter is not inserted behind its like. A Bloom filter of the vocabulary, of at most BLOOM_BITS bits,
 drops nearly all candidates that are no words where they are made; what it lets pass is settled by the join.
 
-Counting combines a slice's words before the shuffle, so neither a hot source nor a hot word reaches one task whole.
+Counting combines the words of a task's slices before the shuffle, so neither a hot source nor a hot word reaches one task whole.
 Forms are followed by doubling: a form is FACTOR times as frequent as its word, so chains are short. All joins are sort-merge
 joins: words and candidates grow with the input, and compressed tables of them look small enough to broadcast.
 
@@ -41,6 +41,8 @@ MIN_COUNT = 5
 FACTOR = 5
 ONE_IN = 199
 SLICE = 4 << 20
+HELD = 1 << 20
+OUT = 1 << 14
 BLOOM_BITS = 1 << 27
 BLOOM_LEAST = 1 << 16
 CANDIDATES = 1 << 20
@@ -90,6 +92,27 @@ def _misspelt(word: str, h: int) -> str:
     return word[:k] + word[k + 1 :]
 
 
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) with the counts of like words added, at most about HELD rows at a time."""
+    held, rows = [], 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows > HELD:
+            held = _added(held)
+            rows = sum(x.num_rows for x in held)
+            if rows > HELD // 2:
+                yield from held
+                held, rows = [], 0
+    if held:
+        yield from _added(held)
+
+
+def _added(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    found = pa.Table.from_batches(batches).group_by("word", use_threads=False).aggregate([("n", "sum")])
+    return found.select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches(max_chunksize=OUT)
+
+
 def _count(one_in: int, min_length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text", SLICE):
@@ -131,7 +154,8 @@ def _count(one_in: int, min_length: int):
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", one_in: int = ONE_IN, min_length: int = MIN_LENGTH) -> DataFrame:
     """(word, n): the words of docs of at least min_length code points, one in `one_in` misspelt."""
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_count(one_in, min_length), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    count = _count(one_in, min_length)
+    return rows.mapInArrow(lambda batches: _combined(count(batches)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 # ------------------------------------------------------------------------------------------------------ neighbourhoods

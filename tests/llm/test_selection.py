@@ -176,6 +176,27 @@ def test_variants_broadcast_no_table(spark):
     assert set(map(tuple, got)) == plain_variants(plain_counts(rows, 7))
 
 
+@pytest.mark.parametrize("held", [3, 40, 10**6])
+def test_counts_of_slices_are_added(monkeypatch, held):
+    import pyarrow as pa
+
+    monkeypatch.setattr(spelling, "HELD", held)
+    monkeypatch.setattr(spelling, "OUT", 5)
+    rnd = random.Random(2)
+    slices = [[(rnd.choice("abcdefghij") * 6, rnd.randint(1, 9)) for _ in range(rnd.randint(0, 12))] for _ in range(30)]
+    want, got, sizes = Counter(), Counter(), []
+    for part in slices:
+        for w, n in part:
+            want[w] += n
+    batches = [pa.record_batch([pa.array([w for w, _ in p], pa.string()), pa.array([n for _, n in p], pa.int64())], names=["word", "n"]) for p in slices]
+    for b in spelling._combined(iter(batches)):
+        sizes.append(b.num_rows)
+        for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True):
+            got[w] += n
+    assert got == want and max(sizes) <= 5
+    assert sum(sizes) == len(want) if held > 20 else sum(sizes) > len(want)
+
+
 def test_every_edit_once():
     import pyarrow as pa
 
