@@ -2,16 +2,19 @@
 
 Boxes meet by an equi-join on the cells of a grid, so only neighbours are compared; a pair that shares several cells
 counts in the first of them alone. Components are found by taking the least label among neighbours and following labels
-of labels, which halves the way at each step; every step is a written table.
+of labels, which halves the way at each step; every step is a written table. At most LOCAL nodes are one task's bounded work.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import text
-from tallyframe.operators import slides
+from tallyframe.operators import cells, slides
 from tallyframe.storage import release, written
 
 SLIDE, SHAPE = slides.SLIDE, slides.SHAPE
@@ -20,6 +23,8 @@ SIDES = ("left_pt", "top_pt", "width_pt", "height_pt")
 # Reach of a piece in its own heights, size and slack of a plate behind a text, how near a logo's usual place a variant stands.
 GAP_HEIGHTS, PLATE_RATIO, PLATE_PT, SLOT_PT = 1.0, 4.0, 2.0, 2.0
 CELL_PT = 72.0
+# Parts of a cell on each axis, and the most nodes that one task joins.
+PARTS, LOCAL = 4, 1 << 17
 
 
 def _cells(df: DataFrame, reach: Column) -> DataFrame:
@@ -47,10 +52,36 @@ def sits_with(boxes: DataFrame, keys: list[str], id_: str, gap_heights: float =
     return tall.join(other, same & first & reaching & near).select(*[F.col(f"t.{k}").alias(k) for k in keys], F.col("t.id").alias("a"), F.col("o.id").alias("b"))
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """keys, id, label of the nodes of all edges (keys, a, b)."""
+    up: dict[tuple, tuple] = {}
+
+    def top(node: tuple) -> tuple:
+        while (above := up.setdefault(node, node)) != node:
+            up[node] = node = up[above]
+        return node
+
+    names = kinds = None
+    for batch in batches:
+        names, kinds = batch.schema.names, batch.schema.types[:-1]
+        for *key, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            x, y = top((*key, a)), top((*key, b))
+            up[max(x, y)] = min(x, y)
+    if up:
+        rows = [(*node, top(node)[-1]) for node in up]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*kinds, kinds[-1]], strict=True)], names=[*names[:-2], "id", "label"])
+
+
 def components(nodes: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, id, label: label is the smallest id that pairs (keys, a, b) tie to a node (keys, id); a lone node is its own."""
     both = pairs.select(*keys, "a", "b").unionByName(pairs.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
     edges = written(both.distinct(), "pairs")
+    if edges.select(*keys, "a").distinct().count() <= LOCAL:
+        kinds = edges.select(*keys, F.col("a").alias("id"), F.col("b").alias("label")).schema
+        # first what each slice ties, a row for each of its nodes
+        least = written(edges.where("a > b").mapInArrow(_united, kinds).repartition(1).mapInArrow(_united, kinds), "united")
+        release(edges)
+        return nodes.select(*keys, "id").distinct().join(least, [*keys, "id"], "left").withColumn("label", F.coalesce("label", "id"))
     labels = written(nodes.select(*keys, "id").distinct().withColumn("label", F.col("id")).withColumn("moved", F.lit(True)), "labels")
     while True:
         given = labels.select(*keys, F.col("id").alias("b"), F.col("label").alias("offered"))
@@ -66,12 +97,68 @@ def components(nodes: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame
             return labels.select(*keys, "id", "label")
 
 
+def _near(p: str, q: str, gap_heights: float) -> Column:
+    """What sits_with asks of two boxes."""
+    c = F.col
+    apart = lambda at, size: F.greatest(c(f"{p}.{at}") - c(f"{q}.{at}") - c(f"{q}.{size}"), c(f"{q}.{at}") - c(f"{p}.{at}") - c(f"{p}.{size}"))
+    far = F.greatest(c(f"{p}.height_pt"), c(f"{q}.height_pt")) * gap_heights
+    return (apart("left_pt", "width_pt") <= far) & (apart("top_pt", "height_pt") <= far)
+
+
+def tied(boxes: DataFrame, keys: list[str], id_: str, gap_heights: float = GAP_HEIGHTS) -> DataFrame:
+    """keys, id, SIDES, tie of the boxes: those of one key that single linkage ties together, and no others, have the same tie.
+
+    Two boxes that sit together touch a common cell. The tallest of the boxes that begin in one part of a cell is their hub: each
+    box is held against its hub, and hubs against hubs, of which a cell has few however crowded it is. Then all that is still
+    apart is compared, in cells that hold several ties: the boxes outside the cell's main tie with all others. Groups that
+    share a crowded cell and stay apart do cost all their pairs.
+    """
+    b = boxes.select(*keys, F.col(id_).alias("id"), *SIDES)
+    for k in (*keys, "id"):
+        b = b.where(F.col(k).isNotNull())
+    reach, placed = F.col("height_pt") * gap_heights, (F.col("left_pt") + F.col("top_pt") + F.col("width_pt") + F.col("height_pt")).isNotNull()
+    ends = lambda at, size: (F.col(at), F.col(at) + F.col(size), F.col(at) - reach, F.col(at) + F.col(size) + reach)
+    axes = ends("left_pt", "width_pt"), ends("top_pt", "height_pt")
+    b = cells.spanned(b, keys, *[F.when(placed, end(*axis)) for axis in axes for end in (F.least, F.greatest)])
+    cell, part = [*keys, "cx", "cy"], [*keys, "px", "py"]
+    dealt = b.withColumn("px", F.floor(F.col("left_pt") / F.col("cell_w") * PARTS)).withColumn("py", F.floor(F.col("top_pt") / F.col("cell_h") * PARTS))
+    hubs = dealt.where("x0 IS NOT NULL").groupBy(*part).agg(F.max(F.struct("height_pt", "width_pt", "id", "left_pt", "top_pt", *cells.SPAN)).alias("hub")).select(*part, "hub.*")
+    hubs = written(hubs, "hubs")
+    held = dealt.alias("b").join(hubs.select(*part, F.col("id").alias("hub"), *SIDES).alias("h"), part, "left")
+    node = F.when(_near("b", "h", gap_heights), F.col("hub")).otherwise(F.col("b.id"))
+    held = written(held.select(*[F.col(f"b.{c}").alias(c) for c in b.columns], node.alias("node"), F.col("b.id").eqNullSafe(F.col("hub")).alias("is_hub")), "held")
+    there = cells.touched(hubs.select(*keys, "id", *SIDES, *cells.SPAN))
+    # a pair that shares several cells counts in the first of them alone
+    first = (F.col("m.cx") == F.greatest("m.x0", "f.x0")) & (F.col("m.cy") == F.greatest("m.y0", "f.y0"))
+    links = cells.met(there, there, cell, first & (F.col("m.id") < F.col("f.id")) & _near("m", "f", gap_heights))
+    links = links.select(*[F.col(f"m.{k}") for k in keys], F.col("m.id").alias("a"), F.col("f.id").alias("b"))
+    # rows of one id are one node
+    several = held.groupBy(*keys, "id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last")
+    links = links.unionByName(held.join(several, [*keys, "id"]).where("node <> a").select(*keys, "a", F.col("node").alias("b")))
+    label = components(held.select(*keys, F.col("node").alias("id")), links, keys).withColumnRenamed("id", "node")
+    known = written(held.join(label, [*keys, "node"]).select(*b.columns, "is_hub", F.col("label").alias("tie")), "tied")
+    release(hubs, held, b)
+    # what is still apart
+    sizes = cells.touched(known).groupBy(*cell, "tie").agg(F.count(F.lit(1)).alias("n"), F.bool_and("is_hub").alias("hubs"))
+    mixed = sizes.groupBy(*cell).agg(F.count(F.lit(1)).alias("ties"), F.bool_and("hubs").alias("hubs"), F.max_by("tie", "n").alias("main")).where("ties > 1 AND NOT hubs")
+    mixed = written(mixed.select(*cell, "main"), "mixed")
+    if mixed.isEmpty():
+        release(mixed)
+        return known.select(*keys, "id", *SIDES, "tie")
+    apart = cells.touched(known).join(mixed, cell).select(*cell, *SIDES, "is_hub", "tie", "main")
+    one, other = F.col("m.tie"), F.col("f.tie")
+    across = cells.met(apart.drop("main"), apart.where("tie <> main").drop("main"), cell, (one != other) & ~(F.col("m.is_hub") & F.col("f.is_hub")) & _near("m", "f", gap_heights))
+    across = written(across.select(*[F.col(f"m.{k}") for k in keys], F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct(), "across")
+    release(mixed)
+    last = components(known.select(*keys, F.col("tie").alias("id")), across, keys).select(*keys, F.col("id").alias("tie"), "label")
+    release(across)
+    return known.join(last, [*keys, "tie"]).select(*keys, "id", *SIDES, F.col("label").alias("tie"))
+
+
 def groups(boxes: DataFrame, keys: list[str], id_: str, gap_heights: float = GAP_HEIGHTS) -> DataFrame:
-    """keys, label, members and the box around each group of boxes that single linkage ties together."""
-    b = written(boxes.select(*keys, F.col(id_).alias("id"), *SIDES), "boxes")
-    tied = b.join(components(b, sits_with(b, keys, "id", gap_heights), keys), [*keys, "id"])
+    """keys, label (the smallest id), members and the box around each group of boxes that single linkage ties together."""
     right, bottom = F.max(F.col("left_pt") + F.col("width_pt")), F.max(F.col("top_pt") + F.col("height_pt"))
-    box = tied.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("members"), F.min("left_pt").alias("left_pt"), F.min("top_pt").alias("top_pt"), right.alias("right"), bottom.alias("bottom"))
+    box = tied(boxes, keys, id_, gap_heights).groupBy(*keys, "tie").agg(F.min("id").alias("label"), F.count(F.lit(1)).alias("members"), F.min("left_pt").alias("left_pt"), F.min("top_pt").alias("top_pt"), right.alias("right"), bottom.alias("bottom"))
     return box.select(*keys, "label", "members", "left_pt", "top_pt", (F.col("right") - F.col("left_pt")).alias("width_pt"), (F.col("bottom") - F.col("top_pt")).alias("height_pt"))
 
 

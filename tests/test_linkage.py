@@ -2,11 +2,12 @@
 
 import random
 
+import pytest
 from decks import box, deck, text
 from test_decks import CLEAN, read
 
 from tallyframe import learn
-from tallyframe.operators import linkage, slides
+from tallyframe.operators import cells, linkage, slides
 
 
 def plain_groups(rows):
@@ -38,6 +39,49 @@ def test_components_of_boxes_against_brute_force(spark):
     assert linkage.groups(none, ["slide"], "id").count() == 0
 
 
+def test_crowds_make_no_pairs(spark, monkeypatch):
+    # 1,200 boxes in a heap and a heap of points: all pairs of them would be 1.4 million rows
+    rnd = random.Random(3)
+    rows = [("heap", k, rnd.uniform(0, 30), rnd.uniform(0, 10), rnd.uniform(20, 40), rnd.uniform(8, 12)) for k in range(1200)]
+    rows += [("points", k, 7.0, 7.0, 0.0, 0.0) for k in range(300)]
+    df = spark.createDataFrame(rows, "slide string, id long, left_pt double, top_pt double, width_pt double, height_pt double")
+    sizes, written = [], linkage.written
+
+    def counted(table, label):
+        out = written(table, label)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(linkage, "written", counted)
+    got = {(r.slide, r.label, r.members) for r in linkage.groups(df, ["slide"], "id").collect()}
+    assert got == {("heap", 0, 1200), ("points", 0, 300)} and max(sizes) <= 20 * len(rows)
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 17])
+def test_ties_against_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(linkage, "LOCAL", limit)
+    monkeypatch.setattr(cells, "BLOCK", 5)
+    rnd = random.Random(11)
+    # small clusters that share the cells of a few large boxes, boxes of no size or of a negative one, one box far larger than all
+    rows = [("small", k, 40.0 * rnd.randrange(6) + rnd.uniform(0, 9), 30.0 * rnd.randrange(4) + rnd.uniform(0, 5), rnd.uniform(0, 3), rnd.choice([0.0, 0.5, 2.0])) for k in range(240)]
+    rows += [("small", 1000 + k, 600.0 + k, 700.0, 300.0, 200.0) for k in range(3)]
+    rows += [("sizes", k, rnd.uniform(-90, 90), rnd.uniform(-90, 90), rnd.choice([-4.0, 0.0, 3.0, 30.0]), rnd.choice([-3.0, 0.0, 1.0, 6.0])) for k in range(120)]
+    rows += [("wide", k, 5e3 * k, 100.0 * k, 2.0, 2.0) for k in range(30)] + [("wide", 99, 2e4, -50.0, 1e5, 700.0)]
+    rows += [("twice", k, x, 0.0, 2.0, 2.0) for k, x in ((5, 0.0), (5, 500.0), (6, 501.0), (4, 3.0), (5, 1000.0), (3, 1001.0), (9, 800.0))]
+    want = plain_groups(rows)
+    assert len({(s, label) for (s, _), label in want.items() if s == "small"}) > 20
+    shape = "slide string, id long, left_pt double, top_pt double, width_pt double, height_pt double"
+    rows += [("none", 1, None, 1.0, 1.0, 1.0), ("none", 2, 1.0, 1.0, 1.0, 1.0), (None, 3, 1.0, 1.0, 1.0, 1.0)]
+    want |= {("none", 1): 1, ("none", 2): 2}
+    named = {}
+    for r in linkage.tied(spark.createDataFrame(rows, shape), ["slide"], "id").collect():
+        named.setdefault((r.slide, r.tie), set()).add(r.id)
+    apart = {}
+    for (slide, k), label in want.items():
+        apart.setdefault((slide, label), set()).add(k)
+    assert sorted((s, sorted(x)) for (s, _), x in named.items()) == sorted((s, sorted(x)) for (s, _), x in apart.items())
+
+
 def mark(x, y):
     """A badge with a monogram on it and a wordmark beside it."""
     return text(30, "Badge", "", (x, y, 24, 24)) + text(31, "Mono", "VC", (x + 2, y + 2, 20, 20)) + text(32, "Word", "Vantara Capital", (x + 30, y + 2, 90, 20))
