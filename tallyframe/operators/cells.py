@@ -12,22 +12,23 @@ BLOCK = 2048
 SPAN = ("x0", "x1", "y0", "y1")
 
 
-def spanned(boxes: DataFrame, keys: list[str], left: Column, right: Column, top: Column, bottom: Column, label: str = "boxes") -> DataFrame:
+def spanned(boxes: DataFrame, keys: list[str], left: Column, right: Column, top: Column, bottom: Column, columns: int = 1) -> DataFrame:
     """boxes, written, with the first and last column (x0, x1) and row (y0, y1) of cells that they touch, null without a place,
     and a cell's size (cell_w, cell_h).
 
-    A key's cell is its mean box. Where wide boxes are the high ones it is stretched, so that n boxes touch 9 n cells at most.
+    A key's cell is its mean box, or one of so many columns of it. Where wide boxes are the high ones it is stretched, so that n
+    boxes touch 3 (2 + columns) n cells at most.
     """
     wide, high = (right - left).alias("wide"), (bottom - top).alias("high")
     sizes = boxes.select(*keys, wide, high).groupBy(*keys).agg(F.avg("wide").alias("w"), F.avg("high").alias("h"), F.avg(F.col("wide") * F.col("high")).alias("area"))
     # boxes without width or height touch one column or row, whatever its size
     some = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(1.0)
     stretch = F.sqrt(F.greatest(F.lit(1.0), F.col("area") / some("w") / some("h")))
-    grid = written(sizes.select(*keys, (some("w") * stretch).alias("cell_w"), (some("h") * stretch).alias("cell_h")), "grid")
+    grid = written(sizes.select(*keys, (some("w") * stretch / columns).alias("cell_w"), (some("h") * stretch).alias("cell_h")), "grid")
     at = lambda c, size: F.floor(c / F.col(size))
     ends = (at(left, "cell_w"), at(right, "cell_w"), at(top, "cell_h"), at(bottom, "cell_h"))
     known = (left + right + top + bottom).isNotNull()
-    out = written(boxes.join(grid, keys).select(*boxes.columns, *[F.when(known, e).alias(n) for e, n in zip(ends, SPAN, strict=True)], "cell_w", "cell_h"), label)
+    out = written(boxes.join(grid, keys).select(*boxes.columns, *[F.when(known, e).alias(n) for e, n in zip(ends, SPAN, strict=True)], "cell_w", "cell_h"), "boxes")
     release(grid)
     return out
 

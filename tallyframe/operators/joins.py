@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.geometry import overlap_area
+from tallyframe.operators import cells
 
 
 def nearest(df: DataFrame, keys: list[str], lines: DataFrame, value: str, line: str, low: float, high: float) -> DataFrame:
@@ -19,19 +20,27 @@ def nearest(df: DataFrame, keys: list[str], lines: DataFrame, value: str, line:
 
 
 def rect_overlaps(boxes: DataFrame, group: list[str], id_: str, share: float) -> DataFrame:
-    """Pairs of boxes (left, top, width, height) of a group whose common area is over a share of the smaller one."""
-    a, b = boxes.alias("a"), boxes.alias("b")
-    same = [F.col(f"a.{g}") == F.col(f"b.{g}") for g in group]
-    box = lambda p: tuple(F.col(f"{p}.{c}") for c in ("left", "top", "width", "height"))
-    area = overlap_area(box("a"), box("b"))
-    smaller = F.least(F.col("a.width") * F.col("a.height"), F.col("b.width") * F.col("b.height"))
-    condition = F.col(f"a.{id_}") < F.col(f"b.{id_}")
-    for s in same:
-        condition &= s
+    """Pairs of boxes (left, top, width, height) of a group whose common area is over a share (0 or more) of the smaller one.
+
+    A pair meets in one cell of a grid: in the column where the box further right begins (of equal ones that of the larger
+    id), in the first row that both touch.
+    """
+    sides = [F.col(c) for c in ("left", "top", "width", "height")]
+    left, top, width, height = sides
+    some = boxes.select(*group, id_, *sides).where((width > 0) & (height > 0) & ~F.isnan(left) & ~F.isnan(top))
+    some = cells.spanned(some, group, left, left + width, top, top + height, columns=2).drop("cell_w", "cell_h")
+    rows = some.withColumn("cy", F.explode(F.sequence("y0", "y1")))
+    first, later = (rows.withColumn("cx", c).drop("x0", "x1", "y1") for c in (F.explode(F.sequence("x0", "x1")), F.col("x0")))
+    m, f = F.col(f"m.{id_}"), F.col(f"f.{id_}")
+    behind = (F.col("m.left") < F.col("f.left")) & (m != f) | (F.col("m.left") == F.col("f.left")) & (m < f)
     # The residual names both axes, so boxes that are apart leave the join at once.
-    condition &= (F.col("a.left") < F.col("b.left") + F.col("b.width")) & (F.col("b.left") < F.col("a.left") + F.col("a.width"))
-    pairs = a.join(b, condition).withColumn("__area", area).withColumn("__smaller", smaller)
-    return pairs.where((F.col("__smaller") > 0) & (F.col("__area") / F.col("__smaller") > share)).select(*[F.col(f"a.{g}") for g in group], F.col(f"a.{id_}").alias("one"), F.col(f"b.{id_}").alias("other"), F.col("__area").alias("area"))
+    on = (F.col("f.cy") == F.greatest("m.y0", "f.y0")) & behind & (F.col("f.left") < F.col("m.left") + F.col("m.width"))
+    on &= (F.col("m.top") < F.col("f.top") + F.col("f.height")) & (F.col("f.top") < F.col("m.top") + F.col("m.height"))
+    box = lambda p: tuple(F.col(f"{p}.{c}") for c in ("left", "top", "width", "height"))
+    area = overlap_area(box("m"), box("f"))
+    smaller = F.least(F.col("m.width") * F.col("m.height"), F.col("f.width") * F.col("f.height"))
+    pairs = cells.met(first, later, [*group, "cx", "cy"], on).withColumn("__area", area).withColumn("__smaller", smaller)
+    return pairs.where((F.col("__smaller") > 0) & (F.col("__area") / F.col("__smaller") > share)).select(*[F.col(f"m.{g}") for g in group], F.least(m, f).alias("one"), F.greatest(m, f).alias("other"), F.col("__area").alias("area"))
 
 
 def tiered_lookup(probes: DataFrame, candidates: DataFrame, on: Column, tier: Column, probe_id: str, value: str) -> DataFrame:
