@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.geometry import overlap_area
 from tallyframe.operators import cells
+from tallyframe.storage import written
 
 
 def nearest(df: DataFrame, keys: list[str], lines: DataFrame, value: str, line: str, low: float, high: float) -> DataFrame:
@@ -118,10 +119,21 @@ def last_before(probes: DataFrame, events: DataFrame, keys: list[str], position:
 
 def nearest_above(boxes: DataFrame, captions: DataFrame, keys: list[str], id_: str, at: str, reach: float) -> DataFrame:
     """id_, caption: for each box the caption of equal keys that lies above it by at most `reach`, nearest first, then the
-    smaller id. Captions are dealt to two bins of that height, so this is an equi-join."""
-    height = lambda c: F.floor(F.col(c) / reach)
-    x = boxes.select(*keys, id_, F.col(at).alias("__at"), height(at).alias("__bin"))
-    y = captions.select(*keys, F.col(id_).alias("__caption"), F.col(at).alias("__above"), F.explode(F.array(height(at), height(at) + 1)).alias("__bin"))
-    apart = F.col("__at") - F.col("__above")
-    met = x.join(y, [*keys, "__bin"]).where((apart > 0) & (apart <= reach))
-    return met.groupBy(id_).agg(F.min_by("__caption", F.struct(apart, F.col("__caption"))).alias("caption"))
+    smaller id. A place has one caption, the smallest, and all boxes of a place have the same: places alone are compared, in
+    bins of that height, each place with the last caption before it, so no pair is formed however many captions are in reach."""
+    placed = lambda df: df.where(F.col(at).isNotNull() & ~F.isnan(at)).withColumn("__bin", F.floor(F.col(at) / reach))
+    place = [*keys, "__bin", F.col(at).alias("__at")]
+    none = F.lit(None).cast(captions.schema[id_].dataType)
+    first = placed(captions).groupBy(*place).agg(F.min(id_).alias("__caption")).where("__caption IS NOT NULL")
+    # what a bin ends with lies before all places of the next; the one after that is for quotients that are rounded
+    last = first.groupBy(*keys, "__bin").agg(F.max(F.struct("__at", "__caption")).alias("last"))
+    carried = last.select(*keys, F.explode(F.array(*[F.try_add(F.col("__bin"), F.lit(k)) for k in (1, 2)])).alias("__bin"), "last.*")
+    asked = placed(boxes).select(*place).distinct().withColumn("__caption", none)
+    before = Window.partitionBy(*keys, "__bin").orderBy("__at", F.col("__caption").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    caption = F.when(F.col("__caption").isNotNull(), F.struct(F.col("__at").alias("above"), F.col("__caption").alias("caption")))
+    met = asked.unionByName(first).unionByName(carried).withColumn("met", F.last(caption, True).over(before)).where("__caption IS NULL")
+    met = met.select(*keys, "__at", F.col("met.caption").alias("caption"), (F.col("__at") - F.col("met.above")).alias("apart")).where((F.col("apart") > 0) & (F.col("apart") <= reach))
+    # a table of its own, as what Spark guesses of its size would deal out all boxes to meet a few places
+    met = written(met, "captions")
+    found = boxes.select(*keys, id_, F.col(at).alias("__at")).join(met, [*keys, "__at"])
+    return found.groupBy(id_).agg(F.min_by("caption", F.struct("apart", "caption")).alias("caption"))

@@ -1,5 +1,6 @@
 """Joins by place against brute force, and how they are dealt out."""
 
+import math
 import random
 import re
 
@@ -44,3 +45,39 @@ def test_overlaps_are_dealt_by_cell(spark, monkeypatch):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"SortMergeJoin \[slide#\d+, cx#\d+L?, cy#\d+L?, __block#\d+L?\]", plan) and "BroadcastNestedLoopJoin" not in plan
     assert found.count() == 999 + 200 * 199 // 2
+
+
+def plain_above(boxes, captions, reach):
+    best = {}
+    for g, i, at in boxes:
+        for h, j, above in captions:
+            if g is not None and g == h and None not in (at, above) and 0 < at - above <= reach:
+                best[i] = min(best.get(i, (at - above, j)), (at - above, j))
+    return {i: j for i, (_, j) in best.items()}
+
+
+@pytest.mark.parametrize("reach", [0.1, 1, 6, 250.0])
+def test_captions_against_brute_force(spark, reach):
+    rnd = random.Random(9)
+    places = [0.0, 0.1, 0.2, 0.6, 0.7, 0.8, 1e300, -1e300, math.inf, -math.inf, math.nan, None]
+    rows = [(rnd.choice(["a", "b", None]), k, rnd.choice([rnd.uniform(-20, 20), float(rnd.randrange(-20, 20)), rnd.choice(places)])) for k in range(500)]
+    rows += [("a", k % 40, rnd.uniform(0, 9)) for k in range(60)]  # ids of several places
+    df = spark.createDataFrame(rows, "g string, id long, at double")
+    got = joins.nearest_above(df, df.where("id % 4 = 0"), ["g"], "id", "at", reach).collect()
+    want = plain_above(rows, [r for r in rows if r[1] % 4 == 0], reach)
+    assert len(got) == len(want) and {r.id: r.caption for r in got} == want
+
+
+def test_captions_make_no_pairs(spark):
+    # 200 captions of equal height above each of 1,000 boxes: a row for each box goes to the last exchange, not for each pair
+    rows = [("a", k, 5) for k in range(200)] + [("a", k, 8) for k in range(1000, 2000)]
+    df = spark.createDataFrame(rows, "g string, id long, at int")
+    found = joins.nearest_above(df, df.where("id < 200"), ["g"], "id", "at", 6)
+    assert {tuple(r) for r in found.collect()} == {(k, 0) for k in range(1000, 2000)}
+    made, todo = [], [found._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        todo += [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(k) for k in range(node.children().size())]
+        if "Join" in node.nodeName():
+            made.append(node.metrics().apply("numOutputRows").value())
+    assert made == [1000]
